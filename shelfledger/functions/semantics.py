@@ -91,7 +91,9 @@ def clean_name(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
 def number_text(c: Column, digits: int = 6) -> Column:
     """Shortest decimal text: 12.30 prints as 12.3 and 12.0 as 12."""
     text = F.format_string(f"%.{digits}f", c)
-    return F.when(c.isNotNull(), F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", ""))
+    if digits > 0:
+        text = F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    return F.when(c.isNotNull(), text)
 
 
 def thousands_text(c: Column, mark: str = "`") -> Column:

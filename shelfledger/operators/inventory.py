@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.periods import add_months, month_floor, months_between, shifted_bound
+from ..functions.periods import add_months, month_floor, months_between
 from ..functions.semantics import (bankers_round, conditional_count, near_zero, not_in_sql, r_sum,
                                    safe_div, sign_by_kind)
-from ..sources.readers import Tables
+from ..sources.readers import Tables, time_bound
 from .refs import decode
 from .relational import asof_join
 
@@ -56,14 +56,16 @@ def _receipt_dates(t: Tables) -> DataFrame:
 
 
 def inv_current(t: Tables, as_of: date, cfg: Settings) -> DataFrame:
-    bal = t["stock_balance"].filter(F.col("date_balance") > F.lit(shifted_bound(as_of, t.shift)))
+    bal = t["stock_balance"]
+    bal = bal.filter(F.col("date_balance") > time_bound(bal, "date_balance", as_of, t.shift))
     df = bal.groupBy("store_ref", "item_ref").agg(F.sum("item_store_qty").alias("q"))
     return (_decoded(df, t, cfg).groupBy("store_id", "item_id").agg(F.sum("q").alias("item_store_qty"))
             .filter(F.col("item_store_qty") != 0))
 
 
 def inv_current_batch(t: Tables, as_of: date, cfg: Settings) -> DataFrame:
-    bal = t["batch_balance"].filter(F.col("date_balance") > F.lit(shifted_bound(as_of, t.shift)))
+    bal = t["batch_balance"]
+    bal = bal.filter(F.col("date_balance") > time_bound(bal, "date_balance", as_of, t.shift))
     df = (bal.withColumn("cost", _cost_with_vat())
           .groupBy("store_ref", "item_ref", "receipt_doc_ref")
           .agg(F.sum("item_store_qty").alias("q"), F.sum("cost").alias("c"))
@@ -159,7 +161,7 @@ def price_history(t: Tables, start: date, cfg: Settings) -> DataFrame:
     # One price per item and day: the latest setting of the day.
     df = df.groupBy("item_ref", "day").agg(
         F.max("date_setting").alias("at"), F.max_by("item_price", "date_setting").alias("item_price"),
-        F.max(F.when(F.col("date_setting") < F.lit(start), F.col("date_setting"))).alias("before"))
+        F.max(F.when(F.col("date_setting") < time_bound(df, "date_setting", start), F.col("date_setting"))).alias("before"))
     floor = df.groupBy("item_ref").agg(F.max("before").alias("floor"))
     df = df.join(floor.filter(F.col("floor").isNotNull()), "item_ref").filter(F.col("at") >= F.col("floor"))
     return decode(df, "item_ref", t["item_dim"], "item_id").select(

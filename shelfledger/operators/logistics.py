@@ -54,10 +54,18 @@ def stock_motion(t: Tables, stores: DataFrame, start: date, finish: date,
                      "nmbr_checks_report", "date_checks_report", "item_id", "item_motion_qty")
 
 
-def distribution_motion(motion: DataFrame) -> DataFrame:
-    """Outgoing movements by transfer or sale document."""
-    return motion.filter((F.col("type_motion") == 1)
-                         & (F.col("nmbr_moving_out").isNotNull() | F.col("nmbr_sale_doc").isNotNull()))
+def motion_units(motion: DataFrame) -> DataFrame:
+    """Units per warehouse, direction, kind of document, buyer and receiver.
+
+    The shares below all read this small table; the movement register behind it
+    is scanned and joined to its documents once.
+    """
+    return motion.groupBy(
+        "store_id", "type_motion", "subdiv_id", "store_receiver",
+        F.col("nmbr_sale_doc").isNotNull().alias("by_sale"),
+        F.col("nmbr_moving_out").isNotNull().alias("by_transfer"),
+        F.col("nmbr_checks_report").isNotNull().alias("by_check"),
+    ).agg(r_sum(F.col("item_motion_qty")).alias("units"))
 
 
 def _store_subdiv(t: Tables) -> DataFrame:
@@ -65,27 +73,30 @@ def _store_subdiv(t: Tables) -> DataFrame:
                   store_subdiv="subdiv_id")
 
 
-def shipment_share(motion: DataFrame, t: Tables) -> DataFrame:
-    """Retail and service share of the units each store sends out."""
-    out = motion.filter((F.col("type_motion") == 1)
-                        & (F.col("nmbr_sale_doc").isNotNull() | F.col("nmbr_checks_report").isNotNull()))
-    kind = F.when(F.col("nmbr_sale_doc").isNotNull(), "service").otherwise("retail")
+def shipment_share(units: DataFrame, stores: DataFrame, t: Tables) -> DataFrame:
+    """Retail and service share of the units each trading store sends out."""
+    out = units.filter((F.col("type_motion") == 1) & (F.col("by_sale") | F.col("by_check"))).join(
+        stores.select("store_id").distinct(), "store_id", "left_semi")
+    kind = F.when(F.col("by_sale"), "service").otherwise("retail")
     main = ref_subdiv(t).select("subdiv_id", F.col("store_id").alias("subdiv_store"))
-    pre = out.groupBy("store_id", "subdiv_id", kind.alias("type_subdiv")).agg(
-        r_sum(F.col("item_motion_qty")).alias("q"))
-    units = (pre.join(main, "subdiv_id", "left")
+    units = (out.withColumn("type_subdiv", kind).join(main, "subdiv_id", "left")
              .filter(F.col("subdiv_id").isNull() | (F.col("store_id") == F.col("subdiv_store")))
              .drop("subdiv_id").join(_store_subdiv(t), "store_id", "left")
              .groupBy(F.col("store_subdiv").alias("subdiv_id"), "type_subdiv")
-             .agg(r_sum(F.col("q")).alias("total_type_units")))
+             .agg(r_sum(F.col("units")).alias("total_type_units")))
     return share_of(units, ["subdiv_id"], "total_type_units", "avr_subdiv_share", 3).drop(
         "total_type_units")
 
 
-def satellite_share(motion: DataFrame, t: Tables, satellites: DataFrame, cfg: Settings) -> DataFrame:
+def _warehouse_out(units: DataFrame, store_id: str) -> DataFrame:
+    """What a distribution warehouse sent out by transfer or sale document."""
+    return units.filter((F.col("store_id") == store_id) & (F.col("type_motion") == 1)
+                        & (F.col("by_transfer") | F.col("by_sale")))
+
+
+def satellite_share(units: DataFrame, t: Tables, satellites: DataFrame, cfg: Settings) -> DataFrame:
     """Share of each retail receiver in the satellite warehouse's outflow."""
-    pre = motion.filter(F.col("store_id") == cfg.satellite_store).groupBy(
-        "subdiv_id", "store_receiver").agg(r_sum(F.col("item_motion_qty")).alias("q"))
+    pre = _warehouse_out(units, cfg.satellite_store)
     stores = satellites.select("store_id").distinct()
     subdivs = (ref_subdiv(t).filter(~F.col("marked")).join(stores, "store_id", "left_semi")
                .select("subdiv_id", F.lit(True).alias("ok_subdiv")).distinct())
@@ -95,20 +106,19 @@ def satellite_share(motion: DataFrame, t: Tables, satellites: DataFrame, cfg: Se
                   & (F.col("store_receiver").isNull() | F.col("ok_store"))))
     df = df.join(_store_subdiv(t).withColumnRenamed("store_id", "store_receiver"),
                  "store_receiver", "left")
-    units = df.groupBy(
+    sums = df.groupBy(
         F.coalesce("subdiv_id", "store_subdiv").alias("receiver"),
         F.when(F.col("subdiv_id").isNotNull(), "service").otherwise("retail").alias("type")
-    ).agg(r_sum(F.col("q")).alias("total_units"))
-    return (share_of(units, [], "total_units", "satellite_subdiv_share", 3)
+    ).agg(r_sum(F.col("units")).alias("total_units"))
+    return (share_of(sums, [], "total_units", "satellite_subdiv_share", 3)
             .filter(F.col("type") == "retail")
             .select(F.col("receiver").alias("subdiv_id"), "satellite_subdiv_share"))
 
 
-def main_share(motion: DataFrame, t: Tables, satellite: DataFrame, super_share: DataFrame,
+def main_share(units: DataFrame, t: Tables, satellite: DataFrame, super_share: DataFrame,
                trade: DataFrame, cfg: Settings) -> DataFrame:
     """Main warehouse share per store, the satellite's part spread over its stores."""
-    pre = motion.filter(F.col("store_id") == cfg.main_store).groupBy(
-        "subdiv_id", "store_receiver").agg(r_sum(F.col("item_motion_qty")).alias("q"))
+    pre = _warehouse_out(units, cfg.main_store)
     df = pre.join(_store_subdiv(t).withColumnRenamed("store_id", "store_receiver"),
                   "store_receiver", "left")
     to = F.col("store_subdiv")
@@ -117,10 +127,10 @@ def main_share(motion: DataFrame, t: Tables, satellite: DataFrame, super_share:
     df = df.withColumn("receiver", F.coalesce(F.col("subdiv_id"), to)).withColumn(
         "type", F.when(F.col("subdiv_id").isNotNull(), "service").otherwise("retail"))
     wanted = trade.select(F.col("subdiv_id").alias("receiver"), F.lit(True).alias("_trade")).distinct()
-    units = (df.join(wanted, "receiver", "left")
-             .filter(F.col("_trade") | (F.col("receiver") == cfg.satellite_subdiv))
-             .groupBy("receiver", "type").agg(r_sum(F.col("q")).alias("total_units")))
-    share = (share_of(units, [], "total_units", "subdiv_share", 3).filter(F.col("type") == "retail")
+    sums = (df.join(wanted, "receiver", "left")
+            .filter(F.col("_trade") | (F.col("receiver") == cfg.satellite_subdiv))
+            .groupBy("receiver", "type").agg(r_sum(F.col("units")).alias("total_units")))
+    share = (share_of(sums, [], "total_units", "subdiv_share", 3).filter(F.col("type") == "retail")
              .select(F.col("receiver").alias("subdiv_id"), "subdiv_share"))
     share = pick_other_row(share, F.col("subdiv_id") == cfg.satellite_subdiv, "subdiv_share", "_sat")
     spread = F.when(F.col("satellite_subdiv_share").isNotNull(),

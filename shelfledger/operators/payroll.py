@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.periods import add_months, month_floor
 from ..functions.semantics import bankers_round, in_local, r_sum, remap, sum_or_zero
-from ..sources.readers import Tables
+from ..sources.readers import Tables, time_bound
 from .expenses import avg_strict
 from .refs import decode
 from .relational import join_null_safe, union_by_name
@@ -30,7 +30,8 @@ def position_asof(t: Tables, months: list[date]) -> DataFrame:
     hist = decode(hist, "position_ref", t["position_dim"], "position_id").filter(
         F.col("position_id").isNotNull())
     tops = hist.groupBy("individ_ref").agg(*[
-        F.max(F.when(F.col("date_rec") < F.lit(add_months(m, 1)), F.col("date_rec"))).alias(f"m{i}")
+        F.max(F.when(F.col("date_rec") < time_bound(hist, "date_rec", add_months(m, 1)),
+                     F.col("date_rec"))).alias(f"m{i}")
         for i, m in enumerate(months)])
     per = F.explode(F.array(*[
         F.struct(F.lit(m).alias("date"), F.col(f"m{i}").alias("date_rec"))

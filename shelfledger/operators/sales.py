@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.periods import add_months, month_floor, shifted_bound
+from ..functions.periods import add_months, month_floor
 from ..functions.semantics import (bankers_round, not_in_local, not_in_sql, number_text, r_sum,
                                    remap, safe_div)
-from ..sources.readers import Tables
+from ..sources.readers import Tables, time_bound
 from .refs import decode, ref_category
 from .relational import join_null_safe, top1
 
@@ -28,8 +28,9 @@ def _lines(t: Tables, start: date, finish: date, bounded_lines: bool) -> DataFra
     """
     lines = t["check_line"]
     if bounded_lines:
-        lines = lines.filter((F.col("check_time") >= F.lit(shifted_bound(start, t.shift)))
-                             & (F.col("check_time") < F.lit(shifted_bound(finish, t.shift))))
+        lines = lines.filter(
+            (F.col("check_time") >= time_bound(lines, "check_time", start, t.shift))
+            & (F.col("check_time") < time_bound(lines, "check_time", finish, t.shift)))
     return lines
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.periods import add_months, month_floor
 from ..functions.semantics import bankers_round, r_ifelse, r_sum, remap, safe_div
-from ..sources.readers import Tables
+from ..sources.readers import Tables, time_bound
 from .relational import union_by_name
 
 
@@ -30,7 +30,7 @@ def account_balance(t: Tables, months: list[date], cfg: Settings) -> DataFrame:
                  "account_ct_ref", "left"))
     sums = []
     for i, m in enumerate(months):
-        before = F.col("date") < F.lit(add_months(m, 1))
+        before = F.col("date") < time_bound(led, "date", add_months(m, 1))
         sums.append(F.sum(F.when(before & F.col("is_dt"), F.col("moving_sum"))).alias(f"dt{i}"))
         sums.append(F.sum(F.when(before & F.col("is_ct"), F.col("moving_sum"))).alias(f"ct{i}"))
     rows = F.explode(F.array(*[

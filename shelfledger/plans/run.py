@@ -119,28 +119,27 @@ class Run:
 
     # logistics
     @cached_property
-    def shipment_share(self) -> DataFrame:
-        motion = logistics.stock_motion(self.t, self.trade_stores, self.start, self.finish, self.non_trade)
-        return logistics.shipment_share(motion, self.t)
+    def motion_units(self) -> DataFrame:
+        two = self.t["store_dim"].filter(
+            F.col("store_id").isin(self.cfg.main_store, self.cfg.satellite_store)).select("store_id")
+        stores = self.trade_stores.select("store_id").unionByName(two)
+        return self.materialize(logistics.motion_units(logistics.stock_motion(
+            self.t, stores, self.start, self.finish, self.non_trade)))
 
     @cached_property
-    def warehouse_motion(self) -> DataFrame:
-        two = self.t["store_dim"].filter(
-            F.col("store_id").isin(self.cfg.main_store, self.cfg.satellite_store))
-        return logistics.distribution_motion(logistics.stock_motion(
-            self.t, two, self.start, self.finish, self.non_trade))
+    def shipment_share(self) -> DataFrame:
+        return logistics.shipment_share(self.motion_units, self.trade_stores, self.t)
 
     @cached_property
     def satellite_share(self) -> DataFrame:
-        return self.materialize(logistics.satellite_share(
-            self.warehouse_motion, self.t, self.satellites, self.cfg))
+        return logistics.satellite_share(self.motion_units, self.t, self.satellites, self.cfg)
 
     @cached_property
     def main_share(self) -> DataFrame:
         supers = (self.shipment_share.filter(F.col("type_subdiv") == "retail")
                   .join(self.categories.filter(F.col("subdiv_category") == self.cfg.supermarket_b2c),
                         "subdiv_id", "left_semi").select("subdiv_id", "avr_subdiv_share"))
-        return logistics.main_share(self.warehouse_motion, self.t, self.satellite_share, supers,
+        return logistics.main_share(self.motion_units, self.t, self.satellite_share, supers,
                                     self.categories, self.cfg)
 
     @cached_property

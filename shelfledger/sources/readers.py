@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periods import shift_years, shifted_bound
@@ -22,6 +22,11 @@ def scan_rename(df: DataFrame, columns: Mapping[str, str], flags: Sequence[str]
         for new, old in columns.items()])
 
 
+def time_bound(df: DataFrame, ts: str, d: date | datetime, shift: int = 0) -> Column:
+    """Literal of the column's own type, so the comparison reaches the scan without a cast."""
+    return F.lit(str(shifted_bound(d, shift))).cast(df.schema[ts].dataType)
+
+
 def register_slice(df: DataFrame, ts: str, start: date | datetime | None = None,
                    finish: date | datetime | None = None, flags: Sequence[str] = (),
                    shift: int = 0) -> DataFrame:
@@ -32,9 +37,9 @@ def register_slice(df: DataFrame, ts: str, start: date | datetime | None = None,
     for flag in flags:
         df = df.filter(F.col(flag))
     if start is not None:
-        df = df.filter(F.col(ts) >= F.lit(shifted_bound(start, shift)))
+        df = df.filter(F.col(ts) >= time_bound(df, ts, start, shift))
     if finish is not None:
-        df = df.filter(F.col(ts) < F.lit(shifted_bound(finish, shift)))
+        df = df.filter(F.col(ts) < time_bound(df, ts, finish, shift))
     return df.withColumn(ts, shift_years(F.col(ts), -shift)) if shift else df
 
 
