@@ -42,6 +42,7 @@ CFG = Settings(
     excluded_delivery=(("000000002", "000000005"), ("000000001", "000000009")),
     extra_transport_subdiv="000000024",
     min_return_date=date(2000, 1, 1),
+    motion_months=72,
     category_names={"MEDIUM": "16. Лайфстайл"},
 )
 EXPENSE_NAMES = (
@@ -52,6 +53,19 @@ EXPENSE_NAMES = (
 )
 POSITIONS = {"purchase": "000000031", "click": "000000033", "view": "000000043",
              "error": "000000036", "signup": "000000041"}
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 SUBDIV_NAMES = tuple(f"NATION_{i}" for i in range(25))
 
 
@@ -73,10 +87,13 @@ def pick(c: Column, values: dict) -> Column:
 class DriverTables(Tables):
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         super().__init__()
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._raw = spark, sf_dir, {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A driver table, opened once; the known schema spares a footer job per table."""
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
+        return self._raw[name]
 
     def _load(self, name: str) -> DataFrame:
         return getattr(self, f"_{name}")()
@@ -503,9 +520,8 @@ class DriverTables(Tables):
             (s * F.col("item_store_vat")).alias("item_store_vat"), "receipt_doc_ref")
 
     def _months(self, odd: int):
-        m = ym(F.col("l_shipdate"))
-        return (self.raw("lineitem").select(m.alias("ref"), F.date_trunc("month", "l_shipdate").alias("date"))
-                .distinct().filter(F.col("ref") % 2 == odd))
+        return month_span(self.raw("lineitem"), "l_shipdate").select(
+            ym(F.col("date")).alias("ref"), "date").filter(F.col("ref") % 2 == odd)
 
     def _receipt_doc(self):
         return self._months(0)

@@ -14,6 +14,7 @@ from shelfledger.plans import rules, views
 from .driver_tables import CFG, EXPENSE_NAMES, POSITIONS, SUBDIV_NAMES
 
 S3, S12, FIN = "TIMESTAMP '2001-01-01'", "TIMESTAMP '2000-04-01'", "TIMESTAMP '2001-04-01'"
+MOTION = "TIMESTAMP '1995-04-01'"
 
 
 def br(x: str, n: int = 0) -> str:
@@ -270,7 +271,7 @@ C["motion_all"] = f"""SELECT l_shipdate AS date_movement, {code('l_suppkey')} AS
   {code('l_partkey % 50')} AS item_id, l_quantity AS item_motion_qty
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN store s ON s.ref = o_custkey % 100
   LEFT JOIN check_report r ON l_linenumber % 3 = 2 AND r.ref = -((l_suppkey % 25) * 100000 + {ym('l_shipdate')})
-  WHERE l_shipdate >= {S3} AND l_shipdate < {FIN} AND {code('l_partkey % 50')} NOT IN (SELECT item_id FROM non_trade)"""
+  WHERE l_shipdate >= {MOTION} AND l_shipdate < {FIN} AND {code('l_partkey % 50')} NOT IN (SELECT item_id FROM non_trade)"""
 C["stock_motion"] = "SELECT * FROM motion_all WHERE store_id IN (SELECT store_id FROM trade_stores)"
 C["shipment_share"] = f"""SELECT subdiv_id, type_subdiv, {br(div('u', 'sum(u) OVER (PARTITION BY subdiv_id)'), 3)} AS avr_subdiv_share FROM (
   SELECT st.subdiv_id, CASE WHEN nmbr_sale_doc IS NOT NULL THEN 'service' ELSE 'retail' END AS type_subdiv, sum(item_motion_qty) AS u
@@ -312,21 +313,14 @@ C["trip"] = f"""SELECT o_orderkey AS k, {code('o_orderkey')} AS nmbr_delivery, o
 C["person"] = f"SELECT DISTINCT user_id AS ref, {code('user_id')} AS individ_id FROM events"
 C["stops"] = f"""SELECT l_orderkey AS k, l_suppkey AS s, sum(l_quantity) AS weight, any_value(o_orderdate) AS od, any_value(o_custkey) AS c
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""
-C["trip_stop"] = f"""SELECT k, s % 9 = 0 AS to_intermediate, s % 8 = 7 AS is_not_delivered,
-  CASE WHEN s % 12 <> 0 AND od >= {S3} - INTERVAL 14 DAY AND od < {FIN} THEN k || '-' || s END AS nmbr_deliv_order,
-  CASE WHEN s % 12 <> 0 AND od >= {S3} - INTERVAL 14 DAY AND od < {FIN} THEN od END AS date_deliv_order,
-  CASE WHEN s % 12 = 0 THEN 'L' || {code('k')} END AS nmbr_luggage, CASE WHEN s % 12 = 0 THEN od END AS date_luggage FROM stops"""
 _TRIP = "nmbr_delivery, date_delivery, time_depart, time_return, delivery_weight, speedo_start, speedo_finish, store_id, store_name, direction, route_id, route, vehicle_id, vehicle_name, forwarder, driver"
-_ORDER = "k || '-' || s AS order_ref, to_intermediate, is_not_delivered, nmbr_deliv_order, date_deliv_order, nmbr_luggage, date_luggage"
-C["trip_stop_ref"] = "SELECT t.*, t.s_ref AS order_ref FROM (SELECT a.*, a.k || '-' || a.s AS s_ref FROM (SELECT s, * EXCLUDE (k), k FROM (SELECT stops.s, trip_stop.* FROM stops POSITIONAL JOIN trip_stop)) a) t"
 _REPAIR = """CASE WHEN year(time_return) < year(time_depart) THEN time_return + to_years(CAST(year(time_depart) - year(time_return) AS INTEGER))
   WHEN day(time_return) < day(time_depart) THEN time_return + to_days(CAST(day(time_depart) - day(time_return) AS INTEGER)) ELSE time_return END"""
-C["delivery_rows"] = f"""SELECT {_TRIP}, order_ref, to_intermediate, is_not_delivered, nmbr_deliv_order, date_deliv_order, nmbr_luggage, date_luggage
-  FROM trip LEFT JOIN (SELECT k, k || '-' || s AS order_ref, s % 9 = 0 AS to_intermediate, s % 8 = 7 AS is_not_delivered,
+C["delivery_rows"] = f"""SELECT {_TRIP}, to_intermediate, is_not_delivered, nmbr_deliv_order, date_deliv_order, nmbr_luggage, date_luggage
+  FROM trip LEFT JOIN (SELECT k, s % 9 = 0 AS to_intermediate, s % 8 = 7 AS is_not_delivered,
   CASE WHEN s % 12 <> 0 AND od >= {S3} - INTERVAL 14 DAY AND od < {FIN} THEN k || '-' || s END AS nmbr_deliv_order,
   CASE WHEN s % 12 <> 0 AND od >= {S3} - INTERVAL 14 DAY AND od < {FIN} THEN od END AS date_deliv_order,
   CASE WHEN s % 12 = 0 THEN 'L' || {code('k')} END AS nmbr_luggage, CASE WHEN s % 12 = 0 THEN od END AS date_luggage FROM stops) USING (k)"""
-del C["trip_stop"], C["trip_stop_ref"]
 
 
 def _fixed(src: str) -> str:
@@ -667,7 +661,7 @@ def statement(query: str) -> str | None:
 def _comparable(name: str, kind: str) -> str:
     c = f'"{name}"'
     if kind.startswith(("DOUBLE", "FLOAT", "DECIMAL")):
-        return f"round(CAST({c} AS DOUBLE), 4) + 0 AS {c}"
+        return f"CAST(round(CAST({c} AS DECIMAL(38, 7)), 4) AS DOUBLE) + 0 AS {c}"
     if kind == "DATE":
         return f"strftime({c}, '%Y-%m-%d') AS {c}"
     if kind.startswith("TIMESTAMP"):

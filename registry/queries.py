@@ -29,7 +29,7 @@ def stable(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 4)
+            c = F.round(F.round(c.cast("double"), 7), 4)
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -51,8 +51,15 @@ def step(name: str, fn: Callable[[Run], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: stable(fn(make_run(spark, sf_dir)))
 
 
+RUNS: dict[tuple[str, str], Run] = {}
+
+
 def make_run(spark: SparkSession, sf_dir: str) -> Run:
-    return Run(DriverTables(spark, sf_dir), FINISH, CFG, legs=tour_legs, bounded_lines=True)
+    """The run over these tables; as in the application, views read what it has computed."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in RUNS:
+        RUNS[key] = Run(DriverTables(spark, sf_dir), FINISH, CFG, legs=tour_legs, bounded_lines=True)
+    return RUNS[key]
 
 
 START = periods.add_months(FINISH, -3)
@@ -495,7 +502,7 @@ step("vat_allocate", lambda r: r.vat)
 
 # ---- logistics -----------------------------------------------------------------------------------
 
-step("stock_motion", lambda r: logistics.stock_motion(r.t, r.trade_stores, START, FINISH, r.non_trade))
+step("stock_motion", lambda r: logistics.stock_motion(r.t, r.trade_stores, r.motion_start, FINISH, r.non_trade))
 step("shipment_share", lambda r: r.shipment_share)
 step("satellite_share", lambda r: r.satellite_share)
 step("main_share", lambda r: r.main_share)
@@ -555,13 +562,12 @@ def inv_movement_batch(t):
 
 @query
 def inv_rollback(t):
-    return inventory.inv_rollback(inventory.inv_current(t, FINISH, CFG), inventory.inv_movement(t, START, CFG), SNAPSHOTS)
+    return inventory.inv_rollback(inventory.inv_history(t, START, FINISH, CFG), SNAPSHOTS)
 
 
 @query
 def inv_batch_rollback(t):
-    return inventory.inv_batch_rollback(inventory.inv_current_batch(t, FINISH, CFG),
-                                        inventory.inv_movement_batch(t, START, CFG), SNAPSHOTS)
+    return inventory.inv_batch_rollback(inventory.inv_batch_history(t, START, FINISH, CFG), SNAPSHOTS)
 
 
 @query
@@ -569,20 +575,21 @@ def price_history(t):
     return inventory.price_history(t, START, CFG)
 
 
+def _lifo(t):
+    balances = inventory.inv_rollback(inventory.inv_history(t, START, FINISH, CFG), SNAPSHOTS)
+    batches = inventory.inv_batch_rollback(inventory.inv_batch_history(t, START, FINISH, CFG), SNAPSHOTS)
+    prices = inventory.prices_at(inventory.price_history(t, START, CFG), SNAPSHOTS)
+    return inventory.inv_lifo_value(balances, batches, prices)
+
+
 @query
 def inv_lifo_value(t):
-    balances = inventory.inv_rollback(inventory.inv_current(t, FINISH, CFG), inventory.inv_movement(t, START, CFG), SNAPSHOTS)
-    batches = inventory.inv_batch_rollback(inventory.inv_current_batch(t, FINISH, CFG),
-                                           inventory.inv_movement_batch(t, START, CFG), SNAPSHOTS)
-    return inventory.inv_lifo_value(balances, batches, inventory.price_history(t, START, CFG))
+    return _lifo(t)
 
 
 @query
 def inv_category(t):
-    balances = inventory.inv_rollback(inventory.inv_current(t, FINISH, CFG), inventory.inv_movement(t, START, CFG), SNAPSHOTS)
-    batches = inventory.inv_batch_rollback(inventory.inv_current_batch(t, FINISH, CFG),
-                                           inventory.inv_movement_batch(t, START, CFG), SNAPSHOTS)
-    return inventory.inv_category(inventory.inv_lifo_value(balances, batches, inventory.price_history(t, START, CFG)), t)
+    return inventory.inv_category(_lifo(t), t)
 
 
 step("inv_snapshots", lambda r: r.snapshots)

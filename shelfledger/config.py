@@ -62,6 +62,7 @@ class Settings:
     months_back: int = 3
     months_back_long: int = 12
     inventory_months: int = 3
+    motion_months: int = 3
     # organisations and subdivisions
     main_organization: str = "000000001"
     subdiv_merge: dict = field(default_factory=lambda: {"000000189": "000000007"})

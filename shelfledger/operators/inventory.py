@@ -14,7 +14,6 @@ from ..functions.semantics import (bankers_round, conditional_count, near_zero,
                                    safe_div, sign_by_kind)
 from ..sources.readers import Tables, time_bound
 from .refs import decode
-from .relational import asof_join
 
 
 def non_trade_items(roots: DataFrame, cfg: Settings) -> DataFrame:
@@ -55,48 +54,93 @@ def _receipt_dates(t: Tables) -> DataFrame:
         F.col("ref").alias("receipt_doc_ref"), F.coalesce("a", "b").alias("date_receipt"))
 
 
-def inv_current(t: Tables, as_of: date, cfg: Settings) -> DataFrame:
+def _stock_rows(t: Tables, as_of: date) -> DataFrame:
+    """Current stock on references; no movement month."""
     bal = t["stock_balance"]
     bal = bal.filter(F.col("date_balance") > time_bound(bal, "date_balance", as_of, t.shift))
-    df = bal.groupBy("store_ref", "item_ref").agg(F.sum("item_store_qty").alias("q"))
-    return (_decoded(df, t, cfg).groupBy("store_id", "item_id").agg(F.sum("q").alias("item_store_qty"))
-            .filter(F.col("item_store_qty") != 0))
+    return bal.groupBy("store_ref", "item_ref").agg(F.sum("item_store_qty").alias("q")).withColumn(
+        "month", F.lit(None).cast("date"))
 
 
-def inv_current_batch(t: Tables, as_of: date, cfg: Settings) -> DataFrame:
+def _moved_rows(t: Tables, start: date) -> DataFrame:
+    """Signed movement per month on references."""
+    mv = t.register("stock_movement", "date_movement", start, None, ["active"])
+    signed = sign_by_kind(F.col("type_motion"), F.col("item_motion_qty"))
+    return mv.groupBy("store_ref", "item_ref", month_floor(F.col("date_movement")).alias("month")).agg(
+        F.sum(signed).alias("q")).select("store_ref", "item_ref", "q", "month")
+
+
+def _history(rows: DataFrame, t: Tables, cfg: Settings) -> DataFrame:
+    return (_decoded(rows, t, cfg).groupBy("month", "store_id", "item_id").agg(F.sum("q").alias("q"))
+            .filter(F.col("q") != 0))
+
+
+def _stock_batches(t: Tables, as_of: date) -> DataFrame:
     bal = t["batch_balance"]
     bal = bal.filter(F.col("date_balance") > time_bound(bal, "date_balance", as_of, t.shift))
-    df = (bal.withColumn("cost", _cost_with_vat())
-          .groupBy("store_ref", "item_ref", "receipt_doc_ref")
-          .agg(F.sum("item_store_qty").alias("q"), F.sum("cost").alias("c"))
-          .join(_receipt_dates(t), "receipt_doc_ref", "left"))
-    return _decoded(df, t, cfg).groupBy("store_id", "item_id", "date_receipt").agg(
-        F.sum("q").alias("item_store_qty"), F.sum("c").alias("item_store_sum"))
+    return (bal.withColumn("cost", _cost_with_vat()).groupBy("store_ref", "item_ref", "receipt_doc_ref")
+            .agg(F.sum("item_store_qty").alias("q"), F.sum("cost").alias("v"))
+            .withColumn("month", F.lit(None).cast("date")))
+
+
+def _moved_batches(t: Tables, start: date) -> DataFrame:
+    mv = t.register("batch_movement", "date_movement", start, None, ["active"])
+    sign = lambda c: sign_by_kind(F.col("type_motion"), c)
+    return (mv.withColumn("cost", _cost_with_vat())
+            .groupBy("store_ref", "item_ref", "receipt_doc_ref",
+                     month_floor(F.col("date_movement")).alias("month"))
+            .agg(F.sum(sign(F.col("item_motion_qty"))).alias("q"), F.sum(sign(F.col("cost"))).alias("v"))
+            .select("store_ref", "item_ref", "receipt_doc_ref", "q", "v", "month"))
+
+
+def _batch_history(rows: DataFrame, t: Tables, cfg: Settings) -> DataFrame:
+    """Batches by receipt day; a month whose quantity nets to nothing moved nothing."""
+    df = _decoded(rows.join(_receipt_dates(t), "receipt_doc_ref", "left"), t, cfg)
+    return (df.groupBy("month", "date_receipt", "store_id", "item_id")
+            .agg(F.sum("q").alias("q"), F.sum("v").alias("v"))
+            .filter(F.col("month").isNull() | (F.col("q") != 0)))
+
+
+def inv_current(t: Tables, as_of: date, cfg: Settings) -> DataFrame:
+    return _history(_stock_rows(t, as_of), t, cfg).select(
+        "store_id", "item_id", F.col("q").alias("item_store_qty"))
 
 
 def inv_movement(t: Tables, start: date, cfg: Settings) -> DataFrame:
     """Signed movement per month, warehouse and item."""
-    mv = t.register("stock_movement", "date_movement", start, None, ["active"])
-    signed = sign_by_kind(F.col("type_motion"), F.col("item_motion_qty"))
-    df = mv.groupBy(month_floor(F.col("date_movement")).alias("date_movement"), "store_ref",
-                    "item_ref").agg(F.sum(signed).alias("q"))
-    return (_decoded(df, t, cfg).groupBy("date_movement", "store_id", "item_id")
-            .agg(F.sum("q").alias("store_item_moving_qty"))
-            .filter(F.col("store_item_moving_qty") != 0))
+    return _history(_moved_rows(t, start), t, cfg).select(
+        F.col("month").alias("date_movement"), "store_id", "item_id",
+        F.col("q").alias("store_item_moving_qty"))
+
+
+def inv_current_batch(t: Tables, as_of: date, cfg: Settings) -> DataFrame:
+    return _batch_history(_stock_batches(t, as_of), t, cfg).select(
+        "store_id", "item_id", "date_receipt", F.col("q").alias("item_store_qty"),
+        F.col("v").alias("item_store_sum"))
 
 
 def inv_movement_batch(t: Tables, start: date, cfg: Settings) -> DataFrame:
     """Signed batch movement, quantity and cost, per month and receipt day."""
-    mv = t.register("batch_movement", "date_movement", start, None, ["active"])
-    sign = lambda c: sign_by_kind(F.col("type_motion"), c)
-    df = (mv.withColumn("cost", _cost_with_vat())
-          .groupBy(month_floor(F.col("date_movement")).alias("date_movement"), "store_ref", "item_ref",
-                   "receipt_doc_ref")
-          .agg(F.sum(sign(F.col("item_motion_qty"))).alias("q"), F.sum(sign(F.col("cost"))).alias("c"))
-          .join(_receipt_dates(t), "receipt_doc_ref", "left"))
-    return (_decoded(df, t, cfg).groupBy("date_movement", "date_receipt", "store_id", "item_id")
-            .agg(F.sum("q").alias("item_motion_qty"), F.sum("c").alias("item_motion_cost"))
-            .filter(F.col("item_motion_qty") != 0))
+    return _batch_history(_moved_batches(t, start), t, cfg).select(
+        F.col("month").alias("date_movement"), "date_receipt", "store_id", "item_id",
+        F.col("q").alias("item_motion_qty"), F.col("v").alias("item_motion_cost"))
+
+
+def inv_history(t: Tables, start: date, as_of: date, cfg: Settings) -> DataFrame:
+    """Current stock (no month) and monthly movement together, decoded once."""
+    return _history(_stock_rows(t, as_of).unionByName(_moved_rows(t, start)), t, cfg)
+
+
+def inv_batch_history(t: Tables, start: date, as_of: date, cfg: Settings) -> DataFrame:
+    """Current batches (no month) and monthly batch movement together, decoded once."""
+    return _batch_history(_stock_batches(t, as_of).unionByName(_moved_batches(t, start)), t, cfg)
+
+
+def _since(c: str, snapshots: list[date], name: str) -> list[Column]:
+    """Per snapshot: what is there now less what has moved since."""
+    x, m = F.col(c), F.col("month")
+    return [F.sum(F.when(m.isNull(), x).when(m >= F.lit(s), -x).otherwise(0.0)).alias(f"{name}{i}")
+            for i, s in enumerate(snapshots)]
 
 
 def _per_snapshot(snapshots: list[date], *names: str) -> Column:
@@ -106,45 +150,27 @@ def _per_snapshot(snapshots: list[date], *names: str) -> Column:
         for i, d in enumerate(snapshots)])).alias("_s")
 
 
-def inv_rollback(current: DataFrame, movement: DataFrame, snapshots: list[date]) -> DataFrame:
+def inv_rollback(history: DataFrame, snapshots: list[date]) -> DataFrame:
     """Balance at each snapshot: current stock less the movement since.
 
-    Stock and movement are united and summed once with one conditional sum per
-    snapshot. That equals a full outer join per snapshot, with a single shuffle
-    and without a copy of the inputs for every snapshot.
+    One sum with one conditional term per snapshot. That equals a full outer join
+    of stock and movement per snapshot, with a single shuffle and without a copy
+    of the inputs for every snapshot.
     """
-    both = current.select("store_id", "item_id", F.col("item_store_qty").alias("q"),
-                          F.lit(None).cast("date").alias("d")).unionByName(
-        movement.select("store_id", "item_id", F.col("store_item_moving_qty").alias("q"),
-                        F.col("date_movement").alias("d")))
-    q, d = F.col("q"), F.col("d")
-    sums = [F.sum(F.when(d.isNull(), q).when(d >= F.lit(s), -q).otherwise(0.0)).alias(f"balance_qty{i}")
-            for i, s in enumerate(snapshots)]
-    return (both.groupBy("store_id", "item_id").agg(*sums)
+    return (history.groupBy("store_id", "item_id").agg(*_since("q", snapshots, "balance_qty"))
             .select("store_id", "item_id", _per_snapshot(snapshots, "balance_qty"))
             .select("_s.date", "store_id", "item_id", "_s.balance_qty")
             .filter(F.col("balance_qty") != 0))
 
 
-def inv_batch_rollback(current: DataFrame, movement: DataFrame, snapshots: list[date]) -> DataFrame:
+def inv_batch_rollback(history: DataFrame, snapshots: list[date]) -> DataFrame:
     """Batch balances at each snapshot; empty and contradictory batches are left out."""
-    both = current.select("store_id", "item_id", "date_receipt", F.col("item_store_qty").alias("q"),
-                          F.col("item_store_sum").alias("v"), F.lit(None).cast("date").alias("d")
-                          ).unionByName(
-        movement.select("store_id", "item_id", "date_receipt", F.col("item_motion_qty").alias("q"),
-                        F.col("item_motion_cost").alias("v"), F.col("date_movement").alias("d")))
-    d, sums = F.col("d"), []
-    for i, s in enumerate(snapshots):
-        for c, name in (("q", "balance_batch_qty"), ("v", "balance_batch_sum")):
-            x = F.col(c)
-            sums.append(F.sum(F.when(d.isNull(), x).when(d >= F.lit(s), -x).otherwise(0.0))
-                        .alias(f"{name}{i}"))
-    qty, total = F.col("balance_batch_qty"), F.col("balance_batch_sum")
-    return (both.groupBy("store_id", "item_id", "date_receipt").agg(*sums)
-            .select("store_id", "item_id", "date_receipt",
-                    _per_snapshot(snapshots, "balance_batch_qty", "balance_batch_sum"))
-            .select("_s.date", "store_id", "item_id", "date_receipt", "_s.balance_batch_qty",
-                    "_s.balance_batch_sum")
+    names = ("balance_batch_qty", "balance_batch_sum")
+    qty, total = F.col(names[0]), F.col(names[1])
+    return (history.groupBy("store_id", "item_id", "date_receipt")
+            .agg(*_since("q", snapshots, names[0]), *_since("v", snapshots, names[1]))
+            .select("store_id", "item_id", "date_receipt", _per_snapshot(snapshots, *names))
+            .select("_s.date", "store_id", "item_id", "date_receipt", *[f"_s.{n}" for n in names])
             .filter(~near_zero(qty) & ~((qty < 0) & (total > 0))))
 
 
@@ -168,40 +194,44 @@ def price_history(t: Tables, start: date, cfg: Settings) -> DataFrame:
         "item_id", F.col("day").alias("date_setting"), "item_price")
 
 
+def prices_at(prices: DataFrame, snapshots: list[date]) -> DataFrame:
+    """Each item's last price set strictly before each snapshot, in one aggregate."""
+    aggs = [F.max_by("item_price", F.when(F.col("date_setting") < F.lit(s), F.col("date_setting"))).alias(f"item_price{i}")
+            for i, s in enumerate(snapshots)]
+    return prices.groupBy("item_id").agg(*aggs).select(
+        "item_id", _per_snapshot(snapshots, "item_price")).select("_s.date", "item_id", "_s.item_price")
+
+
 def inv_lifo_value(balances: DataFrame, batches: DataFrame, prices: DataFrame) -> DataFrame:
     """Value of each balance out of its newest batches; without batch, by the last price.
 
     One windowed pass over batches, newest receipt first. A group holds one row
     per receipt day, so a busy item is bounded by the calendar, not by its sales.
+    ``prices`` holds one price per snapshot and item.
     """
     key = ["date", "store_id", "item_id"]
-    df = balances.join(batches, key, "left")
-    newest = [F.col("date_receipt").desc_nulls_last()]
-    run = W.partitionBy(*key).orderBy(*newest).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*key)
-    df = (df.withColumn("cq", F.sum("balance_batch_qty").over(run))
-          .withColumn("cv", F.sum("balance_batch_sum").over(run))
-          .withColumn("rn", F.row_number().over(W.partitionBy(*key).orderBy(*newest)))
-          .withColumn("last", F.count(F.lit(1)).over(whole))
-          .withColumn("mx", F.max("cq").over(whole)))
-    b, q, v, cq, cv = (F.col(c) for c in (
-        "balance_qty", "balance_batch_qty", "balance_batch_sum", "cq", "cv"))
+    newest = W.partitionBy(*key).orderBy(F.col("date_receipt").desc_nulls_last())
+    run, whole = newest.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*key)
+    df = (balances.join(batches, key, "left")
+          .withColumns({"cq": F.sum("balance_batch_qty").over(run),
+                        "cv": F.sum("balance_batch_sum").over(run),
+                        "rn": F.row_number().over(newest)})
+          .withColumns({"last": F.count(F.lit(1)).over(whole), "mx": F.max("cq").over(whole)}))
+    b, q, v, cq, cv, rn = (F.col(c) for c in (
+        "balance_qty", "balance_batch_qty", "balance_batch_sum", "cq", "cv", "rn"))
     unit = safe_div(v, q)
     only = q == cq
-    equal = cv
     more = F.when(only, bankers_round(unit * b, 2)).otherwise(
         bankers_round(cv - v + unit * (q - (cq - b)), 2))
     less = F.when(only, bankers_round(unit * b, 2)).otherwise(bankers_round(cv + unit * (b - cq), 2))
-    # One candidate row per case and group: the first match, or the last row.
-    pick = (F.when((F.col("mx") == b) & (cq == b), F.struct(F.col("rn"), equal.alias("s")))
-            .when(cq > b, F.struct(F.col("rn"), more.alias("s")))
-            .when((F.col("mx") < b) & (F.col("rn") == F.col("last")), F.struct(F.col("rn"), less.alias("s"))))
-    valued = (df.filter(cq.isNotNull()).withColumn("_p", pick).filter(F.col("_p").isNotNull())
-              .groupBy(*key).agg(F.min("_p").alias("_p")).select(*key, F.col("_p.s").alias("balance_sum")))
-    bare = asof_join(df.filter(cq.isNull()).select(*key, "balance_qty"), prices, "item_id", "date",
-                     "date_setting", "item_price")
-    bare = bare.select(*key, (F.col("balance_qty") * F.col("item_price")).alias("balance_sum"))
-    return valued.unionByName(bare)
+    # The cases exclude each other: the first matching row of a group gives its value.
+    pick = (F.when((F.col("mx") == b) & (cq == b), F.struct(rn, F.lit(False).alias("bare"), cv.alias("s")))
+            .when(cq > b, F.struct(rn, F.lit(False).alias("bare"), more.alias("s")))
+            .when((F.col("mx") < b) & (rn == F.col("last")), F.struct(rn, F.lit(False).alias("bare"), less.alias("s")))
+            .when(cq.isNull(), F.struct(rn, F.lit(True).alias("bare"), b.alias("s"))))
+    one = df.groupBy(*key).agg(F.min(pick).alias("_p")).filter(F.col("_p").isNotNull())
+    value = F.when(F.col("_p.bare"), F.col("_p.s") * F.col("item_price")).otherwise(F.col("_p.s"))
+    return one.join(prices, ["date", "item_id"], "left").select(*key, value.alias("balance_sum"))
 
 
 def inv_category(values: DataFrame, t: Tables) -> DataFrame:
@@ -219,11 +249,9 @@ def inv_snapshots(t: Tables, finish: date, as_of: date, non_trade: DataFrame, cf
     """Monthly stock value by warehouse and category over the inventory window, in one job."""
     start = add_months(finish, -cfg.inventory_months)
     snaps = months_between(start, finish)
-    trade = lambda df: drop_non_trade(df, non_trade)
-    balances = inv_rollback(trade(inv_current(t, as_of, cfg)), trade(inv_movement(t, start, cfg)), snaps)
-    batches = inv_batch_rollback(trade(inv_current_batch(t, as_of, cfg)),
-                                 trade(inv_movement_batch(t, start, cfg)), snaps)
-    return inv_category(inv_lifo_value(balances, batches, price_history(t, start, cfg)), t)
+    balances = inv_rollback(drop_non_trade(inv_history(t, start, as_of, cfg), non_trade), snaps)
+    batches = inv_batch_rollback(drop_non_trade(inv_batch_history(t, start, as_of, cfg), non_trade), snaps)
+    return inv_category(inv_lifo_value(balances, batches, prices_at(price_history(t, start, cfg), snaps)), t)
 
 
 def _with_subdiv(df: DataFrame, stores: DataFrame, t: Tables) -> DataFrame:

@@ -35,6 +35,7 @@ class Run:
         self.legs, self.bounded_lines, self.materialize = legs, bounded_lines, materialize
         self.start = add_months(finish, -self.cfg.months_back)
         self.start_long = add_months(finish, -self.cfg.months_back_long)
+        self.motion_start = add_months(finish, -self.cfg.motion_months)
         self.months = payroll.window_months(finish, self.cfg.months_back)
 
     @classmethod
@@ -44,11 +45,11 @@ class Run:
     # dimensions
     @cached_property
     def categories(self) -> DataFrame:
-        return refs.subdiv_category(self.t, self.cfg)
+        return self.materialize(refs.subdiv_category(self.t, self.cfg))
 
     @cached_property
     def trade_stores(self) -> DataFrame:
-        return refs.trade_stores(self.t, self.cfg)
+        return self.materialize(refs.trade_stores(self.t, self.cfg))
 
     @cached_property
     def satellites(self) -> DataFrame:
@@ -74,11 +75,12 @@ class Run:
 
     @cached_property
     def sale_store_month(self) -> DataFrame:
-        return sales.sale_store_month(self.sale_month)
+        return self.materialize(sales.sale_store_month(self.sale_month))
 
     @cached_property
     def classes(self) -> DataFrame:
-        return refs.store_class(self.sale_store_month, self.areas, self.categories, self.cfg)
+        return self.materialize(refs.store_class(
+            self.sale_store_month, self.areas, self.categories, self.cfg))
 
     @cached_property
     def service(self) -> DataFrame:
@@ -87,9 +89,9 @@ class Run:
     @cached_property
     def structure(self) -> DataFrame:
         checks = sales.sale_check_category(self.t, self.start, self.finish, self.cfg, self.bounded_lines)
-        return sales.category_structure(
+        return self.materialize(sales.category_structure(
             inventory.inv_category_mean(self.snapshots, self.trade_stores, self.t),
-            sales.sale_structure(checks, self.cfg), self.t, self.cfg)
+            sales.sale_structure(checks, self.cfg), self.t, self.cfg))
 
     @cached_property
     def growth(self) -> DataFrame:
@@ -108,14 +110,15 @@ class Run:
 
     @cached_property
     def direct_costs(self) -> DataFrame:
-        return expenses.direct_costs(
+        return self.materialize(expenses.direct_costs(
             self.expenses, payroll.payroll_support(self.salary, self.categories, self.cfg),
-            payroll.payroll_store(self.salary, self.categories, self.cfg), self.finish, self.cfg)
+            payroll.payroll_store(self.salary, self.categories, self.cfg), self.finish, self.cfg))
 
     @cached_property
     def vat(self) -> DataFrame:
-        return vat.vat_allocate(self.sale_month, self.service,
-                                vat.account_balance(self.t, self.months, self.cfg), self.finish, self.cfg)
+        return self.materialize(vat.vat_allocate(
+            self.sale_month, self.service, vat.account_balance(self.t, self.months, self.cfg),
+            self.finish, self.cfg))
 
     # logistics
     @cached_property
@@ -124,15 +127,16 @@ class Run:
             F.col("store_id").isin(self.cfg.main_store, self.cfg.satellite_store)).select("store_id")
         stores = self.trade_stores.select("store_id").unionByName(two)
         return self.materialize(logistics.motion_units(logistics.stock_motion(
-            self.t, stores, self.start, self.finish, self.non_trade)))
+            self.t, stores, self.motion_start, self.finish, self.non_trade)))
 
     @cached_property
     def shipment_share(self) -> DataFrame:
-        return logistics.shipment_share(self.motion_units, self.trade_stores, self.t)
+        return self.materialize(logistics.shipment_share(self.motion_units, self.trade_stores, self.t))
 
     @cached_property
     def satellite_share(self) -> DataFrame:
-        return logistics.satellite_share(self.motion_units, self.t, self.satellites, self.cfg)
+        return self.materialize(logistics.satellite_share(
+            self.motion_units, self.t, self.satellites, self.cfg))
 
     @cached_property
     def main_share(self) -> DataFrame:
@@ -149,7 +153,7 @@ class Run:
 
     @cached_property
     def crews(self) -> DataFrame:
-        return logistics.delivery_crews(self.t, self.start, self.finish)
+        return self.materialize(logistics.delivery_crews(self.t, self.start, self.finish))
 
     @cached_property
     def crew_cost(self) -> DataFrame:
@@ -157,7 +161,8 @@ class Run:
 
     @cached_property
     def truck_cost(self) -> DataFrame:
-        return logistics.truck_cost_km(self.crews, self.crew_cost, self.expenses, self.finish, self.cfg)
+        return self.materialize(logistics.truck_cost_km(
+            self.crews, self.crew_cost, self.expenses, self.finish, self.cfg))
 
     @cached_property
     def stop_list(self) -> DataFrame:
@@ -175,8 +180,9 @@ class Run:
     def transport(self) -> DataFrame:
         if self.legs is None:
             raise ValueError("transport cost needs the tours of a route service (legs)")
-        return logistics.transport_store(self.stop_list, self.legs(self.tours), self.truck_cost,
-                                         self.satellite_share, self.t, self.cfg)
+        return self.materialize(logistics.transport_store(
+            self.stop_list, self.legs(self.tours), self.truck_cost, self.satellite_share, self.t,
+            self.cfg))
 
     # stock and loyalty
     @cached_property
@@ -188,6 +194,10 @@ class Run:
     def discounts(self) -> DataFrame:
         return loyalty.discount_lines(self.t, self.start, self.finish)
 
+    @cached_property
+    def discount_class(self) -> DataFrame:
+        return self.materialize(loyalty.discount_class(self.discounts, self.t))
+
     # results
     @cached_property
     def store_kpis(self) -> DataFrame:
@@ -195,7 +205,7 @@ class Run:
             sales.sale_store(self.sale_store_month, self.finish, self.cfg), refs.shop_areas(self.areas),
             inventory.inv_store_mean(self.snapshots, self.trade_stores, self.t), self.direct_costs,
             self.shipment_share, self.warehouse_cost, self.transport, self.vat,
-            loyalty.discount_class(self.discounts, self.t), sales.revenue_generator(self.structure),
+            self.discount_class, sales.revenue_generator(self.structure),
             self.categories)
         return self.materialize(kpi.store_kpis(inputs, self.classes, self.subdivs, self.cfg))
 
