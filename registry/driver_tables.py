@@ -17,7 +17,7 @@ from shelfledger.config import (DISCOUNT_EARNED_NAME, DISCOUNT_ROUNDING, DISCOUN
 from shelfledger.functions.periods import month_span
 from shelfledger.operators.logistics import tour_key
 from shelfledger.operators.relational import block_row_number
-from shelfledger.sources.readers import Tables
+from shelfledger.sources.readers import Tables, cut_lineage
 
 FINISH = date(2001, 4, 1)
 CFG = Settings(
@@ -592,11 +592,14 @@ class DriverTables(Tables):
             *[((k + i) % 2 == 0).alias(f"day_{i}") for i in range(1, 8)])
 
     def _legs(self):
-        """One tour per order: its distinct suppliers in key order, the quantity as distance."""
+        """One tour per order: its distinct suppliers in key order, the quantity as distance.
+
+        Tours are an input table, so they are written once.
+        """
         stops = self._stops().select(F.col("l_orderkey").alias("trip_key"), "l_suppkey",
                                      F.col("weight").alias("distance"))
-        return block_row_number(stops, ["trip_key"], "l_suppkey", "leg_no").select(
-            "trip_key", "leg_no", code(F.col("l_suppkey")).alias("end"), "distance")
+        return cut_lineage(block_row_number(stops, ["trip_key"], "l_suppkey", "leg_no").select(
+            "trip_key", "leg_no", code(F.col("l_suppkey")).alias("end"), "distance"))
 
 
 def tour_legs(tours: DataFrame) -> DataFrame:

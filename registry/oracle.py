@@ -580,7 +580,7 @@ C["z_join_self_parent"] = """SELECT a.p_brand = 'Brand#25' AS group_marked, a.gr
 C["z_join_dual_role"] = f"SELECT {code('o_orderkey')} AS nmbr_delivery, f.individ_id AS forwarder, d.individ_id AS driver FROM orders LEFT JOIN person f ON f.ref = o_custkey % 41 LEFT JOIN person d ON d.ref = o_custkey % 37"
 C["z_join_polymorphic"] = f"""SELECT CASE l_linenumber % 3 WHEN 0 THEN 'sale' WHEN 1 THEN 'transfer' ELSE CASE WHEN r.ref IS NOT NULL THEN 'check' END END AS document, count(*) AS n, sum(l_quantity) AS qty
   FROM lineitem LEFT JOIN check_report r ON l_linenumber % 3 = 2 AND r.ref = -((l_suppkey % 25) * 100000 + {ym('l_shipdate')}) GROUP BY 1"""
-C["z_asof_price"] = """SELECT item_ref, count(*) AS n, count(item_price) AS priced, sum(qty * item_price) AS value FROM (SELECT item_ref % 50 AS item_ref, printf('%09d', item_ref % 50) AS item_id, CAST(check_time AS DATE) AS d, qty FROM check_line) c
+C["z_asof_price"] = """SELECT item_ref, count(*) AS n, count(item_price) AS priced, sum(qty * item_price) AS value FROM (SELECT l_partkey % 50 AS item_ref, printf('%09d', l_partkey % 50) AS item_id, CAST(l_shipdate AS DATE) AS d, l_quantity AS qty FROM lineitem) c
   ASOF LEFT JOIN price_day p ON p.item_id = c.item_id AND c.d > p.date_setting GROUP BY 1"""
 C["z_agg_sum"] = "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS sum_net, sum(l_quantity) AS strict_qty FROM lineitem GROUP BY 1, 2"
 C["z_agg_sum_pair"] = "SELECT s_nationkey AS subdiv_ref, sum(l_extendedprice) + sum(l_extendedprice * l_tax) AS with_vat FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1"

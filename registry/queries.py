@@ -216,8 +216,9 @@ def join_polymorphic(t):
 
 @query
 def asof_price(t):
-    """Each order line against the last price of its item set before the order's day."""
-    lines = t["check_line"].select((F.col("item_ref") % 50).alias("item_ref"), F.to_date("check_time").alias("day"), "item_qty")
+    """Each order line against the last price of its item set before the line's day."""
+    lines = t.raw("lineitem").select((F.col("l_partkey") % 50).alias("item_ref"), F.to_date("l_shipdate").alias("day"),
+                                     F.col("l_quantity").alias("item_qty"))
     prices = t["price_history"].select("item_ref", F.to_date("date_setting").alias("date_setting"), "item_price")
     df = rel.asof_join(lines, prices, "item_ref", "day", "date_setting", "item_price")
     return df.groupBy("item_ref").agg(
@@ -576,10 +577,9 @@ def price_history(t):
 
 
 def _lifo(t):
-    balances = inventory.inv_rollback(inventory.inv_history(t, START, FINISH, CFG), SNAPSHOTS)
-    batches = inventory.inv_batch_rollback(inventory.inv_batch_history(t, START, FINISH, CFG), SNAPSHOTS)
     prices = inventory.prices_at(inventory.price_history(t, START, CFG), SNAPSHOTS)
-    return inventory.inv_lifo_value(balances, batches, prices)
+    return inventory.inv_lifo_value(inventory.inv_history(t, START, FINISH, CFG),
+                                    inventory.inv_batch_history(t, START, FINISH, CFG), prices, SNAPSHOTS)
 
 
 @query

@@ -150,6 +150,22 @@ def _per_snapshot(snapshots: list[date], *names: str) -> Column:
         for i, d in enumerate(snapshots)])).alias("_s")
 
 
+def _balances_wide(history: DataFrame, snapshots: list[date]) -> DataFrame:
+    return history.groupBy("store_id", "item_id").agg(*_since("q", snapshots, "balance_qty"))
+
+
+def _batches_wide(history: DataFrame, snapshots: list[date]) -> DataFrame:
+    """One row per batch; per snapshot its balance, NULL where empty or contradictory."""
+    df = history.groupBy("store_id", "item_id", "date_receipt").agg(
+        *_since("q", snapshots, "_q"), *_since("v", snapshots, "_v"))
+    out = {}
+    for i in range(len(snapshots)):
+        q, v = F.col(f"_q{i}"), F.col(f"_v{i}")
+        kept = ~near_zero(q) & ~((q < 0) & (v > 0))
+        out[f"balance_batch_qty{i}"], out[f"balance_batch_sum{i}"] = F.when(kept, q), F.when(kept, v)
+    return df.select("store_id", "item_id", "date_receipt", *[c.alias(n) for n, c in out.items()])
+
+
 def inv_rollback(history: DataFrame, snapshots: list[date]) -> DataFrame:
     """Balance at each snapshot: current stock less the movement since.
 
@@ -157,7 +173,7 @@ def inv_rollback(history: DataFrame, snapshots: list[date]) -> DataFrame:
     of stock and movement per snapshot, with a single shuffle and without a copy
     of the inputs for every snapshot.
     """
-    return (history.groupBy("store_id", "item_id").agg(*_since("q", snapshots, "balance_qty"))
+    return (_balances_wide(history, snapshots)
             .select("store_id", "item_id", _per_snapshot(snapshots, "balance_qty"))
             .select("_s.date", "store_id", "item_id", "_s.balance_qty")
             .filter(F.col("balance_qty") != 0))
@@ -166,30 +182,29 @@ def inv_rollback(history: DataFrame, snapshots: list[date]) -> DataFrame:
 def inv_batch_rollback(history: DataFrame, snapshots: list[date]) -> DataFrame:
     """Batch balances at each snapshot; empty and contradictory batches are left out."""
     names = ("balance_batch_qty", "balance_batch_sum")
-    qty, total = F.col(names[0]), F.col(names[1])
-    return (history.groupBy("store_id", "item_id", "date_receipt")
-            .agg(*_since("q", snapshots, names[0]), *_since("v", snapshots, names[1]))
+    return (_batches_wide(history, snapshots)
             .select("store_id", "item_id", "date_receipt", _per_snapshot(snapshots, *names))
             .select("_s.date", "store_id", "item_id", "date_receipt", *[f"_s.{n}" for n in names])
-            .filter(~near_zero(qty) & ~((qty < 0) & (total > 0))))
+            .filter(F.col("balance_batch_qty").isNotNull()))
 
 
 def price_history(t: Tables, start: date, cfg: Settings) -> DataFrame:
     """Prices per item and day from the last one before ``start`` on.
 
-    An item first priced after ``start`` has no lower bound and is left out. The
-    bound is an aggregate per item joined back, so no item's history is sorted.
+    An item first priced after ``start`` has no lower bound and is left out. Prices
+    shrink to one row per item and day before the window that finds the bound.
     """
     kinds = t["price_type_dim"].filter(F.col("price_type_id") == cfg.price_type).select(
         F.col("ref").alias("price_type_ref"))
     df = t.unshift(t["price_history"].filter("active"), "date_setting")
     df = df.join(kinds, "price_type_ref", "left_semi").withColumn("day", F.to_date("date_setting"))
+    before = F.when(F.col("date_setting") < time_bound(df, "date_setting", start), F.col("date_setting"))
     # One price per item and day: the latest setting of the day.
     df = df.groupBy("item_ref", "day").agg(
         F.max("date_setting").alias("at"), F.max_by("item_price", "date_setting").alias("item_price"),
-        F.max(F.when(F.col("date_setting") < time_bound(df, "date_setting", start), F.col("date_setting"))).alias("before"))
-    floor = df.groupBy("item_ref").agg(F.max("before").alias("floor"))
-    df = df.join(floor.filter(F.col("floor").isNotNull()), "item_ref").filter(F.col("at") >= F.col("floor"))
+        F.max(before).alias("before"))
+    df = df.withColumn("floor", F.max("before").over(W.partitionBy("item_ref"))).filter(
+        F.col("at") >= F.col("floor"))
     return decode(df, "item_ref", t["item_dim"], "item_id").select(
         "item_id", F.col("day").alias("date_setting"), "item_price")
 
@@ -202,36 +217,56 @@ def prices_at(prices: DataFrame, snapshots: list[date]) -> DataFrame:
         "item_id", _per_snapshot(snapshots, "item_price")).select("_s.date", "item_id", "_s.item_price")
 
 
-def inv_lifo_value(balances: DataFrame, batches: DataFrame, prices: DataFrame) -> DataFrame:
+def _lifo_row(i: int) -> tuple[Column, Column]:
+    """Which row of a group gives snapshot ``i`` its amount, and that amount unrounded.
+
+    The cases exclude each other: stock met exactly by some batch, more in the
+    batches than in stock, less in the batches, no batch at all.
+    """
+    b, q, v, cq, cv, mx, last = (F.col(f"{c}{i}") for c in (
+        "balance_qty", "balance_batch_qty", "balance_batch_sum", "cq", "cv", "mx", "last"))
+    rn, unit, only = F.col("rn"), safe_div(v, q), q == cq
+    more = F.when(only, unit * b).otherwise(cv - v + unit * (q - (cq - b)))
+    less = F.when(only, unit * b).otherwise(cv + unit * (b - cq))
+    hit = (F.when(mx.isNull(), rn == 1).when(q.isNull(), F.lit(False)).when(mx == b, cq == b)
+           .when(mx > b, cq > b).otherwise(rn == last))
+    amount = F.when(mx.isNull(), b).when(mx == b, cv).when(mx > b, more).otherwise(less)
+    return F.when(hit, rn), amount
+
+
+def inv_lifo_value(history: DataFrame, batch_history: DataFrame, prices: DataFrame,
+                   snapshots: list[date]) -> DataFrame:
     """Value of each balance out of its newest batches; without batch, by the last price.
 
-    One windowed pass over batches, newest receipt first. A group holds one row
-    per receipt day, so a busy item is bounded by the calendar, not by its sales.
-    ``prices`` holds one price per snapshot and item.
+    All snapshots are columns of one windowed pass over the batches, newest receipt
+    first; rows per snapshot appear only when each group is down to one row. A
+    group holds one row per receipt day, so a busy item is bounded by the
+    calendar, not by its sales. ``prices`` holds one price per snapshot and item.
     """
-    key = ["date", "store_id", "item_id"]
+    n = range(len(snapshots))
+    key = ["store_id", "item_id"]
     newest = W.partitionBy(*key).orderBy(F.col("date_receipt").desc_nulls_last())
     run, whole = newest.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*key)
-    df = (balances.join(batches, key, "left")
-          .withColumns({"cq": F.sum("balance_batch_qty").over(run),
-                        "cv": F.sum("balance_batch_sum").over(run),
-                        "rn": F.row_number().over(newest)})
-          .withColumns({"last": F.count(F.lit(1)).over(whole), "mx": F.max("cq").over(whole)}))
-    b, q, v, cq, cv, rn = (F.col(c) for c in (
-        "balance_qty", "balance_batch_qty", "balance_batch_sum", "cq", "cv", "rn"))
-    unit = safe_div(v, q)
-    only = q == cq
-    more = F.when(only, bankers_round(unit * b, 2)).otherwise(
-        bankers_round(cv - v + unit * (q - (cq - b)), 2))
-    less = F.when(only, bankers_round(unit * b, 2)).otherwise(bankers_round(cv + unit * (b - cq), 2))
-    # The cases exclude each other: the first matching row of a group gives its value.
-    pick = (F.when((F.col("mx") == b) & (cq == b), F.struct(rn, F.lit(False).alias("bare"), cv.alias("s")))
-            .when(cq > b, F.struct(rn, F.lit(False).alias("bare"), more.alias("s")))
-            .when((F.col("mx") < b) & (rn == F.col("last")), F.struct(rn, F.lit(False).alias("bare"), less.alias("s")))
-            .when(cq.isNull(), F.struct(rn, F.lit(True).alias("bare"), b.alias("s"))))
-    one = df.groupBy(*key).agg(F.min(pick).alias("_p")).filter(F.col("_p").isNotNull())
-    value = F.when(F.col("_p.bare"), F.col("_p.s") * F.col("item_price")).otherwise(F.col("_p.s"))
-    return one.join(prices, ["date", "item_id"], "left").select(*key, value.alias("balance_sum"))
+    df = _balances_wide(history, snapshots).join(_batches_wide(batch_history, snapshots), key, "left")
+    sums = {"rn": F.row_number().over(newest)}
+    for i in n:
+        sums[f"cq{i}"] = F.sum(f"balance_batch_qty{i}").over(run)
+        sums[f"cv{i}"] = F.sum(f"balance_batch_sum{i}").over(run)
+    tops, picks = {}, []
+    for i in n:
+        batch = F.col(f"balance_batch_qty{i}").isNotNull()
+        tops[f"mx{i}"] = F.max(F.when(batch, F.col(f"cq{i}"))).over(whole)
+        tops[f"last{i}"] = F.max(F.when(batch, F.col("rn"))).over(whole)
+        row, amount = _lifo_row(i)
+        picks += [F.max(f"balance_qty{i}").alias(f"b{i}"), F.max(f"mx{i}").alias(f"mx{i}"),
+                  F.min_by(amount, row).alias(f"amount{i}")]
+    one = df.withColumns(sums).withColumns(tops).groupBy(*key).agg(*picks)
+    rows = one.select(*key, _per_snapshot(snapshots, "b", "mx", "amount")).select("_s.*", *key).filter(
+        F.col("b") != 0)
+    amount, mx = F.col("amount"), F.col("mx")
+    value = (F.when(mx.isNull(), amount * F.col("item_price")).when(mx == F.col("b"), amount)
+             .otherwise(bankers_round(amount, 2)))
+    return rows.join(prices, ["date", "item_id"], "left").select("date", *key, value.alias("balance_sum"))
 
 
 def inv_category(values: DataFrame, t: Tables) -> DataFrame:
@@ -249,9 +284,10 @@ def inv_snapshots(t: Tables, finish: date, as_of: date, non_trade: DataFrame, cf
     """Monthly stock value by warehouse and category over the inventory window, in one job."""
     start = add_months(finish, -cfg.inventory_months)
     snaps = months_between(start, finish)
-    balances = inv_rollback(drop_non_trade(inv_history(t, start, as_of, cfg), non_trade), snaps)
-    batches = inv_batch_rollback(drop_non_trade(inv_batch_history(t, start, as_of, cfg), non_trade), snaps)
-    return inv_category(inv_lifo_value(balances, batches, prices_at(price_history(t, start, cfg), snaps)), t)
+    stock = drop_non_trade(inv_history(t, start, as_of, cfg), non_trade)
+    batches = drop_non_trade(inv_batch_history(t, start, as_of, cfg), non_trade)
+    prices = prices_at(price_history(t, start, cfg), snaps)
+    return inv_category(inv_lifo_value(stock, batches, prices, snaps), t)
 
 
 def _with_subdiv(df: DataFrame, stores: DataFrame, t: Tables) -> DataFrame:

@@ -16,8 +16,8 @@ from ..functions.semantics import (bankers_round, in_local, not_in_local, r_sum,
 from ..sources.readers import Tables
 from .expenses import fuel_months, maintenance_mean
 from .refs import decode, ref_route, ref_subdiv, ref_vehicle
-from .relational import (join_null_safe, latest_per_key, pick_other_row, running_sum, share_of,
-                         union_by_name)
+from .relational import (group_total, join_null_safe, latest_per_key, pick_other_row, running_sum,
+                         share_of, split_long, union_by_name)
 
 # ---- stock motion ---------------------------------------------------------------------------
 
@@ -349,17 +349,24 @@ def stop_explode(tours: DataFrame) -> DataFrame:
 def leg_allocate(legs: DataFrame, key: Sequence[str] = ("trip_key",), block: int = 4096) -> DataFrame:
     """Tour length given to its stops by min(distance from start, distance to end).
 
-    The last leg leads back and has no stop. Running sums go in blocks, so a very
-    long tour is not sorted in one task.
+    The last leg leads back and has no stop. Tours of fewer than ``block`` legs
+    take one window; longer ones are added up in blocks, so no task sorts a whole
+    very long tour.
     """
     key = list(key)
-    whole = legs.groupBy(*key).agg(r_sum(F.col("distance")).alias("_total"), F.max("leg_no").alias("_last"))
-    df = join_null_safe(running_sum(legs, key, "leg_no", "distance", "_to", block), whole, key)
-    df = df.filter(F.col("leg_no") < F.col("_last")).withColumn(
-        "_w", F.least(F.col("_to"), F.col("_total") - F.col("_to")))
-    weights = df.groupBy(*key).agg(F.sum("_w").alias("_sum_w"))
+    short, long = split_long(legs, key, "leg_no", block)
+    whole = W.partitionBy(*key)
+    run = whole.orderBy("leg_no").rowsBetween(W.unboundedPreceding, 0)
+    weight = F.least(F.col("_to"), F.col("_total") - F.col("_to"))
+    to_stop = F.col("leg_no") < F.col("_last")
+    short = (short.withColumns({"_to": F.sum("distance").over(run), "_total": F.sum("distance").over(whole),
+                                "_last": F.max("leg_no").over(whole)})
+             .withColumn("_w", F.when(to_stop, weight))
+             .withColumn("_sum_w", F.sum("_w").over(whole)).filter(to_stop))
+    long = running_sum(long, key, "leg_no", "distance", "_to", "_total", "_last", block)
+    long = group_total(long.filter(to_stop).withColumn("_w", weight), key, "leg_no", "_w", "_sum_w", block)
     part = safe_div(F.col("_w"), F.col("_sum_w")) * F.col("_total")
-    return join_null_safe(df, weights, key).select(
+    return short.unionByName(long).select(
         *key, F.col("end").alias("pos"), bankers_round(part, 1).alias("distance"))
 
 

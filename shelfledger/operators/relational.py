@@ -104,28 +104,63 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_day: str, right_
             .drop("_k", "_day"))
 
 
+def _blocks(df: DataFrame, keys: Sequence[str], value: str, position: str) -> DataFrame:
+    """Per block of a group that spans several: sum before it, group total and last position."""
+    group = W.partitionBy(*keys)
+    before = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    return (df.groupBy(*keys, "_b").agg(F.sum(value).alias("_t"), F.max(position).alias("_l"))
+            .withColumns({"_off": F.coalesce(F.sum("_t").over(before), F.lit(0)),
+                          "_all": F.sum("_t").over(group), "_end": F.max("_l").over(group),
+                          "_n": F.count(F.lit(1)).over(group)})
+            .filter(F.col("_n") > 1).drop("_t", "_l", "_n"))
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], position: str, value: str, out: str,
-                block: int = 4096) -> DataFrame:
-    """Running sum over whole-number positions in blocks.
+                total: str | None = None, last: str | None = None, block: int = 4096) -> DataFrame:
+    """Running sum over whole-number positions, with the group's total and last position.
 
-    A first window adds within a block of ``block`` positions, a second one over
-    the block totals only, so no task sorts a whole long group.
+    A window adds within a block of ``block`` positions; block totals give the
+    offsets. So no task sorts a whole long group, and a short one needs nothing
+    but the window: only blocks of longer groups are joined back.
     """
     b = df.withColumn("_b", F.floor(F.col(position) / F.lit(block)))
     k = [*keys, "_b"]
-    totals = b.groupBy(*k).agg(F.sum(value).alias("_t"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    inside = W.partitionBy(*k).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
-    return (join_null_safe(b.withColumn("_in", F.sum(value).over(inside)), totals, k)
-            .withColumn(out, F.col("_in") + F.col("_off")).drop("_b", "_in", "_off"))
+    part = W.partitionBy(*k)
+    inside = part.orderBy(position).rowsBetween(W.unboundedPreceding, 0)
+    w = b.withColumns({"_in": F.sum(value).over(inside), "_bt": F.sum(value).over(part),
+                       "_bl": F.max(position).over(part)})
+    w = join_null_safe(w, _blocks(b, keys, value, position), k)
+    cols = {out: F.col("_in") + F.coalesce("_off", F.lit(0))}
+    if total:
+        cols[total] = F.coalesce("_all", "_bt")
+    if last:
+        cols[last] = F.coalesce("_end", "_bl")
+    return w.withColumns(cols).drop("_b", "_in", "_bt", "_bl", "_off", "_all", "_end")
+
+
+def group_total(df: DataFrame, keys: Sequence[str], position: str, value: str, out: str,
+                block: int = 4096) -> DataFrame:
+    """Group total on every row, again in blocks of positions."""
+    b = df.withColumn("_b", F.floor(F.col(position) / F.lit(block)))
+    k = [*keys, "_b"]
+    w = b.withColumn("_bt", F.sum(value).over(W.partitionBy(*k)))
+    blocks = _blocks(b, keys, value, position).select(*k, "_all")
+    return join_null_safe(w, blocks, k).withColumn(out, F.coalesce("_all", "_bt")).drop("_b", "_bt", "_all")
+
+
+def split_long(df: DataFrame, keys: Sequence[str], position: str,
+               block: int) -> tuple[DataFrame, DataFrame]:
+    """Groups whose dense positions stay below ``block``, and the few others."""
+    keys = list(keys)
+    long_keys = df.filter(F.col(position) >= block).select(*keys).distinct()
+    return df.join(long_keys, keys, "left_anti"), df.join(long_keys, keys, "left_semi")
 
 
 def block_row_number(df: DataFrame, keys: Sequence[str], order: str, out: str,
                      block: int = 4096) -> DataFrame:
     """Row number by a whole-number column that is unique per key."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return running_sum(one, keys, order, "_one", out, block).drop("_one")
+    return running_sum(one, keys, order, "_one", out, block=block).drop("_one")
 
 
 def transpose_long(df: DataFrame, ids: Sequence[str], values: Sequence[tuple[str, str]],
