@@ -21,8 +21,7 @@ def decode(df: DataFrame, ref: str, dim: DataFrame, *columns: str, drop: bool =
     """Left join a dimension on its reference; ``new=old`` renames a column."""
     d = dim.select(F.col(key).alias("_ref"), *columns,
                    *[F.col(old).alias(new) for new, old in renamed.items()])
-    out = df.join(d, df[ref] == d["_ref"], "left").drop("_ref")
-    return out.drop(ref) if drop else out
+    return df.join(d, df[ref] == d["_ref"], "left").drop("_ref", *([ref] if drop else []))
 
 
 def ref_items(t: Tables) -> DataFrame:

@@ -188,15 +188,17 @@ def service_profit(t: Tables, start: date, finish: date) -> DataFrame:
 
     cost = (t.register("cost_register", "date", start, finish, ["active"])
             .groupBy("doc_ref", "item_ref")
-            .agg(F.sum("item_cost_sum").alias("c"), F.sum("item_cost_vat").alias("v"))
-            .join(items, "item_ref", "left"))
-    cost = cost.join(docs.select("doc_ref", *doc), "doc_ref", "left").join(
-        refunds.withColumnRenamed("refund_ref", "doc_ref"), "doc_ref", "left")
-    cost = (cost.join(targets, refund_key, "left")
-            .filter(F.col("sale_doc_nmbr").isNotNull() | F.col("to_nmbr").isNotNull())
-            .withColumn("n", F.coalesce("n", F.lit(1)))
-            .groupBy(F.coalesce("to_nmbr", "sale_doc_nmbr").alias("sale_doc_nmbr"),
-                     F.coalesce("to_date", "sale_doc_date").alias("sale_doc_date"))
+            .agg(F.sum("item_cost_sum").alias("c"), F.sum("item_cost_vat").alias("v")))
+    # Sale documents and refunds go separate ways: a left join on the refund's number
+    # would send every sale row, NULL in that number, to the same tasks.
+    sold = cost.join(docs.select("doc_ref", *doc), "doc_ref").filter(
+        F.col("sale_doc_nmbr").isNotNull()).select(*doc, "c", "v", F.lit(1).cast("bigint").alias("n"))
+    returned = (cost.join(refunds.withColumnRenamed("refund_ref", "doc_ref"), "doc_ref")
+                .join(items, "item_ref").join(targets, refund_key)
+                .filter(F.col("to_nmbr").isNotNull())
+                .select(F.col("to_nmbr").alias("sale_doc_nmbr"), F.col("to_date").alias("sale_doc_date"),
+                        "c", "v", "n"))
+    cost = (sold.unionByName(returned).groupBy(*doc)
             .agg((F.sum(F.col("c") * F.col("n")) + F.sum(F.col("v") * F.col("n"))).alias("doc_cost_sum"))
             .filter(F.col("doc_cost_sum") > 0))
 
