@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,8 +201,27 @@ class Run:
         return self.materialize(loyalty.discount_class(self.discounts, self.t))
 
     # results
+    def _together(self, *steps: str) -> None:
+        """Submit independent steps at once, so small jobs fill the cluster side by side."""
+        with ThreadPoolExecutor(len(steps)) as pool:
+            for done in [pool.submit(self._spark_thread(getattr), self, s) for s in steps]:
+                done.result()
+
+    def _spark_thread(self, fn):
+        return inheritable_thread_target(self.categories.sparkSession)(fn)
+
+    def prepare(self) -> None:
+        """Compute the shared steps; no step of a group reads another of the same group."""
+        _ = self.categories, self.trade_stores, self.satellites, self.subdivs, self.areas
+        self._together("non_trade", "sale_month", "expenses", "salary", "crews", "discount_class")
+        self._together("motion_units", "snapshots", "sale_store_month", "direct_costs", "crew_cost",
+                       "vat")
+        self._together("shipment_share", "satellite_share", "structure", "classes", "truck_cost",
+                       "stop_list")
+
     @cached_property
     def store_kpis(self) -> DataFrame:
+        self.prepare()
         inputs = kpi.kpi_inputs(
             sales.sale_store(self.sale_store_month, self.finish, self.cfg), refs.shop_areas(self.areas),
             inventory.inv_store_mean(self.snapshots, self.trade_stores, self.t), self.direct_costs,
