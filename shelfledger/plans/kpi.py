@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DISCOUNT_CLASSES, DISCOUNT_MARKETING, DISCOUNT_SPENT, NAME_CLEANING, Settings
+from ..config import DISCOUNT_MARKETING, DISCOUNT_SPENT, NAME_CLEANING, Settings
 from ..functions.semantics import bankers_round, clean_name, safe_div
 from ..operators.loyalty import discount_subdiv
 from ..operators.sales import basket_figures
