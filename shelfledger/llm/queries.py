@@ -7,15 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import bpe, simhash, token_store
+from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name."""
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = call
     return fn
 
 
@@ -24,3 +29,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to shards and found again by its key."""
+    docs = table(spark, sf_dir, "documents")
+    store = token_store.write(docs)
+    return token_store.checksums(store, token_store.all_keys(docs)).drop("copy")
