@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, token_store
+from . import bpe, line_dedup, simhash, token_store
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of two or more lines that stand earlier in the table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_runs(docs, counts=("n_lines", "n_deleted"))
+
+
+SQL["op2_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p
+  FROM documents),
+pairs AS (
+  SELECT doc_id, p, line, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS line2 FROM lines),
+ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, p) AS nth FROM pairs WHERE line2 IS NOT NULL),
+dead AS (
+  SELECT DISTINCT doc_id, p + k AS p FROM ranked, (VALUES (0), (1)) AS v(k) WHERE nth > 1),
+marked AS (
+  SELECT lines.*, dead.p IS NOT NULL AS gone FROM lines LEFT JOIN dead ON lines.doc_id = dead.doc_id AND lines.p = dead.p)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS text,
+       count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted
+FROM marked GROUP BY doc_id"""
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
