@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, minhash, simhash, token_store
+from . import bpe, chunk_dedup, line_dedup, minhash, simhash, token_store
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,14 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(store, token_store.all_keys(docs)).drop("copy")
 
 
+@query
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with passages that stand earlier in the table: what goes, where it stood first."""
+    spans = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    gone = F.aggregate(F.zip_with("ends", "starts", lambda a, b: a - b), F.lit(0), lambda a, b: a + b)
+    return spans.select("doc_id", F.size("starts").alias("n_spans"), gone.alias("n_chars_deleted"), "starts", "ends", "sources")
+
+
 @query
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and its likeness to that and to the next document."""
