@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, line_dedup, minhash, simhash, token_store
+from . import bpe, chunk_dedup, line_dedup, minhash, secrets, simhash, token_store
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,12 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.size("starts").alias("n_spans"), gone.alias("n_chars_deleted"), "starts", "ends", "sources")
 
 
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: the fixed patterns and the strings compression does not expect."""
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and its likeness to that and to the next document."""
