@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ from pyspark.sql import types as T
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters encoded at once, and pieces a worker keeps.
-SLAB, KEPT = 1 << 21, 500_000
+SLAB, KEPT = 1 << 21, 300_000
 
 # Splitting rule of byte-level vocabularies (fixed value): contractions, letters, numbers, others, spaces.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# No other part can start where letters or numbers do, so these, the most frequent, come first.
+PIECES = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 # The same rule where every character is below 256, with the classes written out.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-PIECES_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+PIECES_LATIN = re.compile(f" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 def pieces(text: str) -> list[str]:
@@ -170,20 +172,39 @@ def merge_pieces(v: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np.nd
     return sym[alive], total[stops] - total[stops - size]
 
 
+class Numbers(dict):
+    """Numbers pieces as they are met; ``new`` lists those met for the first time."""
+
+    def __init__(self, known: Sequence[str]) -> None:
+        super().__init__(zip(known, range(len(known))))
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = k = len(self)
+        return k
+
+
 class Coder:
-    """Encodes texts piece by piece; pieces met before come from a bounded store."""
+    """Encodes texts piece by piece; the pieces used most are kept for later texts, up to a bound."""
 
     def __init__(self, v: Vocabulary, encode_pieces: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> None:
         self.v = v
         self.encode_pieces = encode_pieces or (lambda words: merge_pieces(v, words))
-        self.forget()
+        self.number = Numbers([*v.special])  # special tokens are pieces of one id
+        self.flat = np.array([*v.special.values()], np.uint32)
+        self.length = np.ones(len(v.special), np.int64)
+        self.uses = np.zeros(len(v.special), np.int64)
 
     def forget(self) -> None:
-        ids = list(self.v.special.values())  # special tokens are pieces of one id
-        self.number = {w: k for k, w in enumerate(self.v.special)}
-        self.flat = np.array(ids, np.uint32)
-        self.length = np.ones(len(ids), np.int64)
-        self.at = np.arange(len(ids))
+        """Keep the special tokens and of the other pieces the half of the bound that was used most."""
+        special = len(self.v.special)
+        floor = np.partition(self.uses, -KEPT // 2)[-KEPT // 2] if KEPT else self.uses.max()
+        keep = self.uses > floor
+        keep[:special] = True
+        self.number = Numbers([w for w, k in zip(self.number, keep.tolist()) if k])
+        self.flat = gather(self.flat, (np.cumsum(self.length) - self.length)[keep], self.length[keep])
+        self.length, self.uses = self.length[keep], self.uses[keep] // 2
 
     def split(self, text: str) -> list[str]:
         if self.v.split is None or not self.v.split.search(text):
@@ -192,21 +213,21 @@ class Coder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
-        if len(self.number) > KEPT:
+        if len(self.number) > max(KEPT, len(self.v.special)):
             self.forget()
         split = [self.split(t) for t in texts]
-        number = self.number
-        new = list(dict.fromkeys(w for words in split for w in words if w not in number))
-        if new:
-            flat, length = self.encode_pieces(new)
-            number.update(zip(new, range(len(number), len(number) + len(new))))
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
+        words = np.fromiter(map(len, split), np.int64, len(split))
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(words.sum()))
+        if self.number.new:
+            flat, length = self.encode_pieces(self.number.new)
+            self.number.new = []
             self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
             self.length = np.concatenate([self.length, length])
-        which = np.fromiter((number[w] for words in split for w in words), np.int64, sum(map(len, split)))
+            self.uses = np.concatenate([self.uses, np.zeros(len(length), np.int64)])
+        self.uses += np.bincount(which, minlength=len(self.uses))
         length = self.length[which]
-        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum([len(words) for words in split])] if split else np.zeros(0, int)
-        return gather(self.flat, self.at[which], length), np.diff(ends, prepend=0)
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(words)]
+        return gather(self.flat, (np.cumsum(self.length) - self.length)[which], length), np.diff(ends, prepend=0)
 
 
 def slabs(texts: Iterator[str | None], size: int = SLAB) -> Iterator[list[str]]:

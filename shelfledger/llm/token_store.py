@@ -12,10 +12,12 @@ store's tables count, so a task that runs twice leaves nothing but an unread fil
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,8 @@ MAGIC = b"IDS1"
 HEADER = 16
 #: Ids after which the next document opens a new shard, and keys of an index bucket.
 SHARD_IDS, BUCKET_KEYS = 1 << 23, 1 << 15
+#: Characters encoded at once.
+SLAB = 1 << 20
 
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8")])
 
@@ -176,16 +180,40 @@ class TokenStore:
         return where.repartition("file").sortWithinPartitions("file", "at").mapInArrow(run, kind)
 
 
+PLAIN = re.compile(r" ?\S+")
+
+
 def library_coder(path: str, v: bpe.Vocabulary) -> bpe.Coder:
-    """Pieces are encoded by the tokenizers library; a piece's ids do not depend on its neighbours."""
+    """Pieces are encoded by the tokenizers library; a piece's ids do not depend on its neighbours.
+
+    Pieces without inner space go to the library a few hundred at a time, as lines of a
+    text: a line feed is a piece of its own there, and its id parts the pieces' ids.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    feed = t.encode("\n", add_special_tokens=False).ids
+    if len(feed) != 1:
+        raise ValueError(f"{path}: a line feed is not one id")
+
+    def ids_of(texts: list[str]) -> np.ndarray:
+        found = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
 
     def encode_pieces(words):
-        ids = [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids])
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        other = [w for w in words if not PLAIN.fullmatch(w)]
+        ids = ids_of(["\n".join([*plain[k:k + 512], ""]) for k in range(0, len(plain), 512)])
+        feeds = np.flatnonzero(ids == feed[0])
+        apart = [t.encode(w, add_special_tokens=False).ids for w in other]
+        flat = np.concatenate([np.delete(ids, feeds), np.array([i for x in apart for i in x], np.uint32)])
+        length = np.concatenate([np.diff(feeds, prepend=-1) - 1, np.array([len(x) for x in apart], np.int64)])
+        # back to the order asked for
+        place = np.argsort([not PLAIN.fullmatch(w) for w in words], kind="stable")
+        order = np.empty(len(words), np.int64)
+        order[place] = np.arange(len(words))
+        return bpe.gather(flat, (np.cumsum(length) - length)[order], length[order]), length[order]
 
     return bpe.Coder(v, encode_pieces)
 
@@ -219,7 +247,7 @@ def write(docs: DataFrame, path: str = bpe.DEFAULT, end_id: int = 2, folder: str
 
         for b in batches:
             arrow_id, ids, first = b.schema.field("doc_id").type, b.column(0).to_pylist(), 0
-            for group in bpe.slabs(t.as_py() for t in b.column(1)):
+            for group in bpe.slabs((t.as_py() for t in b.column(1)), SLAB):
                 flat, length = _coders[path].encode(group)
                 cols = [[], [], [], [], [], []]
                 for x, part in zip(ids[first:first + len(group)], np.split(flat, np.cumsum(length)[:-1])):

@@ -18,7 +18,7 @@ def texts(seed, n=800):
     return ["", " ", "aaaaaaaaaaaaa", " " * 40, "ab" * 40, *("".join(r.choice(PARTS) for _ in range(r.randint(1, 60))) for _ in range(n))]
 
 
-@pytest.mark.parametrize("kept", [0, 10**6])
+@pytest.mark.parametrize("kept", [0, 100, 10**6])
 def test_ids_are_those_of_the_library(kept, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", kept)
     c = bpe.Coder(bpe.vocabulary(bpe.DEFAULT))

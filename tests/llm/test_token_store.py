@@ -8,6 +8,8 @@ from tokenizers import Tokenizer
 
 from shelfledger.llm import bpe, token_store
 
+from .test_bpe import texts
+
 LIBRARY = Tokenizer.from_file(bpe.DEFAULT)
 
 
@@ -27,6 +29,15 @@ def test_equal_keys_are_refused():
         token_store.PerfectHash.build(np.array([5, 5], np.uint64))
 
 
+@pytest.mark.parametrize("kept", [0, 50, 10**6])
+def test_pieces_from_the_library_are_those_of_whole_texts(kept, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", kept)
+    c = token_store.library_coder(bpe.DEFAULT, bpe.vocabulary(bpe.DEFAULT))
+    for group in (texts(5, 300), texts(6, 300), [], [""], texts(5, 300)):
+        ids, n = c.encode(group)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][:len(group)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in group]
+
+
 def expected(rows):
     out, start, last, copy = [], 0, object(), 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
