@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters encoded at once, and pieces a worker keeps.
-SLAB, KEPT = 1 << 21, 300_000
+SLAB, KEPT = 1 << 21, 450_000
 
 # Splitting rule of byte-level vocabularies (fixed value): contractions, letters, numbers, others, spaces.
 # No other part can start where letters or numbers do, so these, the most frequent, come first.
@@ -207,7 +207,7 @@ class Coder:
         self.length, self.uses = self.length[keep], self.uses[keep] // 2
 
     def split(self, text: str) -> list[str]:
-        if self.v.split is None or not self.v.split.search(text):
+        if not any(s in text for s in self.v.special):
             return pieces(text)
         return [w for k, part in enumerate(self.v.split.split(text)) for w in ([part] if k % 2 else pieces(part))]
 

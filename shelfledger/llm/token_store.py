@@ -17,7 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -202,17 +202,16 @@ def library_coder(path: str, v: bpe.Vocabulary) -> bpe.Coder:
         return np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
 
     def encode_pieces(words):
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        other = [w for w in words if not PLAIN.fullmatch(w)]
+        lines = [PLAIN.fullmatch(w) is not None for w in words]
+        plain = list(compress(words, lines))
         ids = ids_of(["\n".join([*plain[k:k + 512], ""]) for k in range(0, len(plain), 512)])
         feeds = np.flatnonzero(ids == feed[0])
-        apart = [t.encode(w, add_special_tokens=False).ids for w in other]
+        apart = [t.encode(w, add_special_tokens=False).ids for w, line in zip(words, lines) if not line]
         flat = np.concatenate([np.delete(ids, feeds), np.array([i for x in apart for i in x], np.uint32)])
         length = np.concatenate([np.diff(feeds, prepend=-1) - 1, np.array([len(x) for x in apart], np.int64)])
         # back to the order asked for
-        place = np.argsort([not PLAIN.fullmatch(w) for w in words], kind="stable")
         order = np.empty(len(words), np.int64)
-        order[place] = np.arange(len(words))
+        order[np.argsort(~np.array(lines, bool), kind="stable")] = np.arange(len(words))
         return bpe.gather(flat, (np.cumsum(length) - length)[order], length[order]), length[order]
 
     return bpe.Coder(v, encode_pieces)
