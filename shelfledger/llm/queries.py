@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, decontam, line_dedup, minhash, quality, secrets, simhash, token_store
+from . import bpe, chat, chunk_dedup, decontam, line_dedup, minhash, quality, secrets, simhash, token_store
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of every conversation, its calls linked and validated, as canonical JSON."""
+    return chat.format_chats(chat.with_tools(table(spark, sf_dir, "conversations")), chat.TOOLS)
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score and whether it is accepted."""
