@@ -269,28 +269,28 @@ def with_tools(conversations: DataFrame) -> DataFrame:
     The conversations at hand hold no calls, so these follow from their texts: every
     sentence of a user turn is a call, long ones of ``search`` and others of ``define``;
     one of an even number of words uses the call of the sentence behind it, or, at the end
-    of its turn, the last call of the user turn before. Every sentence of an assistant
+    of its turn, the first call of the user turn before. Every sentence of an assistant
     turn answers the call of the same number in the turn before it, so calls remain
     unanswered and answers without a call. Turn t becomes 3 t, calls 3 t + 1, answers 3 t - 1.
     """
     said = F.filter(F.split("text", r"\.\s*"), lambda s: F.length(F.trim(s)) > 0)
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", said.alias("said"))
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("t"), "role", "text", said.alias("said"))
 
     def identifier(turn: Column, k: Column) -> Column:
         return F.concat_ws("-", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), turn.cast("string"), k.cast("string"))
 
     def call(s: Column, k: Column) -> Column:
         words = F.size(F.split(F.trim(s), r"\s+"))
-        other = F.when(k + 1 < F.size("said"), identifier(F.col("turn"), k + 1)).otherwise(identifier(F.col("turn") - 2, F.lit(0)))
+        other = F.when(k + 1 < F.size("said"), identifier(F.col("t"), k + 1)).otherwise(identifier(F.col("t") - 2, F.lit(0)))
         return F.struct(
-            identifier(F.col("turn"), k).alias("id"), F.when(words > 4, "search").otherwise("define").alias("name"),
+            identifier(F.col("t"), k).alias("id"), F.when(words > 4, "search").otherwise("define").alias("name"),
             F.struct(F.trim(s).alias("query"), words.alias("words")).alias("arguments"),
             F.when(words % 2 == 0, F.array(other)).otherwise(F.array().cast("array<string>")).alias("after"))
 
-    plain = rows.select("conv_id", (F.col("turn") * 3).alias("turn"), "role", "text")
+    plain = rows.select("conv_id", (F.col("t") * 3).alias("turn"), "role", "text")
     calls = rows.filter("role = 'user' and size(said) > 0").select(
-        "conv_id", (F.col("turn") * 3 + 1).alias("turn"), F.lit("assistant").alias("role"), F.to_json(F.struct(F.transform("said", call).alias("tool_calls"))).alias("text"))
-    answers = rows.filter("role = 'assistant'").select("conv_id", "turn", F.posexplode("said").alias("k", "s")).select(
-        "conv_id", (F.col("turn") * 3 - 1).alias("turn"), F.lit("tool").alias("role"),
-        F.to_json(F.struct(identifier(F.col("turn") - 1, F.col("k")).alias("tool_call_id"), F.col("s").alias("content"))).alias("text"))
+        "conv_id", (F.col("t") * 3 + 1).alias("turn"), F.lit("assistant").alias("role"), F.to_json(F.struct(F.transform("said", call).alias("tool_calls"))).alias("text"))
+    answers = rows.filter("role = 'assistant'").select("conv_id", "t", F.posexplode("said").alias("k", "s")).select(
+        "conv_id", (F.col("t") * 3 - 1).alias("turn"), F.lit("tool").alias("role"),
+        F.to_json(F.struct(identifier(F.col("t") - 1, F.col("k")).alias("tool_call_id"), F.col("s").alias("content"))).alias("text"))
     return plain.union(calls).union(answers)
