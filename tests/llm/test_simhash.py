@@ -59,9 +59,8 @@ def test_groups_are_those_of_all_pairs(spark):
     rows = list(enumerate(texts(5)))
     rows += [(1000, rows[3][1]), (1000, rows[3][1]), (2000, ""), (2001, None), (None, rows[0][1]), (None, "alone here it stands")]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, component_id string, fp int")
-    got = [tuple(r) for r in simhash.near_groups(df).collect()]
-    signed = lambda f: f - (1 << 64) if f >> 63 else f
-    want = [(d, signed(f), c) for d, f, c in brute_components([(d, brute_fp(t)) for d, t in rows])]
+    got = [(r.doc_id, bytes(r.fp), r.component_id) for r in simhash.near_groups(df).collect()]
+    want = [(d, f.to_bytes(8, "big"), c) for d, f, c in brute_components([(d, brute_fp(t)) for d, t in rows])]
     key = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
 
@@ -69,14 +68,15 @@ def test_groups_are_those_of_all_pairs(spark):
 def test_one_of_each_group_stays_with_all_columns(spark):
     a = " ".join(f"w{k}" for k in range(200))
     df = spark.createDataFrame([(5, a, "p"), (3, a, "q"), (3, a, "q"), (9, "other words here", "r"), (None, a, "s")], "doc_id long, text string, kept string")
-    kept = simhash.keep_one(df)
+    kept = simhash.keep_one(df, simhash.near_groups(df))
     assert kept.columns == ["doc_id", "text", "kept"]
     assert sorted(((r.doc_id, r.kept) for r in kept.collect()), key=str) == [(3, "q"), (9, "r"), (None, "s")]
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_groups(df).collect() == [] and simhash.keep_one(df).collect() == []
+    assert simhash.near_groups(df).collect() == [] and simhash.similar_groups(df).collect() == []
+    assert simhash.keep_one(df, simhash.near_groups(df)).collect() == []
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -87,16 +87,59 @@ def test_links_connect_what_is_near(spark, seed, part, monkeypatch):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 2, dtype=np.uint64)
     fps = {int(rng.choice(base)) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(150)}
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = [(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()]
-    far = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    nodes = spark.createDataFrame([(f.to_bytes(8, "big"),) for f in fps], "fp binary")
+    links = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in simhash.near_pairs(simhash.block_files(nodes), 3).collect()]
+    far = lambda a, b: bin(a ^ b).count("1")
     assert all(far(a, b) <= 3 for a, b in links)
 
     def groups(pairs):
-        top = {f: f for f in signed}
+        top = {f: f for f in fps}
         for a, b in pairs:
             old, new = top[a], top[b]
             top = {k: new if v == old else v for k, v in top.items()}
         return {frozenset(k for k, v in top.items() if v == t) for t in top.values()}
 
-    assert groups(links) == groups((a, b) for a in signed for b in signed if a < b and far(a, b) <= 3)
+    assert groups(links) == groups((a, b) for a in fps for b in fps if a < b and far(a, b) <= 3)
+
+
+@pytest.mark.parametrize("bits, radius", [(64, 12), (128, 26), (256, 0)])
+@pytest.mark.parametrize("n", [3, 60, 300])
+def test_lanes_of_any_width_and_radius(bits, radius, n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**63, (3, bits // 64), dtype=np.uint64)
+    fp = base[rng.integers(0, 3, n)]
+    for row in fp:
+        for k in rng.choice(bits, rng.integers(0, radius + 2), replace=False):
+            row[k // 64] ^= np.uint64(1 << int(k % 64))
+    run = np.sort(rng.integers(0, 4, n))
+    a, b = simhash.near_links(fp, run, np.zeros(n, int), radius)
+    near = lambda i, j: run[i] == run[j] and int(np.bitwise_count(fp[i] ^ fp[j]).sum()) <= radius
+
+    def groups(pairs):
+        top = list(range(n))
+        for i, j in pairs:
+            top = [top[j] if t == top[i] else t for t in top]
+        return {frozenset(k for k in range(n) if top[k] == t) for t in top}
+
+    assert all(near(i, j) for i, j in zip(a, b))
+    assert groups(zip(a, b)) == groups((i, j) for i in range(n) for j in range(i) if near(i, j))
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    rows, pairs = [], []
+    for k in range(150):
+        base = [r.choice(words) for _ in range(r.choice([60, 250, 600]))]
+        copy = list(base)
+        for _ in range(max(1, len(base) // 60)):  # shingles in common: 0.85 and more
+            copy[r.randrange(len(copy))] = "edited"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = ({tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in (base, copy))
+        pairs.append(len(a & b) / len(a | b))
+    rows += [(1000, ""), (1001, None), (1002, "one two"), (1003, "one  TWO"), (1004, "two one")]
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = [got[2 * k] == got[2 * k + 1] for k, j in enumerate(pairs) if j >= 0.8]
+    assert len(close) > 100 and np.mean(close) > 0.97
+    assert all(got[d] in (d, d - d % 2) for d in range(300))
+    assert (got[1000], got[1001], got[1002], got[1003], got[1004]) == (1000, 1000, 1002, 1002, 1004)
