@@ -6,18 +6,48 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfledger.llm import simhash
-from shelfledger.llm.common import shared_folder, table
+from shelfledger.llm import bpe, decontam, line_dedup, quality, simhash
+from shelfledger.llm.common import free_name, shared_folder, ship, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go."""
+    ship(spark)
+    return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of two or more lines that stand earlier in the table go; every document stays."""
+    return line_dedup.drop_repeated_runs(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of the least id."""
-    return simhash.keep_one(docs)
+    """Of each group of documents with similar 5-word shingles the one of the least id stays."""
+    ship(spark)
+    return simhash.keep_one(docs, simhash.similar_groups(docs))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship(spark)
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its token ids, its text decoded from them."""
+    ship(spark)
+    return bpe.round_trip(docs, free_name(docs, "ids"))
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_dedup_stage),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", tokens),
+]
 
-#: No stage list with a classifier, a tokenizer and near-duplicate groups can be said in SQL.
+#: SQL can express neither the model nor the fingerprints and the token ids; the tests hold brute force against run().
 ORACLE_SQL = None
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters encoded at once, and pieces a worker keeps.
-SLAB, KEPT = 1 << 21, 450_000
+SLAB, KEPT = 1 << 21, 300_000
 
 # Splitting rule of byte-level vocabularies (fixed value): contractions, letters, numbers, others, spaces.
 # No other part can start where letters or numbers do, so these, the most frequent, come first.
@@ -297,6 +297,24 @@ def decode(tokens: DataFrame, path: str = DEFAULT) -> DataFrame:
     return _map(tokens, ["doc_id", "ids"], "text string", rows)
 
 
+def round_trip(docs: DataFrame, ids: str = "ids", path: str = DEFAULT) -> DataFrame:
+    """``docs`` with a column ``ids`` of token ids, and as text what these decode to; other columns as they are. Null text stays null."""
+    place = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for b in batches:
+            coded = list(encoded(path, (t.as_py() for t in b.column(place))))
+            ends = np.cumsum([0, *map(len, coded)])
+            flat = np.concatenate([np.zeros(0, np.uint32), *coded]).astype(np.int32)
+            texts = [v.decode(x) if known else None for x, known in zip(coded, b.column(place).is_valid().to_pylist())]
+            columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str = DEFAULT) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: each text encoded and its ids decoded again."""
     def rows(texts: pa.Array):
