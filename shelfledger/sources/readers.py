@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.periods import shift_years, shifted_bound
 
 
+def flag_of(df: DataFrame, name: str) -> Column:
+    """A stored flag as a boolean: one byte 01, a number other than 0, or a boolean already."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.BinaryType):
+        return F.col(name) == F.lit(b"\x01")
+    if isinstance(kind, T.NumericType):
+        return F.col(name) != 0
+    return F.col(name).cast("boolean")
+
+
 def scan_rename(df: DataFrame, columns: Mapping[str, str], flags: Sequence[str] = ()) -> DataFrame:
     """Project and rename (``new -> old``); ``flags`` become booleans.
 
-    A plain projection, so only the named columns reach the file scan.
+    A plain projection, so only the named columns reach the file scan; a flag is compared
+    in its stored type, so a filter on it does too.
     """
-    return df.select(*[
-        (F.col(old).cast("boolean") if new in flags else F.col(old)).alias(new)
-        for new, old in columns.items()])
+    return df.select(*[(flag_of(df, old) if new in flags else F.col(old)).alias(new) for new, old in columns.items()])
 
 
 def time_bound(df: DataFrame, ts: str, d: date | datetime, shift: int = 0) -> Column:
@@ -136,16 +145,14 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute once into the shared checkpoint folder and go on from there.
 
-    Reliable checkpoints survive lost executors. The folder is the one the
-    session names in ``spark.checkpoint.dir``; only a local session without that
-    setting gets a folder of its own.
+    Reliable checkpoints survive lost executors. The folder is the one the session names
+    in ``spark.checkpoint.dir``; with ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    (see ``session``) its files go when nothing refers to them any more.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="shelfledger-")
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
