@@ -10,14 +10,14 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfledger.config import (DISCOUNT_EARNED_NAME, DISCOUNT_ROUNDING, DISCOUNT_SPENT_NAME,
                                 SUPERMARKET_B2B, SUPERMARKET_B2C, Settings)
 from shelfledger.functions.periods import month_span
 from shelfledger.operators.logistics import tour_key
-from shelfledger.operators.relational import block_row_number
-from shelfledger.sources.readers import Tables, cut_lineage
+from shelfledger.sources.readers import Tables
 
 FINISH = date(2001, 4, 1)
 CFG = Settings(
@@ -228,8 +228,9 @@ class DriverTables(Tables):
             (k * 2.0).alias("volume"), (k + 40.0).alias("tank"))
 
     def _property_value(self):
+        """Class of every subdivision but the two logistic ones, which do not trade."""
         k = F.col("n_nationkey").cast("bigint")
-        return self.raw("nation").select(
+        return self.raw("nation").filter(~k.isin(4, 16)).select(
             k.alias("object_ref"), F.explode(F.array(F.lit(0), F.lit(1))).alias("property_ref"),
             (k % 4).alias("value_ref"))
 
@@ -280,7 +281,10 @@ class DriverTables(Tables):
     def _check_line(self):
         return self._lines().select(
             self._report_ref(F.col("s_nationkey"), F.col("o_orderdate")).alias("report_ref"),
-            F.col("l_orderkey").alias("check_nmbr"), F.col("o_orderdate").alias("check_time"),
+            # some checks were rung outside the month of their report
+            F.col("l_orderkey").alias("check_nmbr"),
+            F.when(F.col("l_orderkey") % 9 == 0, F.col("o_orderdate") - F.expr("interval 400 days"))
+            .otherwise(F.col("o_orderdate")).alias("check_time"),
             F.col("l_partkey").alias("item_ref"), F.col("l_quantity").alias("item_qty"),
             (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("item_sum"))
 
@@ -482,7 +486,7 @@ class DriverTables(Tables):
     def _stock(self):
         q = F.col("l_quantity")
         return self.raw("lineitem").select(
-            "*", F.col("l_suppkey").alias("store_ref"), (F.col("l_partkey") % 50).alias("item_ref"),
+            "*", F.col("l_suppkey").alias("store_ref"), F.col("l_partkey").alias("item_ref"),
             F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("type_motion"),
             F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("sgn"), q.alias("item_motion_qty"))
 
@@ -499,7 +503,8 @@ class DriverTables(Tables):
         vat = F.col("l_extendedprice") * F.when(F.col("l_tax") >= 0.05, 0.2).otherwise(F.col("l_tax"))
         return (self._stock().filter(((F.col("l_linestatus") == "F") | (s % 3 == 0)) & (s % 10 != 9))
                 .withColumn("item_store_sum", F.col("l_extendedprice")).withColumn("item_store_vat", vat)
-                .withColumn("receipt_doc_ref", ym(F.col("l_shipdate"))))
+                # two receipts a month, on the same day
+                .withColumn("receipt_doc_ref", ym(F.col("l_shipdate")) * 2 + F.col("l_linenumber") % 2))
 
     def _batch_movement(self):
         return self._batches().select(
@@ -520,8 +525,10 @@ class DriverTables(Tables):
             (s * F.col("item_store_vat")).alias("item_store_vat"), "receipt_doc_ref")
 
     def _months(self, odd: int):
-        return month_span(self.raw("lineitem"), "l_shipdate").select(
-            ym(F.col("date")).alias("ref"), "date").filter(F.col("ref") % 2 == odd)
+        half = F.explode(F.array(F.lit(0), F.lit(1))).alias("half")
+        return month_span(self.raw("lineitem"), "l_shipdate").filter(ym(F.col("date")) % 2 == odd).select("date", half).select(
+            (ym(F.col("date")) * 2 + F.col("half")).alias("ref"),
+            (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("half") * 9 + 8)).alias("date"))
 
     def _receipt_doc(self):
         return self._months(0)
@@ -530,10 +537,13 @@ class DriverTables(Tables):
         return self._months(1)
 
     def _price_history(self):
-        return (self.raw("lineitem")
-                .groupBy((F.col("l_partkey") % 50).alias("item_ref"), F.date_trunc("day", "l_shipdate").alias("date_setting"))
-                .agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("item_price"))
-                .withColumns({"price_type_ref": F.lit(1).cast("bigint"), "active": F.lit(True)}))
+        """Two settings a day: the dearest price in the morning, the cheapest in the evening."""
+        price = F.col("l_extendedprice") / F.col("l_quantity")
+        day = self.raw("lineitem").groupBy(F.col("l_partkey").alias("item_ref"), F.date_trunc("day", "l_shipdate").alias("day")).agg(
+            F.array(F.struct(F.lit(8).alias("h"), F.max(price).alias("p")), F.struct(F.lit(18).alias("h"), F.min(price).alias("p"))).alias("s"))
+        return day.select("item_ref", "day", F.explode("s").alias("s")).select(
+            "item_ref", (F.col("day") + F.make_dt_interval(F.lit(0), F.col("s.h"))).alias("date_setting"),
+            F.col("s.p").alias("item_price"), F.lit(1).cast("bigint").alias("price_type_ref"), F.lit(True).alias("active"))
 
     # ---- delivery
     def _transfer_out(self):
@@ -547,6 +557,7 @@ class DriverTables(Tables):
         dep = F.col("o_orderdate") + F.expr("interval 8 hours")
         ret = (F.when(k % 10 == 0, dep - F.expr("interval 18 hours")).when(k % 10 == 1, dep - F.expr("interval 1 year") + F.expr("interval 5 hours"))
                .when(k % 10 == 2, dep - F.expr("interval 3 hours"))
+               .when(k % 10 == 3, F.lit("0001-01-02").cast("timestamp_ntz"))  # never set
                .otherwise(dep + F.make_dt_interval(F.lit(0), (2 + k % 7).cast("int"))))
         start = (k % 1000 + 1).cast("double")
         return self.raw("orders").select(
@@ -592,14 +603,11 @@ class DriverTables(Tables):
             *[((k + i) % 2 == 0).alias(f"day_{i}") for i in range(1, 8)])
 
     def _legs(self):
-        """One tour per order: its distinct suppliers in key order, the quantity as distance.
-
-        Tours are an input table, so they are written once.
-        """
+        """One tour per order: its distinct suppliers in key order, the quantity as distance."""
         stops = self._stops().select(F.col("l_orderkey").alias("trip_key"), "l_suppkey",
                                      F.col("weight").alias("distance"))
-        return cut_lineage(block_row_number(stops, ["trip_key"], "l_suppkey", "leg_no").select(
-            "trip_key", "leg_no", code(F.col("l_suppkey")).alias("end"), "distance"))
+        place = F.row_number().over(W.partitionBy("trip_key").orderBy("l_suppkey"))
+        return stops.select("trip_key", place.alias("leg_no"), code(F.col("l_suppkey")).alias("end"), "distance")
 
 
 def tour_legs(tours: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ MOTION = "TIMESTAMP '1995-04-01'"
 
 
 def br(x: str, n: int = 0) -> str:
-    """Halves to even."""
-    return f"(CAST(round_even(CAST({x} AS DECIMAL(38,6)), {n}) AS DOUBLE) + 0)"
+    """Halves to even; what is a half but for the last bits of a sum is one."""
+    return (f"(list_transform([CAST(({x}) AS DOUBLE) * 1e{n}], lambda s: CASE WHEN abs(s - floor(s) - 0.5) <= 1e-12 * greatest(abs(s), 1) "
+            f"THEN floor(s) + abs(floor(s) % 2) ELSE round(s) END)[1] / 1e{n} + 0)")
 
 
 def code(x: str) -> str:
@@ -106,7 +107,7 @@ C["sale_report"] = f"""SELECT s.date, s.nmbr AS nmbr_checks_report, {code('subdi
   checks_report_sum, checks_report_qty, total_checks_qty, checks_report_sku, doc_reg_cust_sum, doc_reg_cust_nmbr, doc_cost_sum
   FROM rep_sums s LEFT JOIN rep_regular USING (date, nmbr) LEFT JOIN rep_cost USING (date, nmbr)"""
 C["subdiv_cat"] = f"""SELECT {code('n_nationkey')} AS subdiv_id, CASE n_nationkey % 4 WHEN 0 THEN '{SUPERMARKET_B2B}' WHEN 1 THEN '{SUPERMARKET_B2C}' ELSE 'Магазини' END AS subdiv_category
-  FROM nation WHERE n_nationkey <> 24"""
+  FROM nation WHERE n_nationkey NOT IN (4, 16, 24)"""
 C["sale_month"] = f"""SELECT {remap('subdiv_id', CFG.subdiv_merge)} AS subdiv_id, CAST(date_trunc('month', date) AS DATE) AS date, * EXCLUDE (subdiv_id, date)
   FROM sale_report WHERE subdiv_id IN (SELECT subdiv_id FROM subdiv_cat)"""
 C["sale_store_month"] = f"""SELECT date, subdiv_id, {rsum('checks_report_sum')} AS revenue, {rsum('doc_cost_sum')} AS cog, sum(coalesce(doc_cost_sum, 0)) AS cog0,
@@ -184,7 +185,7 @@ C["exp_rows12"] = f"""SELECT l_shipdate AS date, id AS exp_items_id, name AS exp
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN exp_item e ON e.ref = p_size
   LEFT JOIN region ON r_regionkey = s_nationkey % 5
   WHERE l_linenumber <> 6 AND id <> '{CFG.excluded_expense_id}' AND l_shipdate >= {S12} AND l_shipdate < {FIN}"""
-C["exp_rows"] = f"SELECT * FROM exp_rows12 WHERE date >= {S3}"
+C["exp_rows"] = "SELECT * FROM exp_rows12"
 
 
 def _clean(src: str) -> str:
@@ -268,10 +269,10 @@ C["motion_all"] = f"""SELECT l_shipdate AS date_movement, {code('l_suppkey')} AS
   CASE WHEN l_linenumber % 3 = 0 THEN {code('o_custkey % 25')} END AS subdiv_id,
   CASE WHEN l_linenumber % 3 = 1 THEN 'T' || {code('o_orderkey')} END AS nmbr_moving_out, CASE WHEN l_linenumber % 3 = 1 THEN o_orderdate END AS date_moving_out,
   CASE WHEN l_linenumber % 3 = 1 THEN s.store_id END AS store_receiver, r.nmbr AS nmbr_checks_report, r.date AS date_checks_report,
-  {code('l_partkey % 50')} AS item_id, l_quantity AS item_motion_qty
+  {code('l_partkey')} AS item_id, l_quantity AS item_motion_qty
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN store s ON s.ref = o_custkey % 100
   LEFT JOIN check_report r ON l_linenumber % 3 = 2 AND r.ref = -((l_suppkey % 25) * 100000 + {ym('l_shipdate')})
-  WHERE l_shipdate >= {MOTION} AND l_shipdate < {FIN} AND {code('l_partkey % 50')} NOT IN (SELECT item_id FROM non_trade)"""
+  WHERE l_shipdate >= {MOTION} AND l_shipdate < {FIN} AND {code('l_partkey')} NOT IN (SELECT item_id FROM non_trade)"""
 C["stock_motion"] = "SELECT * FROM motion_all WHERE store_id IN (SELECT store_id FROM trade_stores)"
 C["shipment_share"] = f"""SELECT subdiv_id, type_subdiv, {br(div('u', 'sum(u) OVER (PARTITION BY subdiv_id)'), 3)} AS avr_subdiv_share FROM (
   SELECT st.subdiv_id, CASE WHEN nmbr_sale_doc IS NOT NULL THEN 'service' ELSE 'retail' END AS type_subdiv, sum(item_motion_qty) AS u
@@ -301,7 +302,7 @@ C["warehouse_cost"] = f"""SELECT subdiv_id, coalesce(avr_share * (SELECT coalesc
 # ---- delivery ---------------------------------------------------------------------------------------
 C["trip"] = f"""SELECT o_orderkey AS k, {code('o_orderkey')} AS nmbr_delivery, o_orderdate AS date_delivery, o_orderdate + INTERVAL 8 HOUR AS time_depart,
   CASE o_orderkey % 10 WHEN 0 THEN o_orderdate - INTERVAL 10 HOUR WHEN 1 THEN o_orderdate + INTERVAL 8 HOUR - INTERVAL 1 YEAR + INTERVAL 5 HOUR
-    WHEN 2 THEN o_orderdate + INTERVAL 5 HOUR ELSE o_orderdate + INTERVAL 8 HOUR + to_hours(2 + o_orderkey % 7) END AS time_return,
+    WHEN 2 THEN o_orderdate + INTERVAL 5 HOUR WHEN 3 THEN TIMESTAMP '0001-01-02 00:00:00' ELSE o_orderdate + INTERVAL 8 HOUR + to_hours(2 + o_orderkey % 7) END AS time_return,
   o_totalprice AS delivery_weight, CAST(o_orderkey % 1000 + 1 AS DOUBLE) AS speedo_start,
   CASE WHEN o_orderkey % 19 = 0 THEN 0 ELSE o_orderkey % 1000 + 1 + floor(o_totalprice / 1000) END AS speedo_finish,
   s.store_id, s.store_name, CASE WHEN o_orderpriority = '5-LOW' THEN 'САМОВИВІЗ' ELSE o_orderpriority END AS direction,
@@ -314,7 +315,7 @@ C["person"] = f"SELECT DISTINCT user_id AS ref, {code('user_id')} AS individ_id
 C["stops"] = f"""SELECT l_orderkey AS k, l_suppkey AS s, sum(l_quantity) AS weight, any_value(o_orderdate) AS od, any_value(o_custkey) AS c
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""
 _TRIP = "nmbr_delivery, date_delivery, time_depart, time_return, delivery_weight, speedo_start, speedo_finish, store_id, store_name, direction, route_id, route, vehicle_id, vehicle_name, forwarder, driver"
-_REPAIR = """CASE WHEN year(time_return) < year(time_depart) THEN time_return + to_years(CAST(year(time_depart) - year(time_return) AS INTEGER))
+_REPAIR = """CASE WHEN year(time_return) > 21 AND year(time_return) < year(time_depart) THEN time_return + to_years(CAST(year(time_depart) - year(time_return) AS INTEGER))
   WHEN day(time_return) < day(time_depart) THEN time_return + to_days(CAST(day(time_depart) - day(time_return) AS INTEGER)) ELSE time_return END"""
 C["delivery_rows"] = f"""SELECT {_TRIP}, to_intermediate, is_not_delivered, nmbr_deliv_order, date_deliv_order, nmbr_luggage, date_luggage
   FROM trip LEFT JOIN (SELECT k, s % 9 = 0 AS to_intermediate, s % 8 = 7 AS is_not_delivered,
@@ -386,7 +387,7 @@ C["schedule"] = f"""SELECT o_orderdate AS date, a.store_id AS recipient_store, b
 
 # ---- stock ------------------------------------------------------------------------------------------
 C["open_stores"] = f"SELECT ref AS store_ref, store_id FROM store WHERE {code('parent_ref')} NOT IN ({quoted(CFG.closed_parent_stores)}) AND parent_ref IN (SELECT ref FROM store s2)"
-C["stk"] = f"""SELECT l_shipdate, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, store_id, {code('l_partkey % 50')} AS item_id,
+C["stk"] = f"""SELECT l_shipdate, l_linenumber % 2 AS half, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, store_id, {code('l_partkey')} AS item_id,
   CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS sgn, l_quantity AS q, l_extendedprice AS v,
   l_extendedprice * CASE WHEN l_tax >= 0.05 THEN 0.2::DOUBLE ELSE l_tax END AS vat,
   (l_linestatus = 'F' OR l_suppkey % 3 = 0) AND l_suppkey % 10 <> 9 AS batched FROM lineitem JOIN open_stores ON store_ref = l_suppkey"""
@@ -394,8 +395,10 @@ C["inv_current"] = "SELECT store_id, item_id, sum(sgn * q) AS item_store_qty FRO
 C["inv_current_batch"] = """SELECT store_id, item_id, m AS date_receipt, sum(sgn * q) AS item_store_qty,
   sum(sgn * v + CASE WHEN sgn * vat < floor(sgn * v / 5 * 10) / 10 THEN 0 ELSE sgn * vat END) AS item_store_sum FROM stk WHERE batched GROUP BY ALL"""
 C["inv_movement"] = f"""SELECT m AS date_movement, store_id, item_id, sum(sgn * q) AS store_item_moving_qty FROM stk WHERE l_shipdate >= {S3} GROUP BY ALL HAVING sum(sgn * q) <> 0"""
-C["inv_movement_batch"] = f"""SELECT m AS date_movement, m AS date_receipt, store_id, item_id, sum(sgn * q) AS item_motion_qty,
-  sum(sgn * (v + CASE WHEN vat < floor(v / 5 * 10) / 10 THEN 0 ELSE vat END)) AS item_motion_cost FROM stk WHERE batched AND l_shipdate >= {S3} GROUP BY ALL HAVING sum(sgn * q) <> 0"""
+C["inv_movement_receipt"] = f"""SELECT m, half, store_id, item_id, sum(sgn * q) AS q,
+  sum(sgn * (v + CASE WHEN vat < floor(v / 5 * 10) / 10 THEN 0 ELSE vat END)) AS v FROM stk WHERE batched AND l_shipdate >= {S3} GROUP BY ALL HAVING sum(sgn * q) <> 0"""
+C["inv_movement_batch"] = """SELECT m AS date_movement, m AS date_receipt, store_id, item_id, sum(q) AS item_motion_qty, sum(v) AS item_motion_cost
+  FROM inv_movement_receipt GROUP BY ALL"""
 C["snaps"] = "SELECT * FROM (VALUES (DATE '2001-01-01'), (DATE '2001-02-01'), (DATE '2001-03-01'), (DATE '2001-04-01')) t(date)"
 
 
@@ -415,7 +418,7 @@ def _batch_rollback(trade: bool) -> str:
   HAVING abs(sum(q)) >= 1.490116e-8 AND NOT (sum(q) < 0 AND sum(v) > 0)"""
 
 
-C["price_day"] = f"""SELECT {code('l_partkey % 50')} AS item_id, CAST(l_shipdate AS DATE) AS date_setting, max(l_extendedprice / l_quantity) AS item_price FROM lineitem GROUP BY ALL"""
+C["price_day"] = f"""SELECT {code('l_partkey')} AS item_id, CAST(l_shipdate AS DATE) AS date_setting, min(l_extendedprice / l_quantity) AS item_price FROM lineitem GROUP BY ALL"""
 C["price_history"] = """SELECT * FROM price_day JOIN (SELECT item_id, max(date_setting) AS lo FROM price_day WHERE date_setting < DATE '2001-01-01' GROUP BY 1) USING (item_id) WHERE date_setting >= lo"""
 for _name, _trade in (("", False), ("_t", True)):
     C[f"rollback{_name}"] = _rollback(_trade)
@@ -580,7 +583,7 @@ C["z_join_self_parent"] = """SELECT a.p_brand = 'Brand#25' AS group_marked, a.gr
 C["z_join_dual_role"] = f"SELECT {code('o_orderkey')} AS nmbr_delivery, f.individ_id AS forwarder, d.individ_id AS driver FROM orders LEFT JOIN person f ON f.ref = o_custkey % 41 LEFT JOIN person d ON d.ref = o_custkey % 37"
 C["z_join_polymorphic"] = f"""SELECT CASE l_linenumber % 3 WHEN 0 THEN 'sale' WHEN 1 THEN 'transfer' ELSE CASE WHEN r.ref IS NOT NULL THEN 'check' END END AS document, count(*) AS n, sum(l_quantity) AS qty
   FROM lineitem LEFT JOIN check_report r ON l_linenumber % 3 = 2 AND r.ref = -((l_suppkey % 25) * 100000 + {ym('l_shipdate')}) GROUP BY 1"""
-C["z_asof_price"] = """SELECT item_ref, count(*) AS n, count(item_price) AS priced, sum(qty * item_price) AS value FROM (SELECT l_partkey % 50 AS item_ref, printf('%09d', l_partkey % 50) AS item_id, CAST(l_shipdate AS DATE) AS d, l_quantity AS qty FROM lineitem) c
+C["z_asof_price"] = """SELECT item_ref, count(*) AS n, count(item_price) AS priced, sum(qty * item_price) AS value FROM (SELECT l_partkey AS item_ref, printf('%09d', l_partkey) AS item_id, CAST(l_shipdate AS DATE) AS d, l_quantity AS qty FROM lineitem) c
   ASOF LEFT JOIN price_day p ON p.item_id = c.item_id AND c.d > p.date_setting GROUP BY 1"""
 C["z_agg_sum"] = "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS sum_net, sum(l_quantity) AS strict_qty FROM lineitem GROUP BY 1, 2"
 C["z_agg_sum_pair"] = "SELECT s_nationkey AS subdiv_ref, sum(l_extendedprice) + sum(l_extendedprice * l_tax) AS with_vat FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1"
@@ -591,7 +594,9 @@ C["z_agg_distinct_pair"] = "SELECT l_suppkey, count(DISTINCT (l_partkey, l_linen
 C["z_agg_conditional"] = "SELECT l_suppkey, count(*) FILTER (l_discount > 0.05) AS discounted, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1"
 C["z_agg_minmax"] = "SELECT l_partkey, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, min(l_quantity) AS min_qty, max(l_quantity) AS max_qty FROM lineitem GROUP BY 1"
 C["z_set_distinct"] = "SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus FROM lineitem"
-C["z_first_non_null"] = "SELECT user_id AS employee_ref, min(CASE WHEN event_id % 10 <> 0 THEN user_id % 25 END) AS subdiv_ref, count(*) AS n, count(*) FILTER (event_id % 10 <> 0) AS known FROM events GROUP BY 1"
+C["z_first_non_null"] = """SELECT employee_ref, first_position, count(*) AS n, count(p) AS known FROM (SELECT user_id AS employee_ref, p,
+  first_value(p) OVER (PARTITION BY user_id ORDER BY p IS NULL, s NULLS LAST, p) AS first_position
+  FROM (SELECT user_id, CASE WHEN value * 100 > 5000 THEN event_type END AS p, CASE WHEN event_id % 10 <> 0 THEN user_id % 25 END AS s FROM events)) GROUP BY 1, 2"""
 C["z_mode_generator"] = "SELECT p_brand, p_type AS generator FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) = 1"
 C["z_win_share"] = f"SELECT l_suppkey, l_returnflag, qty, {br('qty / sum(qty) OVER (PARTITION BY l_suppkey)', 3)} AS share FROM (SELECT l_suppkey, l_returnflag, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2)"
 C["z_win_share_global"] = f"SELECT l_suppkey, qty, {br('qty / sum(qty) OVER ()', 4)} AS share FROM (SELECT l_suppkey, sum(l_quantity) AS qty FROM lineitem GROUP BY 1)"

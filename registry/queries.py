@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,26 +43,30 @@ def stable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """A local session that names no folder for checkpoints gets one, which goes with the process."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return spark
+
+
 def query(fn):
     """Register under the function's name; the function gets the tables."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: stable(fn(DriverTables(spark, sf_dir)))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: stable(fn(DriverTables(with_checkpoints(spark), sf_dir)))
     return fn
 
 
 def step(name: str, fn: Callable[[Run], DataFrame]) -> None:
     """Register a step of the whole run."""
-    QUERIES[name] = lambda spark, sf_dir: stable(fn(make_run(spark, sf_dir)))
-
-
-RUNS: dict[tuple[str, str], Run] = {}
+    QUERIES[name] = lambda spark, sf_dir: stable(fn(make_run(with_checkpoints(spark), sf_dir)))
 
 
 def make_run(spark: SparkSession, sf_dir: str) -> Run:
-    """The run over these tables; as in the application, views read what it has computed."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in RUNS:
-        RUNS[key] = Run(DriverTables(spark, sf_dir), FINISH, CFG, legs=tour_legs, bounded_lines=True)
-    return RUNS[key]
+    """A run over these tables; nothing is kept from one query to the next."""
+    return Run(DriverTables(spark, sf_dir), FINISH, CFG, legs=tour_legs)
 
 
 START = periods.add_months(FINISH, -3)
@@ -217,9 +224,9 @@ def join_polymorphic(t):
 @query
 def asof_price(t):
     """Each order line against the last price of its item set before the line's day."""
-    lines = t.raw("lineitem").select((F.col("l_partkey") % 50).alias("item_ref"), F.to_date("l_shipdate").alias("day"),
+    lines = t.raw("lineitem").select(F.col("l_partkey").alias("item_ref"), F.to_date("l_shipdate").alias("day"),
                                      F.col("l_quantity").alias("item_qty"))
-    prices = t["price_history"].select("item_ref", F.to_date("date_setting").alias("date_setting"), "item_price")
+    prices = t["price_history"].select("item_ref", "date_setting", "item_price")
     df = rel.asof_join(lines, prices, "item_ref", "day", "date_setting", "item_price")
     return df.groupBy("item_ref").agg(
         F.count("*").alias("n"), F.count("item_price").alias("priced"),
@@ -283,8 +290,10 @@ def set_distinct(t):
 
 @query
 def first_non_null(t):
-    return t["payroll_line"].groupBy("employee_ref").agg(
-        F.min("subdiv_ref").alias("subdiv_ref"), F.count("*").alias("n"), F.count("subdiv_ref").alias("known"))
+    """Each person's position in the first known subdivision, on all their lines."""
+    lines = t["payroll_line"].withColumn("position_ref", F.when(F.col("salary") > 5000, F.col("position_ref")))
+    df = rel.first_known(lines, ["employee_ref"], "position_ref", ["subdiv_ref", "position_ref"], "first_position")
+    return df.groupBy("employee_ref", "first_position").agg(F.count("*").alias("n"), F.count("position_ref").alias("known"))
 
 
 @query
@@ -414,12 +423,12 @@ def shop_areas(t):
 
 @query
 def sale_report(t):
-    return sales.sale_report(t, START_LONG, FINISH, CFG, True)
+    return sales.sale_report(t, START_LONG, FINISH, CFG)
 
 
 @query
 def sale_check_category(t):
-    return sales.sale_check_category(t, START, FINISH, CFG, True)
+    return sales.sale_check_category(t, START, FINISH, CFG)
 
 
 @query
@@ -439,7 +448,7 @@ def sale_plan(t):
 
 @query
 def sale_structure(t):
-    return sales.sale_structure(sales.sale_check_category(t, START, FINISH, CFG, True), CFG)
+    return sales.sale_structure(sales.sale_check_category(t, START, FINISH, CFG), CFG)
 
 
 step("sale_month", lambda r: r.sale_month)
@@ -456,12 +465,12 @@ step("category_structure", lambda r: r.structure)
 
 @query
 def expense_rows(t):
-    return expenses.expense_rows(t, START, FINISH, CFG)
+    return expenses.expense_rows(t, START_LONG, FINISH, CFG)
 
 
 @query
 def expense_clean(t):
-    return expenses.expense_clean(expenses.expense_rows(t, START, FINISH, CFG), t, CFG)
+    return expenses.expense_clean(expenses.expense_rows(t, START_LONG, FINISH, CFG), t, CFG)
 
 
 @query
@@ -521,7 +530,7 @@ def delivery_rows(t):
 
 @query
 def delivery_clean(t):
-    return logistics.delivery_clean(logistics.delivery_rows(t, START, FINISH))
+    return logistics.delivery_clean(logistics.delivery_rows(t, START, FINISH), CFG)
 
 
 @query
@@ -610,12 +619,12 @@ def new_cards(t):
 
 @query
 def discount_class(t):
-    return loyalty.discount_class(loyalty.discount_lines(t, START, FINISH), t)
+    return loyalty.discount_class(loyalty.discount_days(loyalty.discount_lines(t, START, FINISH)), t)
 
 
 @query
 def card_visits(t):
-    return loyalty.card_visits(loyalty.discount_lines(t, START, FINISH))
+    return loyalty.card_visits(loyalty.discount_days(loyalty.discount_lines(t, START, FINISH)))
 
 
 # ---- KPI table, views, rules ---------------------------------------------------------------------

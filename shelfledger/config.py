@@ -110,6 +110,7 @@ class Settings:
     half_distance_routes: tuple = ("000000002",)
     extra_transport_subdiv: str = "000000246"
     min_return_date: date = date(2001, 1, 1)
+    last_unset_year: int = 21
     # prices, categories, areas
     price_type: str = "000000005"
     category_names: dict = field(default_factory=lambda: {

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Two quantities closer than this count as equal (square root of double epsilon).
 NEAR = 1.490116e-8
+# Share of a value within which rounding takes it for a half.
+HALF = 1e-12
 
 
 def in_local(c: Column, values: Sequence) -> Column:
@@ -41,6 +43,12 @@ def sum_or_zero(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0.0))
 
 
+def first_by(value: str, order: Sequence[str]) -> Column:
+    """Aggregate: the first known ``value`` by the given columns, NULL last in each."""
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"{c}_unknown"), F.col(c))])
+    return F.min_by(value, F.when(F.col(value).isNotNull(), place))
+
+
 def remap(c: Column, mapping: Mapping[str, str]) -> Column:
     """Replace listed codes, leave the others (and NULL) alone."""
     out = None
@@ -55,12 +63,15 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def bankers_round(c: Column, digits: int = 0) -> Column:
-    """Round halves to even.
+    """Round once, halves to even.
 
-    The value is first rounded at six digits: partial sums arrive in any order on
-    a cluster, and without this their last bits would decide the exact halves.
+    Partial sums arrive in any order on a cluster, so their last bits must not decide a
+    half: within ``HALF`` of the value's size, it counts as one.
     """
-    return F.bround(F.round(c, 6), digits)
+    x = c.cast("double") * F.lit(10.0**digits)
+    low = F.floor(x).cast("double")
+    half = F.abs(x - low - 0.5) <= F.greatest(F.abs(x), F.lit(1.0)) * HALF
+    return (F.when(half, low + F.abs(low % 2)).otherwise(F.rint(x)) / F.lit(10.0**digits)) + 0.0
 
 
 def near_zero(c: Column) -> Column:

@@ -46,12 +46,12 @@ def _cost_with_vat() -> Column:
     return total + F.when(low, F.lit(0.0)).otherwise(vat)
 
 
-def _receipt_dates(t: Tables) -> DataFrame:
-    """Receipt day per document, from purchase receipts or assembly documents."""
-    a = t.unshift(t["receipt_doc"], "date").select("ref", F.to_date("date").alias("a"))
-    b = t.unshift(t["assembly_doc"], "date").select("ref", F.to_date("date").alias("b"))
-    return a.join(b, "ref", "full").select(
-        F.col("ref").alias("receipt_doc_ref"), F.coalesce("a", "b").alias("date_receipt"))
+def _with_receipt(rows: DataFrame, t: Tables) -> DataFrame:
+    """Time of receipt of aggregated rows, from purchase receipts or assembly documents."""
+    a = t.unshift(t["receipt_doc"], "date").select(F.col("ref").alias("receipt_doc_ref"), F.col("date").alias("a"))
+    b = t.unshift(t["assembly_doc"], "date").select(F.col("ref").alias("receipt_doc_ref"), F.col("date").alias("b"))
+    return (rows.join(a, "receipt_doc_ref", "left").join(b, "receipt_doc_ref", "left")
+            .withColumn("received", F.coalesce("a", "b")).drop("a", "b"))
 
 
 def _stock_rows(t: Tables, as_of: date) -> DataFrame:
@@ -94,11 +94,16 @@ def _moved_batches(t: Tables, start: date) -> DataFrame:
 
 
 def _batch_history(rows: DataFrame, t: Tables, cfg: Settings) -> DataFrame:
-    """Batches by receipt day; a month whose quantity nets to nothing moved nothing."""
-    df = _decoded(rows.join(_receipt_dates(t), "receipt_doc_ref", "left"), t, cfg)
-    return (df.groupBy("month", "date_receipt", "store_id", "item_id")
-            .agg(F.sum("q").alias("q"), F.sum("v").alias("v"))
-            .filter(F.col("month").isNull() | (F.col("q") != 0)))
+    """Batches by receipt day.
+
+    A month in which the quantity of one receipt, by its time, nets to nothing moved
+    nothing of it, whatever the cost; only then are the receipts of a day one batch.
+    """
+    df = _decoded(_with_receipt(rows, t), t, cfg)
+    sums = [F.sum("q").alias("q"), F.sum("v").alias("v")]
+    return (df.groupBy("month", "received", "store_id", "item_id").agg(*sums)
+            .filter(F.col("month").isNull() | (F.col("q") != 0))
+            .groupBy("month", F.to_date("received").alias("date_receipt"), "store_id", "item_id").agg(*sums))
 
 
 def inv_current(t: Tables, as_of: date, cfg: Settings) -> DataFrame:
@@ -220,17 +225,18 @@ def prices_at(prices: DataFrame, snapshots: list[date]) -> DataFrame:
 def _lifo_row(i: int) -> tuple[Column, Column]:
     """Which row of a group gives snapshot ``i`` its amount, and that amount unrounded.
 
-    The cases exclude each other: stock met exactly by some batch, more in the
-    batches than in stock, less in the batches, no batch at all.
+    The cases exclude each other: stock met by some batch, more in the batches than in
+    stock, less in the batches, no batch at all. Quantities closer than ``NEAR`` are
+    equal, so the order in which a cluster adds them up decides no case.
     """
     b, q, v, cq, cv, mx, last = (F.col(f"{c}{i}") for c in (
         "balance_qty", "balance_batch_qty", "balance_batch_sum", "cq", "cv", "mx", "last"))
-    rn, unit, only = F.col("rn"), safe_div(v, q), q == cq
+    rn, unit, only = F.col("rn"), safe_div(v, q), near_zero(q - cq)
     more = F.when(only, unit * b).otherwise(cv - v + unit * (q - (cq - b)))
     less = F.when(only, unit * b).otherwise(cv + unit * (b - cq))
-    hit = (F.when(mx.isNull(), rn == 1).when(q.isNull(), F.lit(False)).when(mx == b, cq == b)
-           .when(mx > b, cq > b).otherwise(rn == last))
-    amount = F.when(mx.isNull(), b).when(mx == b, cv).when(mx > b, more).otherwise(less)
+    hit = (F.when(mx.isNull(), rn == 1).when(q.isNull(), F.lit(False)).when(near_zero(mx - b), near_zero(cq - b))
+           .when(mx > b, (cq > b) & ~near_zero(cq - b)).otherwise(rn == last))
+    amount = F.when(mx.isNull(), b).when(near_zero(mx - b), cv).when(mx > b, more).otherwise(less)
     return F.when(hit, rn), amount
 
 
@@ -264,7 +270,7 @@ def inv_lifo_value(history: DataFrame, batch_history: DataFrame, prices: DataFra
     rows = one.select(*key, _per_snapshot(snapshots, "b", "mx", "amount")).select("_s.*", *key).filter(
         F.col("b") != 0)
     amount, mx = F.col("amount"), F.col("mx")
-    value = (F.when(mx.isNull(), amount * F.col("item_price")).when(mx == F.col("b"), amount)
+    value = (F.when(mx.isNull(), amount * F.col("item_price")).when(near_zero(mx - F.col("b")), amount)
              .otherwise(bankers_round(amount, 2)))
     return rows.join(prices, ["date", "item_id"], "left").select("date", *key, value.alias("balance_sum"))
 

@@ -16,21 +16,26 @@ from ..functions.semantics import (bankers_round, in_local, not_in_local, r_sum,
 from ..sources.readers import Tables
 from .expenses import fuel_months, maintenance_mean
 from .refs import decode, ref_route, ref_subdiv, ref_vehicle
-from .relational import (group_total, join_null_safe, latest_per_key, pick_other_row, running_sum,
-                         share_of, split_long, union_by_name)
+from .relational import join_null_safe, latest_per_key, pick_other_row, share_of, union_by_name
 
 # ---- stock motion ---------------------------------------------------------------------------
 
 
-def stock_motion(t: Tables, stores: DataFrame, start: date, finish: date,
-                 non_trade: DataFrame) -> DataFrame:
-    """Movements of the given warehouses with the document each one came from.
+def _wanted_stores(t: Tables, stores: DataFrame) -> DataFrame:
+    return (t["store_dim"].join(stores.select("store_id").distinct(), "store_id", "left_semi")
+            .select(F.col("ref").alias("store_ref"), "store_id"))
 
-    The recorder reference may point to a sale, a transfer or a check report; all
-    three are joined on the same key, so one shuffle of the movements serves them.
-    """
-    wanted = (t["store_dim"].join(stores.select("store_id").distinct(), "store_id", "left_semi")
-              .select(F.col("ref").alias("store_ref"), "store_id"))
+
+def _trade_movement(t: Tables, stores: DataFrame, start: date, finish: date, non_trade: DataFrame) -> DataFrame:
+    """Movements of the given warehouses; non-trade items go by reference, an unknown item stays."""
+    left_out = t["item_dim"].join(non_trade.select("item_id"), "item_id", "left_semi").select(
+        F.col("ref").alias("item_ref"))
+    return (t.register("stock_movement", "date_movement", start, finish, ["active"])
+            .join(_wanted_stores(t, stores), "store_ref").join(left_out, "item_ref", "left_anti"))
+
+
+def _documents(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a recorder reference may point to: sale, transfer, check report."""
     sale = t.unshift(t["sale_doc"], "sale_doc_date").select(
         "ref", F.col("sale_doc_nmbr").alias("nmbr_sale_doc"),
         F.col("sale_doc_date").alias("date_sale_doc"), "subdiv_ref")
@@ -39,10 +44,14 @@ def stock_motion(t: Tables, stores: DataFrame, start: date, finish: date,
         "receiver_store_ref")
     checks = t.unshift(t["check_report"], "date").select(
         "ref", F.col("date").alias("date_checks_report"), "nmbr_checks_report")
-    df = t.register("stock_movement", "date_movement", start, finish, ["active"])
-    df = df.join(wanted, "store_ref")
-    df = decode(df, "item_ref", t["item_dim"], "item_id")
-    df = df.join(non_trade.select("item_id"), "item_id", "left_anti")
+    return sale, moved, checks
+
+
+def stock_motion(t: Tables, stores: DataFrame, start: date, finish: date,
+                 non_trade: DataFrame) -> DataFrame:
+    """Listing of the movements of the given warehouses with the document each one came from."""
+    sale, moved, checks = _documents(t)
+    df = decode(_trade_movement(t, stores, start, finish, non_trade), "item_ref", t["item_dim"], "item_id")
     df = decode(df, "recorder_ref", sale, "nmbr_sale_doc", "date_sale_doc", "subdiv_ref", drop=False)
     df = decode(df, "recorder_ref", moved, "nmbr_moving_out", "date_moving_out",
                 "receiver_store_ref", drop=False)
@@ -54,18 +63,33 @@ def stock_motion(t: Tables, stores: DataFrame, start: date, finish: date,
                      "nmbr_checks_report", "date_checks_report", "item_id", "item_motion_qty")
 
 
-def motion_units(motion: DataFrame) -> DataFrame:
+def motion_units(t: Tables, stores: DataFrame, start: date, finish: date,
+                 non_trade: DataFrame) -> DataFrame:
     """Units per warehouse, direction, kind of document, buyer and receiver.
 
-    The shares below all read this small table; the movement register behind it
-    is scanned and joined to its documents once.
+    Movements shrink to one row per warehouse, direction and recorder before the
+    documents are joined, and those to one per pair of references before any code is;
+    a document's NULL references so never meet a join of raw rows. A group with an
+    unknown quantity has unknown units.
     """
-    return motion.groupBy(
-        "store_id", "type_motion", "subdiv_id", "store_receiver",
-        F.col("nmbr_sale_doc").isNotNull().alias("by_sale"),
-        F.col("nmbr_moving_out").isNotNull().alias("by_transfer"),
-        F.col("nmbr_checks_report").isNotNull().alias("by_check"),
-    ).agg(r_sum(F.col("item_motion_qty")).alias("units"))
+    sale, moved, checks = _documents(t)
+    raw = (_trade_movement(t, stores, start, finish, non_trade)
+           .groupBy("store_id", "type_motion", "recorder_ref")
+           .agg(F.sum("item_motion_qty").alias("u"), F.count("item_motion_qty").alias("known"),
+                F.count(F.lit(1)).alias("n")))
+    df = decode(raw, "recorder_ref", sale.withColumn("by_sale", F.col("nmbr_sale_doc").isNotNull()),
+                "subdiv_ref", "by_sale", drop=False)
+    df = decode(df, "recorder_ref", moved.withColumn("by_transfer", F.col("nmbr_moving_out").isNotNull()),
+                "receiver_store_ref", "by_transfer", drop=False)
+    df = decode(df, "recorder_ref", checks.withColumn("by_check", F.col("nmbr_checks_report").isNotNull()),
+                "by_check")
+    kinds = [F.coalesce(c, F.lit(False)).alias(c) for c in ("by_sale", "by_transfer", "by_check")]
+    sums = [F.sum(c).alias(c) for c in ("u", "known", "n")]
+    df = df.groupBy("store_id", "type_motion", "subdiv_ref", "receiver_store_ref", *kinds).agg(*sums)
+    df = decode(df, "subdiv_ref", t["subdiv_dim"], "subdiv_id")
+    df = decode(df, "receiver_store_ref", t["store_dim"], store_receiver="store_id")
+    return (df.groupBy("store_id", "type_motion", "subdiv_id", "store_receiver", "by_sale", "by_transfer", "by_check")
+            .agg(*sums).withColumn("units", F.when(F.col("known") == F.col("n"), F.col("u"))).drop("u", "known", "n"))
 
 
 def _store_subdiv(t: Tables) -> DataFrame:
@@ -197,16 +221,17 @@ def delivery_rows(t: Tables, start: date, finish: date) -> DataFrame:
     return df.drop("trip_ref")
 
 
-def delivery_clean(rows: DataFrame) -> DataFrame:
+def delivery_clean(rows: DataFrame, cfg: Settings) -> DataFrame:
     """Delivered trips with readable speedometers, the return time repaired.
 
-    A return in an earlier year is moved by whole years; a return on an earlier
-    day of the month is moved by the difference of the day numbers.
+    A return in an earlier year is moved by whole years, unless its year is that of a
+    time never set; a return on an earlier day of the month is moved by the difference
+    of the day numbers.
     """
     dep, ret = F.col("time_depart"), F.col("time_return")
     years = F.make_ym_interval(F.year(dep) - F.year(ret), F.lit(0))
     days = F.make_dt_interval(F.dayofmonth(dep) - F.dayofmonth(ret))
-    fixed = (F.when(F.year(ret) < F.year(dep), ret + years)
+    fixed = (F.when((F.year(ret) > cfg.last_unset_year) & (F.year(ret) < F.year(dep)), ret + years)
              .when(F.dayofmonth(ret) < F.dayofmonth(dep), ret + days).otherwise(ret))
     if "is_not_delivered" in rows.columns:
         rows = rows.filter(~F.col("is_not_delivered"))
@@ -217,7 +242,7 @@ def delivery_clean(rows: DataFrame) -> DataFrame:
             .withColumn("duration", bankers_round(minutes_between(dep, F.col("time_return")), 1)))
 
 
-def delivery_crews(t: Tables, start: date, finish: date) -> DataFrame:
+def delivery_crews(t: Tables, start: date, finish: date, cfg: Settings) -> DataFrame:
     """Cleaned trips with their people but without the orders.
 
     Crew cost does not depend on the orders, so the product of people and orders
@@ -225,12 +250,12 @@ def delivery_crews(t: Tables, start: date, finish: date) -> DataFrame:
     """
     delivered = t["trip_order"].filter(~F.col("is_not_delivered")).select("trip_ref")
     trips = _trips(t, start, finish).join(delivered, "trip_ref", "left_semi")
-    return delivery_clean(_people(t, trips)).drop("trip_ref")
+    return delivery_clean(_people(t, trips), cfg).drop("trip_ref")
 
 
-def delivery_stops(t: Tables, start: date, finish: date) -> DataFrame:
+def delivery_stops(t: Tables, start: date, finish: date, cfg: Settings) -> DataFrame:
     """Cleaned trips with their orders but without the people."""
-    return delivery_clean(_trips(t, start, finish).join(_stops(t, start, finish), "trip_ref", "left"))
+    return delivery_clean(_trips(t, start, finish).join(_stops(t, start, finish), "trip_ref", "left"), cfg)
 
 
 def delivery_orders(t: Tables, start: date, finish: date) -> DataFrame:
@@ -346,28 +371,21 @@ def stop_explode(tours: DataFrame) -> DataFrame:
     return tours.select(*tours.columns, F.posexplode(F.split("store_list", ", ")).alias("pos", "stop"))
 
 
-def leg_allocate(legs: DataFrame, key: Sequence[str] = ("trip_key",), block: int = 4096) -> DataFrame:
+def leg_allocate(legs: DataFrame, key: Sequence[str] = ("trip_key",)) -> DataFrame:
     """Tour length given to its stops by min(distance from start, distance to end).
 
-    The last leg leads back and has no stop. Tours of fewer than ``block`` legs
-    take one window; longer ones are added up in blocks, so no task sorts a whole
-    very long tour.
+    The last leg leads back and has no stop. A tour has as many legs as it has distinct
+    stops, so one window per tour holds a bounded group.
     """
-    key = list(key)
-    short, long = split_long(legs, key, "leg_no", block)
     whole = W.partitionBy(*key)
     run = whole.orderBy("leg_no").rowsBetween(W.unboundedPreceding, 0)
     weight = F.least(F.col("_to"), F.col("_total") - F.col("_to"))
-    to_stop = F.col("leg_no") < F.col("_last")
-    short = (short.withColumns({"_to": F.sum("distance").over(run), "_total": F.sum("distance").over(whole),
-                                "_last": F.max("leg_no").over(whole)})
-             .withColumn("_w", F.when(to_stop, weight))
-             .withColumn("_sum_w", F.sum("_w").over(whole)).filter(to_stop))
-    long = running_sum(long, key, "leg_no", "distance", "_to", "_total", "_last", block)
-    long = group_total(long.filter(to_stop).withColumn("_w", weight), key, "leg_no", "_w", "_sum_w", block)
+    stops = (legs.withColumns({"_to": F.sum("distance").over(run), "_total": F.sum("distance").over(whole),
+                               "_last": F.max("leg_no").over(whole)})
+             .withColumn("_w", F.when(F.col("leg_no") < F.col("_last"), weight))
+             .withColumn("_sum_w", F.sum("_w").over(whole)).filter(F.col("leg_no") < F.col("_last")))
     part = safe_div(F.col("_w"), F.col("_sum_w")) * F.col("_total")
-    return short.unionByName(long).select(
-        *key, F.col("end").alias("pos"), bankers_round(part, 1).alias("distance"))
+    return stops.select(*key, F.col("end").alias("pos"), bankers_round(part, 1).alias("distance"))
 
 
 def tour_key(delivery_store: str = "delivery_store", store_list: str = "store_list"):

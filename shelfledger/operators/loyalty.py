@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import (DISCOUNT_CLASSES, DISCOUNT_EARNED, DISCOUNT_EARNED_NAME, DISCOUNT_MARKETING,
                       DISCOUNT_ROUNDING, DISCOUNT_SPENT, DISCOUNT_SPENT_NAME)
 from ..functions.semantics import (bankers_round, conditional_count, count_distinct_local,
-                                   negate_when, r_sum, safe_div)
+                                   negate_when, safe_div)
 from ..sources.readers import Tables
 from .relational import join_null_safe
 
@@ -63,14 +63,27 @@ def new_cards(t: Tables, start: date, finish: date) -> DataFrame:
             .groupBy("store").agg(F.count(F.lit(1)).alias("count")))
 
 
-def discount_class(lines: DataFrame, t: Tables) -> DataFrame:
+def discount_days(lines: DataFrame) -> DataFrame:
+    """Discount lines per store, client, day and discount name, in one pass for cards and sums.
+
+    The sums are those of the lines that give a discount; their counts say whether one of
+    the amounts is unknown. Lines that give none still count as a visit.
+    """
+    kept = F.coalesce(((F.col("increment") != 0) | (F.col("account_increment") != 0))
+                      & (F.col("name") != DISCOUNT_ROUNDING), F.lit(False))
+    sums = [f(F.when(kept, F.col(c))).alias(f"{n}_{c}") for c in ("increment", "account_increment")
+            for n, f in (("sum", F.sum), ("known", F.count))]
+    return lines.groupBy("code_subdivision", "client", F.to_date("date").alias("day"), "name").agg(
+        *sums, F.count(F.when(kept, 1)).alias("n"))
+
+
+def discount_class(days: DataFrame, t: Tables) -> DataFrame:
     """Bonus earned, bonus spent and marketing discount per warehouse, one column each."""
     kind = (F.when(F.col("name") == DISCOUNT_EARNED_NAME, DISCOUNT_EARNED)
             .when(F.col("name") == DISCOUNT_SPENT_NAME, DISCOUNT_SPENT).otherwise(DISCOUNT_MARKETING))
-    kept = lines.filter(((F.col("increment") != 0) | (F.col("account_increment") != 0))
-                        & (F.col("name") != DISCOUNT_ROUNDING))
-    sums = kept.groupBy("code_subdivision", kind.alias("name_marketing")).agg(
-        bankers_round(-r_sum(F.col("increment")) + r_sum(F.col("account_increment"))).alias("s"))
+    total = lambda c: F.when(F.sum(f"known_{c}") == F.sum("n"), F.sum(f"sum_{c}"))
+    sums = days.filter("n > 0").groupBy("code_subdivision", kind.alias("name_marketing")).agg(
+        bankers_round(-total("increment") + total("account_increment")).alias("s"))
     wide = sums.groupBy("code_subdivision").pivot("name_marketing", list(DISCOUNT_CLASSES)).agg(F.max("s"))
     own = t["store_dim"].select(F.col("store_id").alias("code_subdivision"), "subdiv_ref").join(
         t["subdiv_dim"].select(F.col("ref").alias("subdiv_ref"), "subdiv_id"), "subdiv_ref", "left")
@@ -82,9 +95,9 @@ def discount_subdiv(classes: DataFrame) -> DataFrame:
     return classes.groupBy("subdiv_id").agg(*[F.sum(c).alias(c) for c in DISCOUNT_CLASSES])
 
 
-def card_visits(lines: DataFrame) -> DataFrame:
+def card_visits(days: DataFrame) -> DataFrame:
     """Days each known card was used at a store."""
-    return (lines.filter(F.col("client").isNotNull()).withColumn("day", F.to_date("date"))
+    return (days.filter(F.col("client").isNotNull())
             .groupBy("code_subdivision", "client").agg(count_distinct_local(F.col("day")).alias("total_purchase")))
 
 

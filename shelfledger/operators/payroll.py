@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.periods import add_months, month_floor
-from ..functions.semantics import bankers_round, in_local, r_sum, remap, sum_or_zero
+from ..functions.semantics import bankers_round, first_by, in_local, r_sum, remap, sum_or_zero
 from ..sources.readers import Tables, time_bound
 from .expenses import avg_strict
 from .refs import decode
@@ -71,7 +71,7 @@ def salary_month(t: Tables, months: list[date], cfg: Settings) -> DataFrame:
         F.sum("salary").alias("salary"), F.sum("hours").alias("hours"), F.sum("norm").alias("norm"))
     paid = F.col("salary") != 0
     salary = (per.groupBy("date", "individ_id").agg(
-        F.min("subdiv_id").alias("subdiv_id"), F.min("position_id").alias("position_id"),
+        *[first_by(c, ["subdiv_id", "position_id"]).alias(c) for c in ("subdiv_id", "position_id")],
         F.sum(F.when(paid, F.col("salary"))).alias("salary_sum"),
         F.sum(F.when(paid, F.col("hours"))).alias("working_hours"),
         F.sum(F.when(paid, F.col("norm"))).alias("norm_hours"))
@@ -141,7 +141,10 @@ def _manager_part(c: str, cfg: Settings) -> Column:
 
 
 def payroll_store(salary: DataFrame, trade: DataFrame, cfg: Settings) -> DataFrame:
-    """Sales staff per store (managers count in part) with the logistic units appended."""
+    """Sales staff per store (managers count in part) with the logistic units appended.
+
+    One row per subdivision: a unit that trades is a store.
+    """
     staff = salary.join(trade.select("subdiv_id").distinct(), "subdiv_id", "left_semi").filter(
         F.col("position_id").isin(list(cfg.retail_positions)))
     for c in ("total_salary", "stuff_unit", "working_hours"):
@@ -155,6 +158,7 @@ def payroll_store(salary: DataFrame, trade: DataFrame, cfg: Settings) -> DataFra
         F.max_by("units", "date").alias("stuff_units"),
         bankers_round(F.avg("hours")).alias("avr_working_hours"))
     logistic = (salary.filter(F.col("subdiv_id").isin(list(cfg.logistic_subdivs)))
+                .join(trade.select("subdiv_id").distinct(), "subdiv_id", "left_anti")
                 .groupBy("date", "subdiv_id").agg(F.sum("total_salary").alias("pay"))
                 .groupBy("subdiv_id").agg(bankers_round(F.avg("pay")).alias("avr_salary_sum")))
     return union_by_name(shops, logistic)

@@ -14,12 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.semantics import bankers_round, safe_div
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equi-condition in which NULL matches NULL."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+from ..functions.semantics import bankers_round, first_by, safe_div
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -74,7 +69,7 @@ def top1(df: DataFrame, keys: Sequence[str], value: str, tie: str) -> DataFrame:
     """Row with the largest value per key; ties go to the lowest ``tie``."""
     rest = [c for c in df.columns if c not in keys]
     best = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.max(value).alias("_v"), F.min_by(F.struct(*rest), F.struct(-F.col(value), F.col(tie))).alias("_b"))
+        F.min_by(F.struct(*rest), F.struct(-F.col(value), F.col(tie))).alias("_b"))
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
@@ -83,15 +78,24 @@ def pick_other_row(df: DataFrame, cond: Column, value: str, out: str) -> DataFra
     return df.crossJoin(F.broadcast(df.filter(cond).agg(F.max(value).alias(out))))  # one row
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str,
+def first_known(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], out: str) -> DataFrame:
+    """Every row with the first known ``value`` of its group by ``order``; NULL where none is known.
+
+    The choice is an aggregate joined back, so a large group is reduced where it lies.
+    """
+    one = df.groupBy(*keys).agg(first_by(value, order).alias("_first"))
+    return join_null_safe(df, one, keys).withColumn(out, F.col("_first")).drop("_first")
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_day: str, right_time: str,
               value: str) -> DataFrame:
-    """Latest ``value`` of the key dated strictly before the left row's day.
+    """Latest ``value`` of the key set strictly before the left row's day; of one day, the last.
 
     Both sides shrink to one row per key and day before the only window, which
     therefore sees at most two rows per calendar day; no pair of a left and a
     right row is formed except the final equi-join's single match.
     """
-    days = right.groupBy(key, F.col(right_day).alias("_day")).agg(F.max(value).alias("_v"))
+    days = right.groupBy(key, F.to_date(right_time).alias("_day")).agg(F.max_by(value, right_time).alias("_v"))
     asked = left.select(key, F.col(left_day).alias("_day")).distinct()
     both = (days.withColumn("_q", F.lit(False))
             .unionByName(asked.select(key, "_day", F.lit(None).cast(days.schema["_v"].dataType).alias("_v"),
@@ -104,65 +108,6 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_day: str, right_
             .drop("_k", "_day"))
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], value: str, position: str) -> DataFrame:
-    """Per block of a group that spans several: sum before it, group total and last position."""
-    group = W.partitionBy(*keys)
-    before = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    return (df.groupBy(*keys, "_b").agg(F.sum(value).alias("_t"), F.max(position).alias("_l"))
-            .withColumns({"_off": F.coalesce(F.sum("_t").over(before), F.lit(0)),
-                          "_all": F.sum("_t").over(group), "_end": F.max("_l").over(group),
-                          "_n": F.count(F.lit(1)).over(group)})
-            .filter(F.col("_n") > 1).drop("_t", "_l", "_n"))
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], position: str, value: str, out: str,
-                total: str | None = None, last: str | None = None, block: int = 4096) -> DataFrame:
-    """Running sum over whole-number positions, with the group's total and last position.
-
-    A window adds within a block of ``block`` positions; block totals give the
-    offsets. So no task sorts a whole long group, and a short one needs nothing
-    but the window: only blocks of longer groups are joined back.
-    """
-    b = df.withColumn("_b", F.floor(F.col(position) / F.lit(block)))
-    k = [*keys, "_b"]
-    part = W.partitionBy(*k)
-    inside = part.orderBy(position).rowsBetween(W.unboundedPreceding, 0)
-    w = b.withColumns({"_in": F.sum(value).over(inside), "_bt": F.sum(value).over(part),
-                       "_bl": F.max(position).over(part)})
-    w = join_null_safe(w, _blocks(b, keys, value, position), k)
-    cols = {out: F.col("_in") + F.coalesce("_off", F.lit(0))}
-    if total:
-        cols[total] = F.coalesce("_all", "_bt")
-    if last:
-        cols[last] = F.coalesce("_end", "_bl")
-    return w.withColumns(cols).drop("_b", "_in", "_bt", "_bl", "_off", "_all", "_end")
-
-
-def group_total(df: DataFrame, keys: Sequence[str], position: str, value: str, out: str,
-                block: int = 4096) -> DataFrame:
-    """Group total on every row, again in blocks of positions."""
-    b = df.withColumn("_b", F.floor(F.col(position) / F.lit(block)))
-    k = [*keys, "_b"]
-    w = b.withColumn("_bt", F.sum(value).over(W.partitionBy(*k)))
-    blocks = _blocks(b, keys, value, position).select(*k, "_all")
-    return join_null_safe(w, blocks, k).withColumn(out, F.coalesce("_all", "_bt")).drop("_b", "_bt", "_all")
-
-
-def split_long(df: DataFrame, keys: Sequence[str], position: str,
-               block: int) -> tuple[DataFrame, DataFrame]:
-    """Groups whose dense positions stay below ``block``, and the few others."""
-    keys = list(keys)
-    long_keys = df.filter(F.col(position) >= block).select(*keys).distinct()
-    return df.join(long_keys, keys, "left_anti"), df.join(long_keys, keys, "left_semi")
-
-
-def block_row_number(df: DataFrame, keys: Sequence[str], order: str, out: str,
-                     block: int = 4096) -> DataFrame:
-    """Row number by a whole-number column that is unique per key."""
-    one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return running_sum(one, keys, order, "_one", out, block=block).drop("_one")
-
-
 def transpose_long(df: DataFrame, ids: Sequence[str], values: Sequence[tuple[str, str]],
                    name: str = "index", value: str = "value") -> DataFrame:
     """Wide to long with labelled rows, in the given order (``index_no``)."""

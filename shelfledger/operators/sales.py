@@ -11,7 +11,7 @@ from ..config import Settings
 from ..functions.periods import add_months, month_floor
 from ..functions.semantics import (bankers_round, not_in_local, not_in_sql, number_text, r_sum,
                                    remap, safe_div)
-from ..sources.readers import Tables, time_bound
+from ..sources.readers import Tables
 from .refs import decode, ref_category
 from .relational import join_null_safe, top1
 
@@ -20,43 +20,28 @@ def _reports(t: Tables, start: date, finish: date) -> DataFrame:
     return t.register("check_report", "date", start, finish, ["posted", "is_managerial"])
 
 
-def _lines(t: Tables, start: date, finish: date, bounded_lines: bool) -> DataFrame:
-    """Check lines; with ``bounded_lines`` their own time is cut to the window too.
-
-    Lines carry no report date, so without it every line ever sold is read. Pass
-    it where a check's time lies in the period of its report.
-    """
-    lines = t["check_line"]
-    if bounded_lines:
-        lines = lines.filter(
-            (F.col("check_time") >= time_bound(lines, "check_time", start, t.shift))
-            & (F.col("check_time") < time_bound(lines, "check_time", finish, t.shift)))
-    return lines
-
-
-def sale_report(t: Tables, start: date, finish: date, cfg: Settings,
-                bounded_lines: bool = False) -> DataFrame:
+def sale_report(t: Tables, start: date, finish: date, cfg: Settings) -> DataFrame:
     """Per check report: sum, quantity, distinct checks, lines, regular customers, cost.
 
-    Everything is aggregated on the references; codes are joined to the few
-    report rows afterwards.
+    A line belongs to the period of its report, whatever its own time, so the reports
+    of the window meet the lines before anything else does. What is left is summed per
+    check on the references; codes are joined to the few report rows afterwards.
     """
     reports = _reports(t, start, finish)
     key = ["date", "nmbr_checks_report"]
     head = reports.select(F.col("ref").alias("report_ref"), *key, "subdiv_ref", "organization_ref")
     kept = t["item_dim"].filter(not_in_sql(F.col("item_id"), cfg.excluded_check_items))
-    lines = _lines(t, start, finish, bounded_lines).join(
-        kept.select(F.col("ref").alias("item_ref")), "item_ref", "left_semi")
-    sums = (lines.join(head, "report_ref")
-            .groupBy(*key, "subdiv_ref", "organization_ref")
-            .agg(F.sum("item_sum").alias("checks_report_sum"),
-                 F.sum("item_qty").alias("checks_report_qty"),
-                 F.countDistinct("check_nmbr").alias("total_checks_qty"),
-                 F.count(F.lit(1)).alias("checks_report_sku"))
+    lines = (t["check_line"].join(head, "report_ref")
+             .join(kept.select(F.col("ref").alias("item_ref")), "item_ref", "left_semi"))
+    checks = lines.groupBy(*key, "subdiv_ref", "organization_ref", "check_nmbr").agg(
+        F.sum("item_sum").alias("s"), F.sum("item_qty").alias("q"), F.count(F.lit(1)).alias("n"))
+    sums = (checks.groupBy(*key, "subdiv_ref", "organization_ref")
+            .agg(F.sum("s").alias("checks_report_sum"), F.sum("q").alias("checks_report_qty"),
+                 F.count("check_nmbr").alias("total_checks_qty"), F.sum("n").alias("checks_report_sku"))
             .filter(F.col("checks_report_qty") != 0))
 
-    regular = t["check_regular"].groupBy("report_ref").agg(
-        F.sum("reg_cust_sum").alias("s"), F.count(F.lit(1)).alias("n"))
+    regular = (t["check_regular"].join(head.select("report_ref"), "report_ref", "left_semi")
+               .groupBy("report_ref").agg(F.sum("reg_cust_sum").alias("s"), F.count(F.lit(1)).alias("n")))
     regular = (head.select("report_ref", *key).join(regular, "report_ref").groupBy(*key)
                .agg(F.sum("s").alias("doc_reg_cust_sum"), F.sum("n").alias("doc_reg_cust_nmbr"))
                .filter(F.col("doc_reg_cust_sum") != 0))
@@ -136,13 +121,11 @@ def _item_categories(t: Tables) -> DataFrame:
             .select("item_ref", "category_id"))
 
 
-def sale_check_category(t: Tables, start: date, finish: date, cfg: Settings,
-                        bounded_lines: bool = False) -> DataFrame:
-    """Sum and quantity per check and category."""
+def sale_check_category(t: Tables, start: date, finish: date, cfg: Settings) -> DataFrame:
+    """Sum and quantity per check and category, of the reports in the window."""
     head = _reports(t, start, finish).select(
         F.col("ref").alias("report_ref"), "nmbr_checks_report", "subdiv_ref")
-    df = (_lines(t, start, finish, bounded_lines).join(_item_categories(t), "item_ref")
-          .join(head, "report_ref")
+    df = (t["check_line"].join(head, "report_ref").join(_item_categories(t), "item_ref")
           .groupBy("subdiv_ref", "nmbr_checks_report", "check_nmbr", "category_id")
           .agg(F.sum("item_sum").alias("s"), F.sum("item_qty").alias("q")))
     return (decode(df, "subdiv_ref", t["subdiv_dim"], "subdiv_id")

@@ -21,20 +21,20 @@ from . import kpi, rules, views
 class Run:
     """Steps of one reporting period; each is planned once, on first use.
 
-    Steps that several results read and that are small (months x stores, crews,
-    stop lists) go through ``materialize``: the facts below them are then scanned
-    and shuffled once, and a lost executor does not bring the scan back.
+    The aggregates of facts that several results read (report months, expense months,
+    pay, units moved, crews, stock values, discount days, stops) and the KPI table go
+    through ``materialize``: the facts are then scanned and shuffled once, and a lost
+    executor does not bring the scan back. All other steps are lazy plans over these.
     ``legs`` maps the stop lists to the tours of an outside route service
     (``trip_key, leg_no, end, distance``).
     """
 
     def __init__(self, tables: Tables, finish: date, cfg: Settings | None = None,
                  legs: Callable[[DataFrame], DataFrame] | None = None, as_of: date | None = None,
-                 bounded_lines: bool = False,
                  materialize: Callable[[DataFrame], DataFrame] = cut_lineage) -> None:
         self.t, self.finish, self.cfg = tables, finish, cfg or Settings()
         self.as_of = as_of or finish
-        self.legs, self.bounded_lines, self.materialize = legs, bounded_lines, materialize
+        self.legs, self.materialize = legs, materialize
         self.start = add_months(finish, -self.cfg.months_back)
         self.start_long = add_months(finish, -self.cfg.months_back_long)
         self.motion_start = add_months(finish, -self.cfg.motion_months)
@@ -47,11 +47,11 @@ class Run:
     # dimensions
     @cached_property
     def categories(self) -> DataFrame:
-        return self.materialize(refs.subdiv_category(self.t, self.cfg))
+        return refs.subdiv_category(self.t, self.cfg)
 
     @cached_property
     def trade_stores(self) -> DataFrame:
-        return self.materialize(refs.trade_stores(self.t, self.cfg))
+        return refs.trade_stores(self.t, self.cfg)
 
     @cached_property
     def satellites(self) -> DataFrame:
@@ -72,17 +72,17 @@ class Run:
     # sales
     @cached_property
     def sale_month(self) -> DataFrame:
-        report = sales.sale_report(self.t, self.start_long, self.finish, self.cfg, self.bounded_lines)
+        report = sales.sale_report(self.t, self.start_long, self.finish, self.cfg)
         return self.materialize(sales.sale_month(report, self.categories, self.cfg))
 
     @cached_property
     def sale_store_month(self) -> DataFrame:
-        return self.materialize(sales.sale_store_month(self.sale_month))
+        return sales.sale_store_month(self.sale_month)
 
     @cached_property
     def classes(self) -> DataFrame:
-        return self.materialize(refs.store_class(
-            self.sale_store_month, self.areas, self.categories, self.cfg))
+        return refs.store_class(
+            self.sale_store_month, self.areas, self.categories, self.cfg)
 
     @cached_property
     def service(self) -> DataFrame:
@@ -90,10 +90,10 @@ class Run:
 
     @cached_property
     def structure(self) -> DataFrame:
-        checks = sales.sale_check_category(self.t, self.start, self.finish, self.cfg, self.bounded_lines)
-        return self.materialize(sales.category_structure(
+        checks = sales.sale_check_category(self.t, self.start, self.finish, self.cfg)
+        return sales.category_structure(
             inventory.inv_category_mean(self.snapshots, self.trade_stores, self.t),
-            sales.sale_structure(checks, self.cfg), self.t, self.cfg))
+            sales.sale_structure(checks, self.cfg), self.t, self.cfg)
 
     @cached_property
     def growth(self) -> DataFrame:
@@ -112,15 +112,15 @@ class Run:
 
     @cached_property
     def direct_costs(self) -> DataFrame:
-        return self.materialize(expenses.direct_costs(
+        return expenses.direct_costs(
             self.expenses, payroll.payroll_support(self.salary, self.categories, self.cfg),
-            payroll.payroll_store(self.salary, self.categories, self.cfg), self.finish, self.cfg))
+            payroll.payroll_store(self.salary, self.categories, self.cfg), self.finish, self.cfg)
 
     @cached_property
     def vat(self) -> DataFrame:
-        return self.materialize(vat.vat_allocate(
+        return vat.vat_allocate(
             self.sale_month, self.service, vat.account_balance(self.t, self.months, self.cfg),
-            self.finish, self.cfg))
+            self.finish, self.cfg)
 
     # logistics
     @cached_property
@@ -128,17 +128,17 @@ class Run:
         two = self.t["store_dim"].filter(
             F.col("store_id").isin(self.cfg.main_store, self.cfg.satellite_store)).select("store_id")
         stores = self.trade_stores.select("store_id").unionByName(two)
-        return self.materialize(logistics.motion_units(logistics.stock_motion(
-            self.t, stores, self.motion_start, self.finish, self.non_trade)))
+        return self.materialize(logistics.motion_units(
+            self.t, stores, self.motion_start, self.finish, self.non_trade))
 
     @cached_property
     def shipment_share(self) -> DataFrame:
-        return self.materialize(logistics.shipment_share(self.motion_units, self.trade_stores, self.t))
+        return logistics.shipment_share(self.motion_units, self.trade_stores, self.t)
 
     @cached_property
     def satellite_share(self) -> DataFrame:
-        return self.materialize(logistics.satellite_share(
-            self.motion_units, self.t, self.satellites, self.cfg))
+        return logistics.satellite_share(
+            self.motion_units, self.t, self.satellites, self.cfg)
 
     @cached_property
     def main_share(self) -> DataFrame:
@@ -155,22 +155,22 @@ class Run:
 
     @cached_property
     def crews(self) -> DataFrame:
-        return self.materialize(logistics.delivery_crews(self.t, self.start, self.finish))
+        return self.materialize(logistics.delivery_crews(self.t, self.start, self.finish, self.cfg))
 
     @cached_property
     def crew_cost(self) -> DataFrame:
-        return self.materialize(logistics.crew_cost(self.crews, self.salary, self.t, self.cfg))
+        return logistics.crew_cost(self.crews, self.salary, self.t, self.cfg)
 
     @cached_property
     def truck_cost(self) -> DataFrame:
-        return self.materialize(logistics.truck_cost_km(
-            self.crews, self.crew_cost, self.expenses, self.finish, self.cfg))
+        return logistics.truck_cost_km(
+            self.crews, self.crew_cost, self.expenses, self.finish, self.cfg)
 
     @cached_property
     def stop_list(self) -> DataFrame:
         orders = logistics.delivery_orders(self.t, self.start - timedelta(weeks=2), self.finish)
         moved = logistics.trade_deliveries(
-            logistics.delivery_stops(self.t, self.start, self.finish), orders, self.t, self.crew_cost,
+            logistics.delivery_stops(self.t, self.start, self.finish, self.cfg), orders, self.t, self.crew_cost,
             self.trade_stores, self.cfg)
         return self.materialize(logistics.stop_list(moved, self.satellites, self.cfg))
 
@@ -182,9 +182,9 @@ class Run:
     def transport(self) -> DataFrame:
         if self.legs is None:
             raise ValueError("transport cost needs the tours of a route service (legs)")
-        return self.materialize(logistics.transport_store(
+        return logistics.transport_store(
             self.stop_list, self.legs(self.tours), self.truck_cost, self.satellite_share, self.t,
-            self.cfg))
+            self.cfg)
 
     # stock and loyalty
     @cached_property
@@ -193,12 +193,12 @@ class Run:
             self.t, self.finish, self.as_of, self.non_trade, self.cfg))
 
     @cached_property
-    def discounts(self) -> DataFrame:
-        return loyalty.discount_lines(self.t, self.start, self.finish)
+    def discount_days(self) -> DataFrame:
+        return self.materialize(loyalty.discount_days(loyalty.discount_lines(self.t, self.start, self.finish)))
 
     @cached_property
     def discount_class(self) -> DataFrame:
-        return self.materialize(loyalty.discount_class(self.discounts, self.t))
+        return loyalty.discount_class(self.discount_days, self.t)
 
     # results
     def _together(self, *steps: str) -> None:
@@ -211,13 +211,10 @@ class Run:
         return inheritable_thread_target(self.categories.sparkSession)(fn)
 
     def prepare(self) -> None:
-        """Compute the shared steps; no step of a group reads another of the same group."""
-        _ = self.categories, self.trade_stores, self.satellites, self.subdivs, self.areas
-        self._together("non_trade", "sale_month", "expenses", "salary", "crews", "discount_class")
-        self._together("motion_units", "snapshots", "sale_store_month", "direct_costs", "crew_cost",
-                       "vat")
-        self._together("shipment_share", "satellite_share", "structure", "classes", "truck_cost",
-                       "stop_list")
+        """Compute the facts that several results read; no step of a group reads another of the same group."""
+        _ = self.categories, self.trade_stores, self.satellites
+        self._together("non_trade", "sale_month", "expenses", "salary", "crews", "discount_days")
+        self._together("motion_units", "snapshots", "stop_list")
 
     @cached_property
     def store_kpis(self) -> DataFrame:
@@ -232,7 +229,7 @@ class Run:
 
     @cached_property
     def cards(self) -> DataFrame:
-        return loyalty.card_stats(loyalty.card_visits(self.discounts),
+        return loyalty.card_stats(loyalty.card_visits(self.discount_days),
                                   loyalty.new_cards(self.t, self.start, self.finish),
                                   self.trade_stores, self.store_kpis, self.classes, self.t)
 

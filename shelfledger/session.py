@@ -24,6 +24,7 @@ def settings(cores: int, broadcast_mb: int = 64) -> dict[str, str]:
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
         "spark.sql.shuffle.partitions": str(max(cores * 3, 8)),
         "spark.sql.files.maxPartitionBytes": "256MB",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 

@@ -2,20 +2,17 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from shelfledger.session import session  # noqa: E402
+
 
 @pytest.fixture(scope="session")
-def spark():
-    s = (SparkSession.builder.master("local[8]").appName("tests")
-         .config("spark.ui.enabled", "false")
-         .config("spark.sql.shuffle.partitions", "4")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.driver.memory", "6g")
-         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-         .getOrCreate())
+def spark(tmp_path_factory):
+    s = session("tests", 8, **{
+        "spark.master": "local[8]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")), "spark.python.sql.dataFrameDebugging.enabled": "false"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -1,7 +1,6 @@
 import random
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from registry.driver_tables import tour_legs
@@ -20,13 +19,12 @@ def allocate(distances):
     return [w / sum(weights) * total if sum(weights) else None for w in weights]
 
 
-@pytest.mark.parametrize("block", [4, 4096])
-def test_leg_allocate_against_rows(spark, block):
+def test_leg_allocate_against_rows(spark):
     rnd = random.Random(8)
     tours = {t: [float(rnd.randrange(1, 50)) for _ in range(n)] for t, n in (("a", 2), ("b", 5), ("c", 12), ("hot", 90))}
     data = [(t, i, f"{t}{i}", d) for t, ds in tours.items() for i, d in enumerate(ds, 1)]
     legs = spark.createDataFrame(data, "trip_key string, leg_no int, end string, distance double")
-    got = {r.pos: r.distance for r in L.leg_allocate(legs, block=block).collect()}
+    got = {r.pos: r.distance for r in L.leg_allocate(legs).collect()}
     assert len(got) == sum(len(d) - 1 for d in tours.values())
     for t, ds in tours.items():
         for i, w in enumerate(allocate(ds), 1):
@@ -47,14 +45,20 @@ def test_delivery_clean_repairs_return(spark):
             # a return in the next month on an earlier day number is moved as well
             trip(datetime(2024, 6, 2, 8)), trip(datetime(2024, 5, 10, 7)),
             trip(datetime(2024, 5, 10, 12), finish=0.0), trip(datetime(2024, 5, 10, 12), vehicle=None)]
-    got = L.delivery_clean(spark.createDataFrame(data, TRIP)).collect()
+    got = L.delivery_clean(spark.createDataFrame(data, TRIP), Settings()).collect()
     assert sorted(r.duration for r in got) == [-60.0, 240.0, 240.0, 240.0, 31 * 24 * 60.0]
     assert {r.distance for r in got} == {50.0}
 
 
+def test_return_time_never_set_keeps_its_year(spark):
+    data = [trip(datetime(1, 1, 2), dep=datetime(2023, 5, 1, 8)), trip(datetime(22, 5, 1, 9), dep=datetime(23, 5, 1, 8))]
+    got = sorted(L.delivery_clean(spark.createDataFrame(data, TRIP), Settings()).collect(), key=lambda r: r.duration)
+    assert got[0].time_return == datetime(1, 1, 2) and got[1].duration == 60.0
+
+
 def test_undelivered_rows_are_left_out(spark):
     data = [trip(datetime(2024, 5, 10, 12))[:-1] + (flag,) for flag in (True, False, None)]
-    assert L.delivery_clean(spark.createDataFrame(data, TRIP)).count() == 1
+    assert L.delivery_clean(spark.createDataFrame(data, TRIP), Settings()).count() == 1
 
 
 def test_unknown_region_matches_unknown_only(spark):

@@ -1,5 +1,5 @@
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -49,24 +49,16 @@ def test_asof_against_brute_force(spark):
     assert got == sorted(want, key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
-def test_running_sum_over_blocks(spark):
-    rnd = random.Random(4)
-    data = [(k, p, float(rnd.randrange(9))) for k, n in (("hot", 200), ("one", 1), ("few", 5)) for p in range(1, n + 1)]
-    df = spark.createDataFrame(data, "k string, p int, x double")
-    got = {(r.k, r.p): (r.run, r.total, r.last) for r in R.running_sum(df, ["k"], "p", "x", "run", "total", "last", block=7).collect()}
-    for k, p, _ in data:
-        mine = [(q, v) for kk, q, v in data if kk == k]
-        assert got[k, p] == (sum(v for q, v in mine if q <= p), sum(v for _, v in mine), max(q for q, _ in mine))
-    tot = {(r.k, r.p): r.t for r in R.group_total(df, ["k"], "p", "x", "t", block=7).collect()}
-    assert all(tot[k, p] == got[k, p][1] for k, p, _ in data)
-
-
-def test_block_row_number(spark):
-    data = [("a", i * 13 % 101) for i in range(60)] + [("b", 5)]
-    df = spark.createDataFrame(data, "k string, o int")
-    got = {(r.k, r.o): r.n for r in R.block_row_number(df, ["k"], "o", "n", block=10).collect()}
-    order = sorted(o for k, o in data if k == "a")
-    assert all(got["a", o] == i + 1 for i, o in enumerate(order)) and got["b", 5] == 1
+def test_asof_takes_the_last_setting_of_a_day(spark):
+    left = spark.createDataFrame([("k", date(2024, 1, 2)), ("k", date(2024, 1, 1))], "k string, d date")
+    right = spark.createDataFrame([("k", datetime(2024, 1, 1, 8), 9.0), ("k", datetime(2024, 1, 1, 18), 5.0)], "k string, at timestamp_ntz, p double")
+    assert rows(R.asof_join(left, right, "k", "d", "at", "p").select("p")) == [(None,), (5.0,)]
+
+
+def test_first_known_by_order(spark):
+    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, None), ("a", 2, "x"), ("a", None, "w"), (None, None, "z"), ("b", 1, None)], "k string, o int, v string")
+    got = R.first_known(df, ["k"], "v", ["o", "v"], "first").select("k", "first").distinct()
+    assert rows(got) == [(None, "z"), ("a", "x"), ("b", None)]
 
 
 def test_hierarchy_depth_root_and_cycle(spark):
