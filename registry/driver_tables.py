@@ -14,7 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfledger.config import (DISCOUNT_EARNED_NAME, DISCOUNT_ROUNDING, DISCOUNT_SPENT_NAME,
-                                SUPERMARKET_B2B, SUPERMARKET_B2C, Settings)
+                                DROPPED_EXPENSES, FUEL_EXPENSE, MAINTENANCE_EXPENSES,
+                                NON_DIRECT_EXPENSES, RENT_EXPENSE, SUPERMARKET_B2B, SUPERMARKET_B2C,
+                                UTILITY_EXPENSES, Settings)
 from shelfledger.functions.periods import month_span
 from shelfledger.operators.logistics import tour_key
 from shelfledger.sources.readers import Tables
@@ -46,10 +48,8 @@ CFG = Settings(
     category_names={"MEDIUM": "16. Лайфстайл"},
 )
 EXPENSE_NAMES = (
-    "02 Орендна плата", "04 Комунальні послуги", "00 Заробітна плата",
-    "08 Автовитрати, запчастини", "09 Витрати на пальне", "53 Курсові різниці",
-    "185 Маркетингові витрати", "24 Страхування",
-    "091 Генератори, інш оствітл та обладнання", "29 Податок на прибуток від осн. діяльності",
+    RENT_EXPENSE, UTILITY_EXPENSES[0], NON_DIRECT_EXPENSES[0], MAINTENANCE_EXPENSES[0], FUEL_EXPENSE,
+    DROPPED_EXPENSES[0], "expense of another kind", MAINTENANCE_EXPENSES[2], UTILITY_EXPENSES[1], "expense of one more kind",
 )
 POSITIONS = {"purchase": "000000031", "click": "000000033", "view": "000000043",
              "error": "000000036", "signup": "000000041"}

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 
-from shelfledger.config import NAME_CLEANING, SUPERMARKET_B2B, SUPERMARKET_B2C
+from shelfledger.config import (DROPPED_EXPENSES, FUEL_EXPENSE, MAINTENANCE_EXPENSES, NAME_CLEANING,
+                                NON_DIRECT_EXPENSES, RENT_EXPENSE, SUPERMARKET_B2B, SUPERMARKET_B2C,
+                                UTILITY_EXPENSES)
 from shelfledger.plans import rules, views
 
 from .driver_tables import CFG, EXPENSE_NAMES, POSITIONS, SUBDIV_NAMES
@@ -194,7 +196,7 @@ def _clean(src: str) -> str:
   CASE WHEN type_exp = 0 THEN exp_sum + exp_vat ELSE -(exp_sum + exp_vat) END AS exp_sum, exp_items_parent, parent_2, coalesce(parent_2, exp_items_parent) AS expenses_item
   FROM {src} r LEFT JOIN ref_expense e USING (exp_items_id, exp_items_name)
   LEFT JOIN (SELECT exp_items_name AS p_name, exp_items_parent AS parent_2 FROM ref_expense) ON p_name = exp_items_parent
-  WHERE coalesce(coalesce(parent_2, exp_items_parent) NOT IN ('53 Курсові різниці', '44 Спонсорська/матеріальна допомога', '43 Капітальні інвестиції', '41 Ремонти'), true)"""
+  WHERE coalesce(coalesce(parent_2, exp_items_parent) NOT IN ({quoted(DROPPED_EXPENSES)}), true)"""
 
 
 C["expense_clean"] = _clean("exp_rows")
@@ -202,13 +204,12 @@ C["expense_clean12"] = _clean("exp_rows12")
 C["expense_months"] = "SELECT date, subdiv_id, expenses_item, sum(exp_sum) AS exp_sum, sum(exp_sum) AS exp_sum_known FROM expense_clean12 GROUP BY ALL"
 C["exp3"] = "SELECT * FROM expense_clean12 WHERE date >= DATE '2001-01-01'"
 C["utilities"] = f"""SELECT subdiv_id, {br('avg(s)')} AS utilities_exp_sum FROM (SELECT date, subdiv_id, sum(exp_sum) AS s FROM exp3
-  WHERE expenses_item IN ('04 Комунальні послуги', '091 Генератори, інш оствітл та обладнання') GROUP BY ALL) GROUP BY 1"""
+  WHERE expenses_item IN ({quoted(UTILITY_EXPENSES)}) GROUP BY ALL) GROUP BY 1"""
 C["rent"] = f"""SELECT subdiv_id, {br('max(s)')} AS avr_rent_sum FROM (SELECT date, {remap('subdiv_id', CFG.rent_subdiv_merge)} AS subdiv_id, sum(exp_sum) AS s FROM exp3
-  WHERE expenses_item = '02 Орендна плата' GROUP BY ALL) GROUP BY 1"""
+  WHERE expenses_item = '{RENT_EXPENSE}' GROUP BY ALL) GROUP BY 1"""
 C["direct_costs"] = f"""SELECT subdiv_id, avr_total_exp_sum, avr_salary_sum, stuff_units, avr_working_hours, avr_rent_sum, utilities_exp_sum FROM
   (SELECT subdiv_id, {br('avg(s)')} AS avr_total_exp_sum FROM (SELECT date, subdiv_id, sum(exp_sum) AS s FROM
-    (SELECT date, {remap('subdiv_id', CFG.rent_subdiv_merge)} AS subdiv_id, exp_sum FROM exp3 WHERE coalesce(expenses_item NOT IN
-      ('00 Заробітна плата', '02 Орендна плата', '04 Комунальні послуги', '091 Генератори, інш оствітл та обладнання', '08 Автовитрати, запчастини', '09 Витрати на пальне'), true)
+    (SELECT date, {remap('subdiv_id', CFG.rent_subdiv_merge)} AS subdiv_id, exp_sum FROM exp3 WHERE coalesce(expenses_item NOT IN ({quoted(NON_DIRECT_EXPENSES)}), true)
      UNION ALL SELECT date, subdiv_id, exp_sum FROM payroll_support) GROUP BY ALL) GROUP BY 1)
   LEFT JOIN payroll_store USING (subdiv_id) LEFT JOIN rent USING (subdiv_id) LEFT JOIN utilities USING (subdiv_id) WHERE avr_salary_sum IS NOT NULL"""
 
@@ -348,9 +349,9 @@ C["crew_cost"] = f"""SELECT date, vehicle_id, sum(pay) AS person_exp, any_value(
   WHERE position_id IN ({quoted(CFG.driver_positions)})) WHERE v % 4 <> 3 AND v <> 17 GROUP BY ALL"""
 C["truck_cost"] = f"""SELECT c.date, c.vehicle_id, {br('(person_exp + fuel + upkeep) / nullif(km, 0)', 3)} AS cost_1km FROM crew_cost c
   LEFT JOIN (SELECT date, vehicle_id, sum(distance) AS km FROM (SELECT DISTINCT nmbr_delivery, date_delivery, date, vehicle_id, distance FROM delivery_crews) GROUP BY ALL) d ON d.date = c.date AND d.vehicle_id = c.vehicle_id
-  LEFT JOIN (SELECT date, subdiv_id, sum(exp_sum) AS fuel FROM exp3 WHERE expenses_item = '09 Витрати на пальне' GROUP BY ALL) f ON f.date = c.date AND f.subdiv_id = {code('vs')}
+  LEFT JOIN (SELECT date, subdiv_id, sum(exp_sum) AS fuel FROM exp3 WHERE expenses_item = '{FUEL_EXPENSE}' GROUP BY ALL) f ON f.date = c.date AND f.subdiv_id = {code('vs')}
   LEFT JOIN (SELECT subdiv_id, {br('avg(m) / 100')} * 100 AS upkeep FROM (SELECT date, subdiv_id, sum(exp_sum) AS m FROM expense_clean12
-    WHERE expenses_item IN ('08 Автовитрати, запчастини', '231 Оформлення документів', '24 Страхування') GROUP BY ALL) GROUP BY 1) u ON u.subdiv_id = {code('vs')}"""
+    WHERE expenses_item IN ({quoted(MAINTENANCE_EXPENSES)}) GROUP BY ALL) GROUP BY 1) u ON u.subdiv_id = {code('vs')}"""
 C["moved"] = f"""SELECT nmbr_delivery, date_delivery, printf('%09d', CAST(c % 12 AS INTEGER) % 3) AS route_parent, t.store_id AS delivery_store, t.vehicle_id, o.recipient_store
   FROM ({_fixed('trip')}) t JOIN (SELECT k, s, c, od, k || '-' || s AS nmbr_deliv_order FROM stops WHERE s % 12 <> 0 AND s % 8 <> 7 AND s % 9 <> 0) x USING (k)
   JOIN (SELECT k || '-' || s AS nmbr_deliv_order, {code('s')} AS recipient_store, n % 5 AS g FROM (SELECT stops.*, s_nationkey AS n FROM stops JOIN supplier ON s_suppkey = s)) o USING (nmbr_deliv_order)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import TRADE_CATEGORIES, Settings
 from ..sources.readers import Tables, cut_lineage
 from .relational import hierarchy_root, latest_per_key
 
@@ -162,9 +162,10 @@ def store_class(subdivs: DataFrame, areas: DataFrame, categories: DataFrame,
     trade = latest_per_key(areas, ["subdiv_id"], "date").filter(
         F.col("type_area") == "trade_area").select("subdiv_id", "area_value")
     area = F.col("area_value")
-    label = (F.when((area > high) & (F.col("subdiv_category") == cfg.supermarket_b2c), "Супер")
-             .when(area >= high, "Максі").when(area > low, "Міді").when(area <= low, "Міні"))
-    order = F.expr("array_position(array('Міні', 'Міді', 'Максі', 'Супер'), trade_category)")
+    mini, midi, maxi, largest = TRADE_CATEGORIES
+    label = (F.when((area > high) & (F.col("subdiv_category") == cfg.supermarket_b2c), largest)
+             .when(area >= high, maxi).when(area > low, midi).when(area <= low, mini))
+    order = F.array_position(F.array(*map(F.lit, TRADE_CATEGORIES)), F.col("trade_category"))
     return (subdivs.select("subdiv_id").distinct()
             .join(trade, "subdiv_id", "left").join(categories, "subdiv_id", "left")
             .withColumn("trade_category", label)

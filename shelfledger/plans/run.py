@@ -22,9 +22,10 @@ class Run:
     """Steps of one reporting period; each is planned once, on first use.
 
     The aggregates of facts that several results read (report months, expense months,
-    pay, units moved, crews, stock values, discount days, stops) and the KPI table go
-    through ``materialize``: the facts are then scanned and shuffled once, and a lost
-    executor does not bring the scan back. All other steps are lazy plans over these.
+    pay, units moved, crews, stock values, discount days, stops), and the few rows per store
+    that the KPI table puts side by side, go through ``materialize``: the facts are then
+    scanned and shuffled once, and a lost executor does not bring the scan back. All other
+    steps are lazy plans over these.
     ``legs`` maps the stop lists to the tours of an outside route service
     (``trip_key, leg_no, end, distance``).
     """
@@ -81,8 +82,8 @@ class Run:
 
     @cached_property
     def classes(self) -> DataFrame:
-        return refs.store_class(
-            self.sale_store_month, self.areas, self.categories, self.cfg)
+        return self.materialize(refs.store_class(
+            self.sale_store_month, self.areas, self.categories, self.cfg))
 
     @cached_property
     def service(self) -> DataFrame:
@@ -91,9 +92,9 @@ class Run:
     @cached_property
     def structure(self) -> DataFrame:
         checks = sales.sale_check_category(self.t, self.start, self.finish, self.cfg)
-        return sales.category_structure(
+        return self.materialize(sales.category_structure(
             inventory.inv_category_mean(self.snapshots, self.trade_stores, self.t),
-            sales.sale_structure(checks, self.cfg), self.t, self.cfg)
+            sales.sale_structure(checks, self.cfg), self.t, self.cfg))
 
     @cached_property
     def growth(self) -> DataFrame:
@@ -112,15 +113,15 @@ class Run:
 
     @cached_property
     def direct_costs(self) -> DataFrame:
-        return expenses.direct_costs(
+        return self.materialize(expenses.direct_costs(
             self.expenses, payroll.payroll_support(self.salary, self.categories, self.cfg),
-            payroll.payroll_store(self.salary, self.categories, self.cfg), self.finish, self.cfg)
+            payroll.payroll_store(self.salary, self.categories, self.cfg), self.finish, self.cfg))
 
     @cached_property
     def vat(self) -> DataFrame:
-        return vat.vat_allocate(
+        return self.materialize(vat.vat_allocate(
             self.sale_month, self.service, vat.account_balance(self.t, self.months, self.cfg),
-            self.finish, self.cfg)
+            self.finish, self.cfg))
 
     # logistics
     @cached_property
@@ -182,9 +183,9 @@ class Run:
     def transport(self) -> DataFrame:
         if self.legs is None:
             raise ValueError("transport cost needs the tours of a route service (legs)")
-        return logistics.transport_store(
+        return self.materialize(logistics.transport_store(
             self.stop_list, self.legs(self.tours), self.truck_cost, self.satellite_share, self.t,
-            self.cfg)
+            self.cfg))
 
     # stock and loyalty
     @cached_property
@@ -214,7 +215,8 @@ class Run:
         """Compute the facts that several results read; no step of a group reads another of the same group."""
         _ = self.categories, self.trade_stores, self.satellites
         self._together("non_trade", "sale_month", "expenses", "salary", "crews", "discount_days")
-        self._together("motion_units", "snapshots", "stop_list")
+        self._together("motion_units", "snapshots", "stop_list", "direct_costs", "vat", "classes")
+        self._together("structure", "transport")
 
     @cached_property
     def store_kpis(self) -> DataFrame:

@@ -105,6 +105,25 @@ def test_unknown_root_is_a_trade_item(spark):
     assert sorted(r.item_id for r in I.drop_non_trade(stock, non_trade).collect()) == ["a", "c", "unknown"]
 
 
+def test_receipts_of_a_day_net_one_by_one(spark):
+    """A receipt whose quantity nets to nothing in a month drops out with its cost, also where its day has others."""
+    t = FrameTables({
+        "batch_movement": spark.sql("""SELECT timestamp'2024-01-05' AS date_movement, true AS active, 1 AS store_ref, 1 AS item_ref, * FROM VALUES
+            (0, 2.0D, 10.0D, 2.0D, 1), (1, 2.0D, 5.0D, 1.0D, 1), (0, 3.0D, 30.0D, 6.0D, 2) AS v(type_motion, item_motion_qty, item_store_sum, item_store_vat, receipt_doc_ref)"""),
+        "receipt_doc": spark.sql("SELECT * FROM VALUES (1, timestamp'2023-12-01 08:00:00'), (2, timestamp'2023-12-01 17:00:00') AS r(ref, date)"),
+        "assembly_doc": spark.sql("SELECT 9 AS ref, timestamp'2023-12-02' AS date"),
+        "store_dim": spark.createDataFrame([(1, "s", 2), (2, "p", 2)], "ref int, store_id string, parent_ref int"),
+        "item_dim": spark.createDataFrame([(1, "a")], "ref int, item_id string")})
+    got = I.inv_movement_batch(t, date(2024, 1, 1), Settings()).collect()
+    assert [(r.date_receipt, r.item_motion_qty, r.item_motion_cost) for r in got] == [(date(2023, 12, 1), 3.0, 36.0)]
+
+
+def test_lifo_takes_sums_in_any_order_for_equal(spark):
+    tenths = sum([0.1] * 3)  # not 0.3
+    got = value(spark, [(None, "s", "i", 0.3)], [(None, date(2023, 5, 1), "s", "i", tenths, 9.0)], [("i", date(2023, 1, 1), 1.0)])
+    assert got[SNAP[0], "i"] == 9.0
+
+
 def test_low_vat_counts_as_none(spark):
     df = spark.createDataFrame([(100.0, 20.0), (100.0, 19.9), (100.0, 5.0)], "item_store_sum double, item_store_vat double")
     assert [r[0] for r in df.select(I._cost_with_vat()).collect()] == [120.0, 100.0, 100.0]

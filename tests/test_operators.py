@@ -149,8 +149,14 @@ def test_discount_classes(spark):
     df = spark.createDataFrame([("A", "5% на бонусний рахунок", 0.0, 5.0), ("A", "Використання бонусів", -3.0, 0.0), ("A", "Акція", -7.0, 0.0),
                                 ("A", "Акція", 0.0, 0.0), ("A", "Округление на вид оплаты", -9.0, 0.0)],
                                "code_subdivision string, name string, increment double, account_increment double")
-    assert rows(loyalty.discount_class(df, t)) == [("s", "A", 5.0, 3.0, 7.0)]
-    assert loyalty.discount_subdiv(loyalty.discount_class(df, t)).count() == 1
+    lines = df.withColumns({"client": F.when(F.col("increment") < -5, "c"), "date": F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")})
+    days = loyalty.discount_days(lines)
+    assert rows(loyalty.discount_class(days, t)) == [("s", "A", 5.0, 3.0, 7.0)]
+    assert loyalty.discount_subdiv(loyalty.discount_class(days, t)).count() == 1
+    # a line that gives nothing is a visit all the same; an unknown amount makes the sum unknown
+    assert rows(loyalty.card_visits(days)) == [("A", "c", 1)]
+    unknown = loyalty.discount_days(lines.withColumn("account_increment", F.when(F.col("increment") != -7, F.col("account_increment"))))
+    assert rows(loyalty.discount_class(unknown, t)) == [("s", "A", 5.0, 3.0, None)]
 
 
 def test_item_chain_through_tables(spark):
