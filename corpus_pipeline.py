@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfledger.llm import bpe, decontam, line_dedup, quality, simhash
-from shelfledger.llm.common import free_name, shared_folder, ship, table
+from shelfledger.llm.common import free_name, ready, shared_folder, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model rejects go."""
-    ship(spark)
+    ready(spark)
     return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -23,19 +23,19 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with similar 5-word shingles the one of the least id stays."""
-    ship(spark)
+    ready(spark)
     return simhash.keep_one(docs, simhash.similar_groups(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    ship(spark)
+    ready(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids, its text decoded from them."""
-    ship(spark)
+    ready(spark)
     return bpe.round_trip(docs, free_name(docs, "ids"))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this library to the executors, once a session, so their Python need not have it installed."""
+#: Rows of an Arrow batch: a row holds a whole text, and Spark and Python each hold a batch per task.
+BATCH_ROWS = 512
+
+
+def ready(spark: SparkSession) -> None:
+    """Make a session fit for texts, once.
+
+    This library is sent to the executors, whose Python need not have it installed, and
+    Arrow batches get ``BATCH_ROWS`` rows at most.
+    """
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         root = Path(__file__).resolve().parents[2]
         library = __package__.split(".")[0]
         made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='ship-')}/{library}", "zip", root, library)
@@ -46,6 +58,19 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until ``column`` holds about ``size`` bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.column(column).nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import gathered
+
 #: Edits for each character of an item that still count as a match.
 EDITS = 0.1
 GRAM = 12
@@ -241,18 +243,6 @@ class Detector:
         return [[(self.items[i][0], *m) for i, m in sorted(x.items())] for x in out]
 
 
-def slabs(texts: Iterator[str | None]) -> Iterator[list[str]]:
-    held, n = [], 0
-    for t in texts:
-        held.append(t or "")
-        n += len(held[-1])
-        if n >= SLAB:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def blocks(benchmark: DataFrame, limit: int = ITEM_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of about ``limit`` characters; one pass over the documents is made for each."""
     items = benchmark.select("item_id", "text").filter("text is not null")
@@ -278,13 +268,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> Data
             from pyspark.sql.pandas.types import to_arrow_schema
 
             detector, types = Detector(items, edits), to_arrow_schema(schema)
-            for b in batches:
-                ids, first = b.column(0).to_pylist(), 0
-                for group in slabs(t.as_py() for t in b.column(1)):
-                    rows = [(d, *m) for d, found in zip(ids[first:], detector.find(group)) for m in found]
-                    first += len(group)
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema.names)
+            for b in gathered(batches, 1, SLAB):
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                rows = [(d, *m) for d, found in zip(b.column(0).to_pylist(), detector.find(texts)) for m in found]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema.names)
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
     parts = [search(items) for items in blocks(benchmark)]
@@ -301,8 +289,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDIT
     def search(df, items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             detector = Detector(items, edits)
-            for b in batches:
-                clean = [not found for group in slabs(t.as_py() for t in b.column(place)) for found in detector.find(group)]
+            for b in gathered(batches, place, SLAB):
+                clean = [not found for found in detector.find([t or "" for t in b.column(place).to_pylist()])]
                 yield b.filter(pa.array(clean, pa.bool_()))
         return df.mapInArrow(run, docs.schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, chunk_dedup, decontam, line_dedup, minhash, quality, secrets, simhash, token_store
-from .common import ship, table
+from .common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 def query(fn):
     """Register under the function's name."""
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        ready(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = call
