@@ -212,6 +212,9 @@ def near_block(fp: np.ndarray, queries: np.ndarray, first: int, radius: int, for
                 hit = np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little"))
                 if len(hit):
                     forest.link(np.full(len(hit), base + one), base + hit)
+            roots = forest.roots(base + np.arange(len(fp)))
+            if (roots == roots[0]).all():
+                return  # one tree spans the run: no further link can join two
 
 
 def near_links(fp: np.ndarray, run: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
