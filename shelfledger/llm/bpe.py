@@ -16,7 +16,6 @@ import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +26,58 @@ from pyspark.sql import types as T
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters encoded at once, and pieces a worker keeps.
-SLAB, KEPT = 1 << 21, 300_000
+SLAB, KEPT = 1 << 20, 300_000
 
 # Splitting rule of byte-level vocabularies (fixed value): contractions, letters, numbers, others, spaces.
-# No other part can start where letters or numbers do, so these, the most frequent, come first.
-PIECES = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-# The same rule where every character is below 256, with the classes written out.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-PIECES_LATIN = re.compile(f" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 
-def pieces(text: str) -> list[str]:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return PIECES.findall(text)
-    return PIECES_LATIN.findall(text)
+def _classes() -> np.ndarray:
+    """0 white space, 1 letter, 2 number, 3 other, for the characters below 256, as the rule has them."""
+    kinds = [regex.compile(p) for p in (r"\p{White_Space}", r"\p{L}", r"\p{N}")]
+    return np.array([next((k for k, p in enumerate(kinds) if p.match(chr(c))), 3) for c in range(256)], np.uint8)
+
+
+CLASS = _classes()
+_TWO, _THREE = np.isin(np.arange(256), list(b"stmd")), (b"re", b"ve", b"ll")
+
+
+def latin_starts(code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts start that lie one after another, a byte for each character below 256.
+
+    The rule in terms of runs of one class: a blank goes with the run behind it, the white
+    space before that blank, or before any single last character, is a piece, and a lone
+    apostrophe takes the letters of a contraction.
+    """
+    n = len(code)
+    kind = CLASS[code]
+    first = np.zeros(n + 1, bool)  # of a run
+    first[1:n] = kind[1:] != kind[:-1]
+    first[begins], first[n] = True, True
+    text_start = np.zeros(n + 1, bool)
+    text_start[begins], text_start[n] = True, True
+    space, blank = kind == 0, code == 32
+    start = first[:n].copy()
+    # the last character of white space before another run: a blank starts that run's piece, others are a piece
+    last = np.flatnonzero(space & first[1:] & ~text_start[1:])
+    start[last] = True
+    joined = last[blank[last]]
+    start[joined + 1] = False
+    # contractions: an apostrophe alone in its run, not behind a blank that it would belong to
+    at = np.flatnonzero((code == 39) & first[:n] & first[1:])
+    at = at[start[at] & (at + 1 < n)]
+    at = at[(kind[at + 1] == 1) & ~text_start[at + 1]]
+    c1, c2 = code[at + 1], code[np.minimum(at + 2, n - 1)]
+    inside = ~first[at + 2]  # the second letter is of the same run
+    size = np.where(_TWO[c1], 2, 0)
+    for pair in _THREE:
+        size[(c1 == pair[0]) & (c2 == pair[1]) & inside] = 3
+    at, size = at[size > 0], size[size > 0]
+    start[at + 1] = False
+    behind = at + size
+    behind = behind[behind < n]
+    start[behind] = True
+    return np.flatnonzero(start)
 
 
 def byte_letters() -> list[str]:
@@ -172,62 +207,161 @@ def merge_pieces(v: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np.nd
     return sym[alive], total[stops] - total[stops - size]
 
 
-class Numbers(dict):
-    """Numbers pieces as they are met; ``new`` lists those met for the first time."""
+#: Random weight of each byte, and the factor from one place to the next, of the keys of pieces.
+_WEIGHT = np.random.default_rng(50257).integers(0, 1 << 64, 256, dtype=np.uint64)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
 
-    def __init__(self, known: Sequence[str]) -> None:
-        super().__init__(zip(known, range(len(known))))
-        self.new: list[str] = []
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the factor and of its inverse."""
+    both = []
+    for x in (int(_FACTOR), pow(int(_FACTOR), -1, 1 << 64)):
+        p = np.full(n, np.uint64(x))
+        p[0] = 1
+        both.append(np.multiply.accumulate(p))
+    return both[0], both[1]
 
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = k = len(self)
-        return k
+
+def piece_keys(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell pieces apart: a hash of the characters, and the first eight with the length."""
+    power, inverse = _powers(1 << max(16, int(len(code) + 1).bit_length()))
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(_WEIGHT[code] * power[:len(code)], out=total[1:])
+    h = (total[start + size] - total[start]) * inverse[start]
+    h ^= h >> np.uint64(32)
+    padded = np.concatenate([code, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded.view(), (len(code), 8), (1, 1))[start].copy().view("<u8").ravel()
+    few = np.minimum(size, 8).astype(np.uint64)
+    eight &= np.where(few == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.uint64(8) * (few % np.uint64(8)))) - np.uint64(1))
+    return h, eight ^ (size.astype(np.uint64) * _FACTOR)
 
 
 class Coder:
-    """Encodes texts piece by piece; the pieces used most are kept for later texts, up to a bound."""
+    """Encodes texts piece by piece; the pieces used most are kept for later texts, up to a bound.
+
+    Texts of characters below 256 are split and looked up without a Python object for each
+    piece, in a table with open addressing. Other texts, and those with the string of a
+    special token, are split by the pattern, and their distinct pieces encoded each time.
+    """
 
-    def __init__(self, v: Vocabulary, encode_pieces: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> None:
-        self.v = v
+    def __init__(self, v: Vocabulary, encode_pieces: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]] | None = None, kept: int | None = None) -> None:
+        self.v, self.kept = v, KEPT if kept is None else kept
         self.encode_pieces = encode_pieces or (lambda words: merge_pieces(v, words))
-        self.number = Numbers([*v.special])  # special tokens are pieces of one id
-        self.flat = np.array([*v.special.values()], np.uint32)
-        self.length = np.ones(len(v.special), np.int64)
-        self.uses = np.zeros(len(v.special), np.int64)
-
-    def forget(self) -> None:
-        """Keep the special tokens and of the other pieces the half of the bound that was used most."""
-        special = len(self.v.special)
-        floor = np.partition(self.uses, -KEPT // 2)[-KEPT // 2] if KEPT else self.uses.max()
-        keep = self.uses > floor
-        keep[:special] = True
-        self.number = Numbers([w for w, k in zip(self.number, keep.tolist()) if k])
+        self.flat, self.length, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.key = np.zeros((0, 2), np.uint64)
+        self._rehash()
+
+    def _rehash(self) -> None:
+        """A table of twice the pieces at least, filled with the known ones."""
+        self.slots = np.full(1 << max(16, int(4 * len(self.key)).bit_length()), -1, np.int32)
+        self._place(np.arange(len(self.key)))
+
+    def _place(self, number: np.ndarray) -> None:
+        mask = np.uint64(len(self.slots) - 1)
+        at = (self.key[number, 0] & mask).astype(np.int64)
+        while len(number):
+            free = np.flatnonzero(self.slots[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            won = free[one]
+            self.slots[at[won]] = number[won]
+            rest = np.ones(len(number), bool)
+            rest[won] = False
+            number, at = number[rest], (at[rest] + 1) & int(mask)
+
+    def _find(self, h: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 for those not kept."""
+        mask = len(self.slots) - 1
+        at = (h & np.uint64(mask)).astype(np.int64)
+        out = self.slots[at]
+        open_ = np.flatnonzero(out >= 0)
+        open_ = open_[(self.key[out[open_], 0] != h[open_]) | (self.key[out[open_], 1] != rest[open_])]
+        while len(open_):
+            at[open_] = (at[open_] + 1) & mask
+            out[open_] = k = self.slots[at[open_]]
+            on = k >= 0
+            on[on] = (self.key[k[on], 0] != h[open_[on]]) | (self.key[k[on], 1] != rest[open_[on]])
+            open_ = open_[on]
+        return out
+
+    def forget(self, kept: int | None = None) -> None:
+        """Keep the pieces used most, by default half of the bound."""
+        half = self.kept // 2 if kept is None else kept
+        if len(self.key) <= half:
+            return
+        keep = self.uses > np.partition(self.uses, -half)[-half] if half else np.zeros(len(self.uses), bool)
         self.flat = gather(self.flat, (np.cumsum(self.length) - self.length)[keep], self.length[keep])
-        self.length, self.uses = self.length[keep], self.uses[keep] // 2
-
-    def split(self, text: str) -> list[str]:
-        if not any(s in text for s in self.v.special):
-            return pieces(text)
-        return [w for k, part in enumerate(self.v.split.split(text)) for w in ([part] if k % 2 else pieces(part))]
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each text has."""
-        if len(self.number) > max(KEPT, len(self.v.special)):
+        self.key, self.length, self.uses = self.key[keep], self.length[keep], self.uses[keep] // 2
+        self._rehash()
+
+    def _latin(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        code = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(code):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        ends = np.cumsum([len(t) for t in texts])
+        start = latin_starts(code, np.unique(np.concatenate([[0], ends[:-1]])[[len(t) > 0 for t in texts]]))
+        size = np.diff(start, append=len(code))
+        h, rest = piece_keys(code, start, size)
+        if len(self.key) > self.kept:
             self.forget()
-        split = [self.split(t) for t in texts]
-        words = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(words.sum()))
-        if self.number.new:
-            flat, length = self.encode_pieces(self.number.new)
-            self.number.new = []
+        which = self._find(h, rest)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            pair = np.stack([h[new], rest[new]], axis=1).view([("h", "<u8"), ("rest", "<u8")]).ravel()
+            _, one, back = np.unique(pair, return_index=True, return_inverse=True)
+            raw = code.tobytes().decode("latin-1")
+            flat, length = self.encode_pieces([raw[a:a + n] for a, n in zip(start[new[one]].tolist(), size[new[one]].tolist())])
+            known = len(self.key)
+            which[new] = known + back
+            self.key = np.concatenate([self.key, np.stack([h[new[one]], rest[new[one]]], axis=1)])
             self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
             self.length = np.concatenate([self.length, length])
             self.uses = np.concatenate([self.uses, np.zeros(len(length), np.int64)])
+            if 2 * len(self.key) > len(self.slots):
+                self._rehash()
+            else:
+                self._place(np.arange(known, len(self.key)))
         self.uses += np.bincount(which, minlength=len(self.uses))
         length = self.length[which]
-        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(words)]
-        return gather(self.flat, (np.cumsum(self.length) - self.length)[which], length), np.diff(ends, prepend=0)
+        total = np.concatenate([[0], np.cumsum(length)])
+        per = np.diff(total[np.searchsorted(start, ends)], prepend=0)
+        return gather(self.flat, (np.cumsum(self.length) - self.length)[which], length), per
+
+    def _split(self, text: str) -> list[str]:
+        if self.v.split is None:
+            return PIECES.findall(text)
+        return [w for k, part in enumerate(self.v.split.split(text)) for w in ([part] if k % 2 else PIECES.findall(part))]
+
+    def _other(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [self._split(t) for t in texts]
+        special = self.v.special
+        words = list(dict.fromkeys(w for s in split for w in s if w not in special))
+        number = {w: k for k, w in enumerate([*words, *special])}
+        flat, length = self.encode_pieces(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        flat = np.concatenate([flat, np.array([*special.values()], np.int64)]).astype(np.uint32)
+        length = np.concatenate([length, np.ones(len(special), np.int64)])
+        which = np.array([number[w] for s in split for w in s], np.int64)
+        total = np.concatenate([[0], np.cumsum(length[which])])
+        per = np.diff(total[np.cumsum([len(s) for s in split])], prepend=0)
+        return gather(flat, (np.cumsum(length) - length)[which], length[which]), per
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has."""
+        plain, other = [], []
+        for k, t in enumerate(texts):
+            try:
+                raw = t.encode("latin-1")
+                (other if any(s in t for s in self.v.special) else plain).append((k, raw))
+            except UnicodeEncodeError:
+                other.append((k, None))
+        ids, length = self._latin([raw for _, raw in plain])
+        if not other:
+            return ids, length
+        more, n = self._other([texts[k] for k, _ in other])
+        # back to the order of the texts
+        order = np.argsort([k for k, _ in [*plain, *other]], kind="stable")
+        length = np.concatenate([length, n])
+        return gather(np.concatenate([ids, more]), (np.cumsum(length) - length)[order], length[order]), length[order]
 
 
 def slabs(texts: Iterator[str | None], size: int = SLAB) -> Iterator[list[str]]:

@@ -11,6 +11,8 @@ store's tables count, so a task that runs twice leaves nothing but an unread fil
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import uuid
@@ -36,8 +38,10 @@ MAGIC = b"IDS1"
 HEADER = 16
 #: Ids after which the next document opens a new shard, and keys of an index bucket.
 SHARD_IDS, BUCKET_KEYS = 1 << 23, 1 << 15
-#: Characters encoded at once.
-SLAB = 1 << 20
+#: Characters encoded at once, and pieces a worker keeps.
+SLAB, KEPT = 1 << 20, 300_000
+#: Pieces a worker keeps between tasks: an executor may hold several workers that wait.
+IDLE = 60_000
 
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8")])
 
@@ -187,12 +191,14 @@ def library_coder(path: str, v: bpe.Vocabulary) -> bpe.Coder:
     """Pieces are encoded by the tokenizers library; a piece's ids do not depend on its neighbours.
 
     Pieces without inner space go to the library a few hundred at a time, as lines of a
-    text: a line feed is a piece of its own there, and its id parts the pieces' ids.
+    text that it need only split at line feeds: a feed is a piece of its own, and its id
+    parts the pieces' ids.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     t = Tokenizer.from_file(path)
+    whole, by_line = t.pre_tokenizer, pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     feed = t.encode("\n", add_special_tokens=False).ids
     if len(feed) != 1:
         raise ValueError(f"{path}: a line feed is not one id")
@@ -204,7 +210,9 @@ def library_coder(path: str, v: bpe.Vocabulary) -> bpe.Coder:
     def encode_pieces(words):
         lines = [PLAIN.fullmatch(w) is not None for w in words]
         plain = list(compress(words, lines))
+        t.pre_tokenizer = by_line
         ids = ids_of(["\n".join([*plain[k:k + 512], ""]) for k in range(0, len(plain), 512)])
+        t.pre_tokenizer = whole
         feeds = np.flatnonzero(ids == feed[0])
         apart = [t.encode(w, add_special_tokens=False).ids for w, line in zip(words, lines) if not line]
         flat = np.concatenate([np.delete(ids, feeds), np.array([i for x in apart for i in x], np.uint32)])
@@ -214,12 +222,30 @@ def library_coder(path: str, v: bpe.Vocabulary) -> bpe.Coder:
         order[np.argsort(~np.array(lines, bool), kind="stable")] = np.arange(len(words))
         return bpe.gather(flat, (np.cumsum(length) - length)[order], length[order]), length[order]
 
-    return bpe.Coder(v, encode_pieces)
+    return bpe.Coder(v, encode_pieces, KEPT)
 
 
 _coders: dict[str, bpe.Coder] = {}
 
 
+def coder(path: str) -> bpe.Coder:
+    """This worker's coder; its store of pieces outlives a task.
+
+    Tasks find it by the module: what a task's own function refers to is copied for each.
+    """
+    if path not in _coders:
+        _coders[path] = library_coder(path, bpe.vocabulary(path))
+    return _coders[path]
+
+
+def rest(path: str) -> None:
+    """Between tasks a worker keeps few pieces and gives what is free back to the system."""
+    coder(path).forget(IDLE)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def write(docs: DataFrame, path: str = bpe.DEFAULT, end_id: int = 2, folder: str | None = None) -> TokenStore:
     """Write every text's ids, each followed by ``end_id``, in ascending doc_id order.
 
@@ -232,10 +258,8 @@ def write(docs: DataFrame, path: str = bpe.DEFAULT, end_id: int = 2, folder: str
     doc_id = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = bpe.vocabulary(path)
-        if path not in _coders:
-            _coders[path] = library_coder(path, v)
-        width = 2 if max(v.size, end_id + 1) <= 1 << 16 else 4
+        encode = coder(path).encode
+        width = 2 if max(bpe.vocabulary(path).size, end_id + 1) <= 1 << 16 else 4
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         task, name = TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -247,7 +271,7 @@ def write(docs: DataFrame, path: str = bpe.DEFAULT, end_id: int = 2, folder: str
         for b in batches:
             arrow_id, ids, first = b.schema.field("doc_id").type, b.column(0).to_pylist(), 0
             for group in bpe.slabs((t.as_py() for t in b.column(1)), SLAB):
-                flat, length = _coders[path].encode(group)
+                flat, length = encode(group)
                 cols = [[], [], [], [], [], []]
                 for x, part in zip(ids[first:first + len(group)], np.split(flat, np.cumsum(length)[:-1])):
                     if out is None or at >= SHARD_IDS:
@@ -269,6 +293,7 @@ def write(docs: DataFrame, path: str = bpe.DEFAULT, end_id: int = 2, folder: str
         if out is not None:
             out.close()
             yield rows([None], [-1], [shard], [0], [at], [file])
+        rest(path)
 
     fields = T._parse_datatype_string("copy long, task long, part long, at long, n long, file string").fields
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -18,6 +18,17 @@ def texts(seed, n=800):
     return ["", " ", "aaaaaaaaaaaaa", " " * 40, "ab" * 40, *("".join(r.choice(PARTS) for _ in range(r.randint(1, 60))) for _ in range(n))]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_below_256_start_where_the_pattern_says(seed):
+    r = random.Random(seed)
+    parts = ["'", "'s", "'re", "'ve", "'ll", "'d", "'m", "'t", "s", "re", "r", "l", " ", "  ", "\n", "\xa0", "\x85", "\x1c", "a", "é", "ª", "1", "²", "!", "''", "_", "\x00"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(4000)]
+    code = np.frombuffer("".join(texts).encode("latin-1"), np.uint8)
+    begins = np.cumsum([0, *map(len, texts)])[:-1]
+    want = [b + m.start() for b, t in zip(begins, texts) for m in bpe.PIECES.finditer(t)]
+    assert bpe.latin_starts(code, begins).tolist() == want
+
+
 @pytest.mark.parametrize("kept", [0, 100, 10**6])
 def test_ids_are_those_of_the_library(kept, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", kept)

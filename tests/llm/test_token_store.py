@@ -31,7 +31,7 @@ def test_equal_keys_are_refused():
 
 @pytest.mark.parametrize("kept", [0, 50, 10**6])
 def test_pieces_from_the_library_are_those_of_whole_texts(kept, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT", kept)
+    monkeypatch.setattr(token_store, "KEPT", kept)
     c = token_store.library_coder(bpe.DEFAULT, bpe.vocabulary(bpe.DEFAULT))
     for group in (texts(5, 300), texts(6, 300), [], [""], texts(5, 300)):
         ids, n = c.encode(group)
