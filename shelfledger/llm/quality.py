@@ -193,10 +193,22 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def labelled(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``(x, y)`` of ``sample`` labelled rows at most, those of the least hash of their id.
+
+    The share that is wanted bounds the hash first, so tasks send little more than the
+    sample, however many they are.
+    """
+    known = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).select("doc_id", F.col("quality").alias("y"))
+    met = rows.join(known, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"), "doc_id")
+    share = min(1.0, (sample + 5 * sample**0.5) / max(1, met.count()))
+    near = met.filter(F.col("h") <= F.lit(min((1 << 63) - 1, int((1 << 64) * share) - (1 << 63))))
+    return near.orderBy("h", "doc_id", "y", "x").limit(sample).select("x", "y")
+
+
 def learn(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from feature rows and ``labels(doc_id, quality)``; held-out and null labels are left out."""
-    known = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).select("doc_id", F.col("quality").alias("y"))
-    drawn = rows.join(known, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "y", "x").limit(sample).select("x", "y").collect()
+    drawn = labelled(rows, labels, sample).collect()
     return fit(np.array([r.x for r in drawn]).reshape(-1, len(FEATURES)), np.array([r.y for r in drawn], float))
 
 

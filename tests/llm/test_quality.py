@@ -93,3 +93,12 @@ def test_rows_nulls_and_other_columns(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert len(quality.score(docs, labels.limit(0)).select("score").distinct().collect()) == 1
     assert quality.score(docs.limit(0), labels).collect() == []
+
+
+@pytest.mark.parametrize("sample", [0, 10, 150, 5000])
+def test_sample_is_bounded_and_the_same_every_time(spark, sample):
+    rows = spark.createDataFrame([(k, [float(k)]) for k in range(2000)], "doc_id long, x array<double>")
+    labels = rows.select("doc_id", (quality.F.col("doc_id") % 2).alias("quality"))
+    known = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(2000))
+    got = [sorted(map(tuple, quality.labelled(rows.repartition(p), labels, sample).collect())) for p in (3, 7)]
+    assert got[0] == got[1] and 0.9 * min(sample, known) <= len(got[0]) <= sample
