@@ -13,11 +13,15 @@ radius are given up early. Two ways of filing:
 Equal fingerprints are one node, whatever the number of documents. A file with many
 fingerprints is dealt to several tasks by pairs of its parts. Each comparison returns
 a spanning forest of its links, never all pairs.
+
+For similar texts the distance only proposes links: each is verified by the exact Jaccard
+similarity of the two shingle sets before it enters the forest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import combinations, islice
 
 import numpy as np
@@ -36,10 +40,13 @@ SLAB = 1 << 15
 LANES = 1 << 15
 #: Fingerprints of one file that one task compares with each other or with another part.
 PART = 1 << 13
+#: Bytes of shingle sets of one file that one task holds of each part.
+PART_BYTES = 1 << 24
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-#: For near-duplicates of similarity 0.8 or more: bits and radius of the fingerprints of 5-word shingles, bands, and least shingles in a band.
-BITS, RADIUS, BANDS, ROWS = 128, 26, 12, 2
+#: For near-duplicates of similarity ``LIKE`` or more: bits and radius of the fingerprints of 5-word shingles, bands, and least shingles in a band.
+BITS, RADIUS, BANDS, ROWS = 128, 48, 12, 2
+LIKE = 0.8
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -61,10 +68,15 @@ def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
         yield np.array(slab, np.uint64)
 
 
-def sketch(text: str | None, words: int = 3, bits: int = 64, bands: int = 0, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of a text in words of 64 bits, 0 without words, and a key for each band."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the shingles, each once, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def sketch(slabs: Iterable[np.ndarray], bits: int = 64, bands: int = 0, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of shingle hashes in words of 64 bits, 0 without any, and a key for each band."""
     n, ones, least = 0, np.zeros(bits, np.int64), np.full(bands * rows, ALL)
-    for h in shingle_hashes(text, words):
+    for h in slabs:
         n += len(h)
         for k in range(bits // 64):
             ones[64 * k:64 * k + 64] += np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
@@ -76,24 +88,44 @@ def sketch(text: str | None, words: int = 3, bits: int = 64, bands: int = 0, row
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The SimHash of 64 bits as a number."""
-    return int(sketch(text, words)[0][0])
+    return int(sketch(shingle_hashes(text, words))[0][0])
+
+
+def raw(fp: np.ndarray) -> bytes:
+    """A fingerprint's bits, highest first."""
+    return fp[::-1].astype(">u8").tobytes()
+
+
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``(doc_id, tag, fp, keys)`` of every row; fp holds the 64 bits, highest first, tag is a hash of the text, keys is empty. Null text is empty."""
+    return _sketched(docs, lambda text: (raw(sketch(shingle_hashes(text, words))[0]), []))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, bands: int = 0) -> DataFrame:
-    """``(doc_id, fp, keys)`` of every row; fp holds the bits, highest first, keys the bands' keys. Null text is empty."""
+def set_fingerprints(docs: DataFrame, words: int, bits: int, bands: int) -> DataFrame:
+    """Like :func:`fingerprints`, of the set of shingles; the set's own hash follows the bits in fp, keys holds the bands' keys."""
+    def one(text: str | None) -> tuple[bytes, np.ndarray]:
+        known = shingle_set(text, words)
+        fp, keys = sketch((known[k:k + SLAB] for k in range(0, len(known), SLAB)), bits, bands)
+        return raw(fp) + xxhash.xxh64_digest(known.tobytes()), keys.view(np.int64)
+
+    return _sketched(docs, one)
+
+
+def _sketched(docs: DataFrame, one) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, keys = zip(*(sketch(t.as_py(), words, bits, bands) for t in b.column(1))) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[::-1].astype(">u8").tobytes() for f in fp], pa.binary()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+            fp, keys = zip(*(one(t.as_py()) for t in b.column(2))) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tag", "fp", "keys"])
 
     kind = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("fp binary, keys array<long>").fields]))
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(run, T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("tag long, fp binary, keys array<long>").fields]))
 
 
-def numbers(fp: pa.Array) -> np.ndarray:
-    """Fingerprints as rows of 64-bit words, lowest bits first."""
-    raw = b"".join(fp.to_pylist())
-    return np.ascontiguousarray(np.frombuffer(raw, ">u8").reshape(len(fp), -1)[:, ::-1]).astype(np.uint64) if len(fp) else np.zeros((0, 1), np.uint64)
+def numbers(fp: pa.Array, bits: int | None = None) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words, lowest bits first; of ``bits`` bits where something follows them."""
+    joined = b"".join(fp.to_pylist())
+    words = np.frombuffer(joined, ">u8").reshape(len(fp), -1)[:, :bits and bits // 64] if len(fp) else np.zeros((0, 1), np.uint64)
+    return np.ascontiguousarray(words[:, ::-1]).astype(np.uint64)
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
@@ -154,7 +186,44 @@ class Forest:
                 self.links.append((a[new[k]], b[new[k]]))
 
 
-def near_lanes(fp: np.ndarray, ends: np.ndarray, radius: int, forest: Forest) -> None:
+class Sets:
+    """The shingle sets of lanes, and which lanes are alike by their exact Jaccard similarity."""
+
+    def __init__(self, sets: list[np.ndarray], least: float) -> None:
+        self.sets, self.size, self.least = sets, np.array([len(x) for x in sets], np.int64), least
+
+    def part(self, lanes: np.ndarray) -> Sets:
+        return Sets([self.sets[k] for k in lanes], self.least)
+
+    def enough(self, common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return common >= self.least * (self.size[a] + self.size[b] - common) - 1e-9
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of lanes whether they are alike."""
+        out = self.enough(np.minimum(self.size[a], self.size[b]), a, b)
+        for k in np.flatnonzero(out):
+            x, y = self.sets[a[k]], self.sets[b[k]]
+            common = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+            out[k] = self.enough(common, a[k], b[k])
+        return out
+
+    @cached_property
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """All shingles in order, and the lane of each."""
+        every = np.concatenate(self.sets)
+        order = np.argsort(every)
+        return every[order], np.repeat(np.arange(len(self.sets), dtype=np.int32), self.size)[order]
+
+    def alike_one(self, one: int, lanes: np.ndarray) -> np.ndarray:
+        """For each lane whether it is like ``one``; all lanes' common shingles are counted at once."""
+        every, of = self.index
+        lo = np.searchsorted(every, self.sets[one], side="left")
+        many = np.searchsorted(every, self.sets[one], side="right") - lo
+        at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return self.enough(np.bincount(of[at], minlength=len(self.sets))[lanes], np.full(len(lanes), one), lanes)
+
+
+def near_lanes(fp: np.ndarray, ends: np.ndarray, radius: int, forest: Forest, sets: Sets | None = None) -> None:
     """Link near lanes of the same run; ``ends`` holds for each lane where its run ends.
 
     Lane i meets lane i + s for each shift s up to the longest run, for all runs at once.
@@ -182,10 +251,14 @@ def near_lanes(fp: np.ndarray, ends: np.ndarray, radius: int, forest: Forest) ->
                 c.keep(rows)
         else:
             word, bits = np.nonzero(np.unpackbits((~c.over).view(np.uint8), bitorder="little").reshape(-1, 64))
-            forest.link(at[word] * 64 + bits, at[word] * 64 + bits + s)
+            a, b = at[word] * 64 + bits, at[word] * 64 + bits + s
+            if sets is not None:
+                apart = np.flatnonzero(forest.roots(a) != forest.roots(b))
+                a, b = (x[apart[sets.alike(a[apart], b[apart])]] for x in (a, b))
+            forest.link(a, b)
 
 
-def near_block(fp: np.ndarray, queries: np.ndarray, first: int, radius: int, forest: Forest, base: int) -> None:
+def near_block(fp: np.ndarray, queries: np.ndarray, first: int, radius: int, forest: Forest, base: int, sets: Sets | None = None) -> None:
     """Link each query lane with the near lanes of a long run, 128 queries at a time.
 
     ``queries`` are lane numbers within the run; each meets the lanes from ``first`` on
@@ -210,6 +283,9 @@ def near_block(fp: np.ndarray, queries: np.ndarray, first: int, radius: int, for
         else:
             for row, one in zip(~c.over, q):
                 hit = np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little"))
+                if sets is not None and len(hit):
+                    hit = hit[forest.roots(base + hit) != forest.roots(np.array([base + one]))]
+                    hit = hit[sets.alike_one(one, hit)] if len(hit) else hit
                 if len(hit):
                     forest.link(np.full(len(hit), base + one), base + hit)
             roots = forest.roots(base + np.arange(len(fp)))
@@ -217,10 +293,11 @@ def near_block(fp: np.ndarray, queries: np.ndarray, first: int, radius: int, for
                 return  # one tree spans the run: no further link can join two
 
 
-def near_links(fp: np.ndarray, run: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def near_links(fp: np.ndarray, run: np.ndarray, side: np.ndarray, radius: int, sets: Sets | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Lanes of the spanning links of near fingerprints within each run of equal ``run`` values.
 
-    Where a run holds two sides, only links from one side to the other are wanted.
+    Where a run holds two sides, only links from one side to the other are wanted. With
+    ``sets`` only lanes that are also alike are linked.
     """
     cuts = np.flatnonzero(np.diff(run)) + 1
     starts = np.concatenate([[0], cuts]).astype(int)
@@ -233,12 +310,12 @@ def near_links(fp: np.ndarray, run: np.ndarray, side: np.ndarray, radius: int) -
         a, b = starts[r], stops[r]
         short[a:b] = False
         split = int(side[a:b].sum()) and int(np.searchsorted(side[a:b], 1))
-        near_block(fp[a:b], np.arange(split or b - a), split, radius, forest, a)
+        near_block(fp[a:b], np.arange(split or b - a), split, radius, forest, a, sets and sets.part(np.arange(a, b)))
     if short.any():
         keep = np.flatnonzero(short)
         part = Forest(len(keep))
         back = np.cumsum(short) - 1
-        near_lanes(fp[keep], back[ends[keep] - 1] + 1, radius, part)
+        near_lanes(fp[keep], back[ends[keep] - 1] + 1, radius, part, sets and sets.part(keep))
         for a, b in part.links:
             forest.links.append((keep[a], keep[b]))
     a, b = (np.array(x, int) for x in zip(*forest.links)) if forest.links else (np.zeros(0, int),) * 2
@@ -270,15 +347,20 @@ def band_files(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.posexplode("keys").alias("file", "key"))
 
 
-def near_pairs(filed: DataFrame, radius: int) -> DataFrame:
-    """``(a, b)``: links that connect all fingerprints of a file within ``radius`` bits of each other."""
-    shared = filed.groupBy("file", "key").agg(F.count("*").alias("n")).filter("n > 1")
+def near_pairs(filed: DataFrame, radius: int, bits: int | None = None, least: float | None = None) -> DataFrame:
+    """``(file, key, a, b)``: links that connect all fingerprints of a file within ``radius`` bits of each other.
+
+    With ``least``, ``filed`` has the column ``shingles``, and only fingerprints whose sets
+    have that similarity are linked.
+    """
+    bulk = F.sum(F.length("shingles")) / PART_BYTES if least else F.lit(0)
+    shared = filed.groupBy("file", "key").agg(F.count("*").alias("n"), bulk.alias("bulk")).filter("n > 1")
     rows = (filed.join(shared, ["file", "key"])
-            .withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+            .withColumn("parts", F.ceil(F.greatest(F.col("n") / PART, "bulk")).cast("int"))
             .withColumn("part", F.pmod(F.xxhash64("fp", "file"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .select("file", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-                    (F.col("part") > F.col("other")).cast("int").alias("side"), "fp"))
+                    (F.col("part") > F.col("other")).cast("int").alias("side"), "fp", *(["shingles"] if least else [])))
     keys = ["file", "key", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,14 +369,15 @@ def near_pairs(filed: DataFrame, radius: int) -> DataFrame:
             run = np.zeros(len(fp), int)
             if len(run):
                 run[1:] = np.cumsum(np.any([(k := rows.column(n).to_numpy())[1:] != k[:-1] for n in keys], axis=0))
-            a, b = near_links(numbers(fp), run, rows.column("side").to_numpy(), radius)
-            return pa.RecordBatch.from_arrays([fp.take(pa.array(a)), fp.take(pa.array(b))], ["a", "b"])
+            sets = Sets([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")], least) if least else None
+            a, b = near_links(numbers(fp, bits), run, rows.column("side").to_numpy(), radius, sets)
+            return pa.RecordBatch.from_arrays([*(pa.array(rows.column(n).to_numpy()[a]) for n in ("file", "key")), fp.take(pa.array(a)), fp.take(pa.array(b))], ["file", "key", "a", "b"])
 
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, table]) if held else table
-            if len(held) < LANES:
+            if len(held) < LANES and held.nbytes < 2 * PART_BYTES:
                 continue
             # the last run may go on in the next batch
             last = np.all([(k := held.column(n).to_numpy()) == k[-1] for n in keys], axis=0)
@@ -305,16 +388,31 @@ def near_pairs(filed: DataFrame, radius: int) -> DataFrame:
             yield flush(held)
 
     return (rows.repartition(*keys).sortWithinPartitions(*keys, "side")
-            .mapInArrow(compare, "a binary, b binary").distinct())
+            .mapInArrow(compare, "file int, key long, a binary, b binary"))
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int, bits: int, bands: int) -> DataFrame:
+    """``(fp, shingles)`` of the nodes ``(fp, one)``; ``one`` names a row of ``docs``, whose shingles are read again."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    wanted = nodes.select(F.col("one.doc_id").alias("d"), F.col("one.tag").alias("t"))
+    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = [shingle_set(t.as_py(), words) for t in b.column(0)]
+            fps = [raw(sketch((x[k:k + SLAB] for k in range(0, len(x), SLAB)), bits)[0]) + xxhash.xxh64_digest(x.tobytes()) for x in known]
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([x.tobytes() for x in known], pa.binary())], ["fp", "shingles"])
+
+    return rows.select("text").mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"])
 
 
-def groups(fps: DataFrame, filing, radius: int) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of rows ``(doc_id, fp, keys)``, linked where ``filing`` files fingerprints together that are near."""
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys")))
-    root = components(near_pairs(filing(nodes), radius)).withColumnRenamed("node", "fp")
+def groups(fps: DataFrame, link, bits: int) -> DataFrame:
+    """``(doc_id, fp, component_id)`` of rows ``(doc_id, tag, fp, keys)``; ``link`` gives links ``(a, b)`` of the nodes ``(fp, first, one, keys)``."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "tag")).alias("one"), F.min("keys").alias("keys")))
+    root = components(link(nodes)).withColumnRenamed("node", "fp")
     placed = nodes.select("fp", "first").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", F.substring("fp", 1, bits // 8).alias("fp"), "component_id")
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
@@ -325,17 +423,25 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int =
     other; rows with a null doc_id take part in links and get the least id of their
     component, null if it has none. Repeated rows stay. Other columns are not read.
     """
-    return groups(cut(fingerprints(docs, words)), lambda nodes: block_files(nodes, radius, blocks), radius)
+    return groups(cut(fingerprints(docs, words)), lambda nodes: near_pairs(block_files(nodes, radius, blocks), radius), 64)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, bits: int = BITS, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
-    """Like :func:`near_groups`, for a similarity of 0.8 or more of the sets of 5-word shingles.
+def similar_groups(docs: DataFrame, words: int = 5, bits: int = BITS, radius: int = RADIUS, bands: int = BANDS, least: float = LIKE) -> DataFrame:
+    """Like :func:`near_groups`, for a similarity of ``least`` or more of the sets of 5-word shingles.
 
-    The share of bits in which fingerprints differ follows the similarity: 0.15 of them at
-    0.8. The default radius takes nineteen of twenty pairs at 0.8, nearly all above 0.85
-    and few below 0.6. Bands miss one such pair in some hundred thousand.
+    Bands propose pairs, the distance of the sets' fingerprints drops most of the unlike
+    ones, and the exact similarity of the sets decides. At 0.8 a fifth of the bits differ
+    at most on average, so the default radius loses less than one pair in a million; bands
+    miss one in some hundred thousand. No pair below ``least`` is linked.
     """
-    return groups(cut(fingerprints(docs, words, bits, bands)), band_files, radius)
+    def link(nodes: DataFrame) -> DataFrame:
+        near = cut(near_pairs(band_files(nodes), radius, bits))
+        # a file's spanning links touch each of its fingerprints that has any link there
+        filed = near.select("file", "key", F.explode(F.array("a", "b")).alias("fp")).distinct()
+        sets = shingle_sets(docs, nodes.join(filed, "fp", "left_semi"), words, bits, bands)
+        return near_pairs(filed.join(sets, "fp"), radius, bits, least)
+
+    return groups(cut(set_fingerprints(docs, words, bits, bands)), link, bits)
 
 
 def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:

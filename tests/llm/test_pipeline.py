@@ -60,6 +60,13 @@ def test_near_duplicates(steps):
     assert sorted(steps[3]) == sorted(r for r in steps[2] if r.doc_id in kept)
 
 
+def test_near_duplicates_go_for_a_like_of_0_8(steps):
+    sets, kept = {r.doc_id: shingles(r.text) for r in steps[2]}, {r.doc_id for r in steps[3]}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for d in set(sets) - kept:
+        assert any(e != d and like(sets[d], sets[e]) >= 0.8 for e in sets), d
+
+
 def test_benchmark_passages(spark, steps):
     items = [decontam.folded(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     gone = {r.doc_id for r in steps[3]} - {r.doc_id for r in steps[4]}

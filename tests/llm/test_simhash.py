@@ -143,3 +143,38 @@ def test_similar_texts_meet_and_others_do_not(spark):
     assert len(close) > 100 and np.mean(close) > 0.97
     assert all(got[d] in (d, d - d % 2) for d in range(300))
     assert (got[1000], got[1001], got[1002], got[1003], got[1004]) == (1000, 1000, 1002, 1002, 1004)
+
+
+def jaccard_groups(rows, least=0.8):
+    """The least id each row reaches by links of the exact similarity of 5-word shingle sets."""
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for _, t in rows)]
+    top = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if top[i] != top[j] and len(a & sets[j]) >= least * len(a | sets[j]):
+                top = [top[j] if x == top[i] else x for x in top]
+    return {d: min(e for (e, _), y in zip(rows, top) if y == x) for (d, _), x in zip(rows, top)}
+
+
+@pytest.mark.parametrize("part", [1 << 13, 50])
+def test_similar_links_are_those_of_the_exact_similarity(spark, part, monkeypatch):
+    """At, above and below 0.8, in short and in hot files, and where one shingle is repeated."""
+    monkeypatch.setattr(simhash, "PART", part)
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts = []
+    for n in [8, 9, 10, 13, 40, 200, 204] * 12:
+        base = [word() for _ in range(n)]
+        texts.append(base)
+        for cut in (0.03, 0.08, 0.11, 0.13, 0.2, 0.3):  # another end: similarity (1 - cut) / (1 + cut) or more
+            k = max(1, round(cut * n))
+            texts.append(base[:-k] + [word() for _ in range(r.choice([0, k]))])
+    frame = [word() for _ in range(80)]
+    for _ in range(150):  # one frame, own ends: about 0.65 of each other, some of them with a copy
+        own = frame + [word() for _ in range(18)]
+        texts += [own, own[:-2] + [word()]] if r.random() < 0.3 else [own]
+    tail = [word() for _ in range(40)]
+    texts += [["buy"] * 400 + tail, ["buy"] * 5 + tail, ["buy"] * 400 + [word() for _ in range(40)]]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_groups(rows)
