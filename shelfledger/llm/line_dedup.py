@@ -6,7 +6,8 @@ of that many line hashes the least one (the last of equals) is selected. Two equ
 select the same places, so a run can only repeat where a selected hash does; everything
 else is left out early. Around a selected line, the windows that selected it extend the
 match to the left and to the right; where consecutive windows repeat they join to one
-run, which is deleted.
+run, which is deleted. On request a single line of enough words is a window too, so that
+a long passage of one line counts like one of several.
 
 Windows are compared by 96 bits of hash. Grouping keeps the first place of each window
 only, so a line that a third of all documents share costs partial minima and a join
@@ -48,36 +49,55 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
     return placed.select("doc_id", "tag", F.explode(F.transform(starts, row)).alias("w")).select("doc_id", "tag", "w.*")
 
 
-def repeated_windows(docs: DataFrame, window: int = 2) -> DataFrame:
-    """``(doc_id, tag, start, first_doc_id, first_start)`` of every window of lines that stands earlier in the table."""
-    all_windows = cut(windows(docs, window).distinct())
+def long_lines(docs: DataFrame, words: int) -> DataFrame:
+    """Like :func:`windows`, one row for each line of ``words`` or more words."""
+    def row(x: Column, i: Column) -> Column:
+        # so many words take at least twice as many characters less one
+        long = F.when(F.length(x) >= 2 * words - 1, F.regexp_count(x, F.lit(r"\S+")) >= words).otherwise(False)
+        return F.struct(i.alias("start"), F.xxhash64(x).alias("picked"), F.lit(True).alias("new"), F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"), long.alias("long"))
+
+    lines = F.filter(F.transform(F.split("text", "\n"), row), lambda x: x["long"])
+    return docs.filter("text is not null").select(*text_key(), F.explode(lines).alias("w")).select("doc_id", "tag", "w.*").drop("long")
+
+
+def repeated_windows(docs: DataFrame, window: int = 2, words: int | None = None) -> DataFrame:
+    """``(doc_id, tag, start, size, first_doc_id, first_start)`` of every window of lines that stands earlier in the table.
+
+    With ``words``, lines of that many words are windows of size 1.
+    """
+    sized = windows(docs, window).withColumn("size", F.lit(window))
+    if words:
+        sized = sized.union(long_lines(docs, words).withColumn("size", F.lit(1)))
+    all_windows = cut(sized.distinct())
     again = all_windows.filter("new").groupBy("picked").agg(F.count("*").alias("n")).filter("n > 1").select("picked")
     near = all_windows.join(again, "picked", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tag", "start")
-    first = near.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = near.join(first, ["k1", "k2"]).filter(place > F.col("first"))
-    return later.select("doc_id", "tag", "start", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    first = near.groupBy("size", "k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = near.join(first, ["size", "k1", "k2"]).filter(place > F.col("first"))
+    return later.select("doc_id", "tag", "start", "size", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
-def repeated_runs(docs: DataFrame, window: int = 2) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = 2, words: int | None = None) -> DataFrame:
     """``(doc_id, tag, heads, tails)``: where the repeated runs of a document start and end (exclusive), in order."""
-    found = repeated_windows(docs, window).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("start")).alias("s"))
+    lines = F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("size") - 1)))
+    found = repeated_windows(docs, window, words).groupBy("doc_id", "tag").agg(F.sort_array(F.array_distinct(lines)).alias("s"))
     s = F.col("s")
-    heads = F.filter(s, lambda x, j: (j == 0) | (x > F.element_at(s, F.greatest(j, F.lit(1))) + window))
-    tails = F.filter(s, lambda x, j: (j == F.size(s) - 1) | (F.element_at(s, F.least(j + 2, F.size(s))) > x + window))
-    return found.select("doc_id", "tag", heads.alias("heads"), F.transform(tails, lambda x: x + window).alias("tails"))
+    heads = F.filter(s, lambda x, j: (j == 0) | (x > F.element_at(s, F.greatest(j, F.lit(1))) + 1))
+    tails = F.filter(s, lambda x, j: (j == F.size(s) - 1) | (F.element_at(s, F.least(j + 2, F.size(s))) > x + 1))
+    return found.select("doc_id", "tag", heads.alias("heads"), F.transform(tails, lambda x: x + 1).alias("tails"))
 
 
-def drop_repeated_runs(docs: DataFrame, window: int = 2, counts: tuple[str, str] | None = None) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, window: int = 2, counts: tuple[str, str] | None = None, words: int | None = None) -> DataFrame:
     """``docs`` without the repeated runs of lines; every row stays, its text may become empty.
 
     Null texts stay null, a text of fewer than ``window`` lines stays whole, empty lines
     are lines like others. Rows equal in doc_id and text are one document and lose the
     same lines; rows that share only the doc_id are ordered by a hash of the text; rows
     without doc_id come last. ``n_chars``, where the table has it, follows the text.
-    ``counts`` names two columns to add: lines before, and lines deleted.
+    ``counts`` names two columns to add: lines before, and lines deleted. With ``words``, a
+    line of that many words or more goes where it stands earlier, whatever is around it.
     """
-    runs = repeated_runs(docs, window)
+    runs = repeated_runs(docs, window, words)
     names = {c: free_name(docs, c) for c in ("r_doc", "r_tag", "heads", "tails", "lines")}
     runs = runs.select(*[F.col(a).alias(names[b]) for a, b in (("doc_id", "r_doc"), ("tag", "r_tag"), ("heads", "heads"), ("tails", "tails"))])
     met = F.col("doc_id").eqNullSafe(F.col(names["r_doc"])) & (F.xxhash64("text") == F.col(names["r_tag"]))

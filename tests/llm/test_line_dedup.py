@@ -74,3 +74,26 @@ def test_same_rows_as_sql(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     assert "Python" not in line_dedup.drop_repeated_runs(df)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("window", [2, 3])
+def test_long_lines_go_alone(spark, window):
+    """A line of 50 words that stands earlier goes, whatever is before and after it; shorter ones only in runs."""
+    r = random.Random(window)
+    line = lambda n: "\t".join(f"w{r.randrange(900)}" for _ in range(n)).replace("\t", " ", n // 2)
+    shared = [line(n) for n in (3, 49, 50, 51, 400) for _ in range(3)] + ["a " * 50, "x" * 300]
+    rows = [(d, "\n".join(r.choice(shared) if r.random() < 0.4 else line(r.choice([1, 60])) for _ in range(r.choice([1, 2, 6, 12])))) for d in range(60)]
+    seen, runs, want = set(), set(), []
+    for d, text in rows:
+        lines, dead = text.split("\n"), set()
+        for i, x in enumerate(lines):
+            if len(x.split()) >= 50:
+                dead |= {i} if x in seen else set()
+                seen.add(x)
+            if len(key := tuple(lines[i:i + window])) == window:
+                dead |= set(range(i, i + window)) if key in runs else set()
+                runs.add(key)
+        want.append((d, "\n".join(x for i, x in enumerate(lines) if i not in dead), len(lines), len(dead)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.drop_repeated_runs(df, window, ("n", "gone"), words=50)
+    assert sorted(map(tuple, got.collect())) == want
