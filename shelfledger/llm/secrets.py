@@ -3,14 +3,17 @@
 Beside three patterns, every string of letters and digits that follows a sensitive word
 is measured: zstandard, primed with common identifiers and with the text around the
 string, compresses it alone. A word, path or name from the surroundings costs a few
-bytes; a random string costs nearly its length and is reported as ``novel``.
+bytes; one that costs nearly what a random string of its length and alphabet would is
+reported as ``novel``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -31,8 +34,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "private", "credential", "bearer", "authorization", "signature", "client_id", "session", "cookie")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{12,}")
 REACH, AROUND = 60, 2000
-#: Bytes that a candidate must cost for each of its characters.
+#: Share that a candidate must cost of what a random string of its length and alphabet costs.
 COST = 0.8
+#: Alphabets of secrets, small ones first, and the length up to which a random string is compressed; above, its cost grows evenly.
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = (_DIGITS + _LOWER[:6], _DIGITS + _UPPER[:6], _LOWER + "234567", _UPPER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER, _DIGITS + _LOWER + _UPPER, _DIGITS + _LOWER + _UPPER + "+/_=~-")
+LONGEST = 4096
 
 #: Names that code around credentials is full of.
 IDENTIFIERS = " ".join("""
@@ -53,6 +60,17 @@ def cost(candidate: str, around: str) -> int:
     return len(c.compress(candidate.encode())) - len(c.compress(b""))
 
 
+@lru_cache(None)
+def _random_cost(alphabet: str, n: int) -> int:
+    return cost("".join(random.Random(n).choices(alphabet, k=n)), "")
+
+
+def random_cost(candidate: str) -> float:
+    """Bytes that a random string of the candidate's length, over the least alphabet that holds it, adds."""
+    alphabet, n = next(a for a in ALPHABETS if set(a).issuperset(candidate)), len(candidate)
+    return _random_cost(alphabet, min(n, LONGEST)) * max(1, n / LONGEST)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of the fixed patterns, leftmost and not overlapping within a kind."""
     low = text.lower()
@@ -69,7 +87,7 @@ _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNOR
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Strings after sensitive words, outside the base spans, that cost nearly their length."""
+    """Strings after sensitive words, outside the base spans, that cost nearly what random ones would."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
@@ -83,7 +101,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             classes = any(map(str.isdigit, s)) + any(map(str.islower, s)) + any(map(str.isupper, s[1:]))  # a capital at the start is a sentence's
             if classes < 2 or any(x < b and a < y for x, y, _ in base):
                 continue
-            if cost(s, text[max(0, a - AROUND):a] + " " + text[b:b + AROUND]) >= COST * len(s):
+            if cost(s, text[max(0, a - AROUND):a] + " " + text[b:b + AROUND]) >= COST * random_cost(s):
                 out.append((a, b, "novel"))
     return out
 

@@ -62,3 +62,20 @@ def test_rows_nulls_and_other_columns(spark):
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clean[1] == "é [secret]\" x" and clean[2] is None and clean[3] == "" and RANDOM not in clean[None]
     assert secrets.scan(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [16, 24, 64, 128, 256, 1024, 4096, 9000])
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_random_strings_of_any_length_and_alphabet(alphabet, n):
+    r = random.Random(n)
+    around = "Somebody left this in the notes of the meeting, next to the list of things to buy. " * 3
+    for _ in range(4):
+        s = "A2a2"[:2 if alphabet.upper() == alphabet else 4][-2:] + "".join(r.choice(alphabet) for _ in range(n - 2))
+        text = f"{around}authorization bearer {s} {around}"
+        at = text.index(s)
+        assert (at, at + n, "novel") in secrets.novel_spans(text, [])  # base spans may fall into a long one
+
+
+def test_long_names_and_lists_are_no_secrets():
+    for s in ("src/main/java/com/example/service/account/AccountConnectionFactory2/" * 6, "abcdefghijklmnopqrstuvwxyz0123456789" * 30, "0123456789ABCDEF" * 16, "the2" + "quickbrownfoxjumpsoverthelazydog" * 20):
+        assert secrets.novel_spans(f"private {s} here", []) == []
