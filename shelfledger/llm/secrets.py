@@ -32,7 +32,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: A sensitive word and up to ``REACH`` characters on, a string that may be a secret.
 SENSITIVE = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "private", "credential", "bearer", "authorization", "signature", "client_id", "session", "cookie")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{12,}")
+SHORTEST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=~-]{{{SHORTEST},}}")
 REACH, AROUND = 60, 2000
 #: Share that a candidate must cost of what a random string of its length and alphabet costs.
 COST = 0.8
@@ -93,7 +94,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         return []
     out, done = [], 0
     for word in _SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done), min(len(text), word.end() + REACH)):
+        for m in CANDIDATE.finditer(text, max(word.end(), done), min(len(text), word.end() + REACH + SHORTEST - 1)):
             # the reach bounds where a string starts, not where it ends
             a, b = m.start(), CANDIDATE.match(text, m.start()).end()
             done = max(done, b)

@@ -79,3 +79,9 @@ def test_random_strings_of_any_length_and_alphabet(alphabet, n):
 def test_long_names_and_lists_are_no_secrets():
     for s in ("src/main/java/com/example/service/account/AccountConnectionFactory2/" * 6, "abcdefghijklmnopqrstuvwxyz0123456789" * 30, "0123456789ABCDEF" * 16, "the2" + "quickbrownfoxjumpsoverthelazydog" * 20):
         assert secrets.novel_spans(f"private {s} here", []) == []
+
+
+@pytest.mark.parametrize("gap", [0, 1, 30, 48, 49, 55, 59, 60, 61, 90])
+def test_strings_start_within_reach(gap):
+    text = "bearer" + " " * gap + RANDOM
+    assert secrets.novel_spans(text, []) == ([(6 + gap, 6 + gap + len(RANDOM), "novel")] if gap < secrets.REACH else [])
