@@ -407,16 +407,18 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int, bits: int, bands
 
 
 def groups(fps: DataFrame, link, bits: int) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of rows ``(doc_id, tag, fp, keys)``; ``link`` gives links ``(a, b)`` of the nodes ``(fp, first, one, keys)``."""
+    """``(doc_id, tag, fp, component_id, root)`` of rows ``(doc_id, tag, fp, keys)``; ``link`` gives links ``(a, b)`` of the nodes ``(fp, first, one, keys)``."""
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "tag")).alias("one"), F.min("keys").alias("keys")))
     root = components(link(nodes)).withColumnRenamed("node", "fp")
     placed = nodes.select("fp", "first").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", F.substring("fp", 1, bits // 8).alias("fp"), "component_id")
+    return fps.join(placed.join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "tag", F.substring("fp", 1, bits // 8).alias("fp"), "component_id", "root")
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row; component_id is the least doc_id reachable.
+    """``(doc_id, tag, fp, component_id, root)`` of every row; component_id is the least doc_id reachable.
+
+    ``tag`` is a hash of the text; ``root`` tells components apart, also two of the same least doc_id.
 
     Documents are linked where their fingerprints of 64 bits differ in ``radius`` bits or
     fewer; every link is found. Null and empty texts have fingerprint 0 and link like any
@@ -448,10 +450,12 @@ def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the least doc_id stays, once.
 
     ``grouped`` is what :func:`near_groups` or :func:`similar_groups` gives for them. Rows
-    without a doc_id stay, as no group is named after them. All columns stay as they are.
+    without a doc_id stay, as no group is named after them. Rows that share a doc_id but
+    not a group stay each; of those of one group the least text stays. All columns stay as
+    they are.
     """
-    key, n = free_name(docs, "kept"), free_name(docs, "n")
-    kept = grouped.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    rows = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col(key))
-    first = rows.withColumn(n, F.row_number().over(W.partitionBy(key).orderBy(F.col(key)))).filter(F.col(n) == 1)
+    key, tag, root, n = (free_name(docs, c) for c in ("kept", "kept_tag", "kept_root", "n"))
+    kept = grouped.filter("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("root").alias(root)).distinct()
+    rows = docs.filter("doc_id is not null").join(kept, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(tag)))
+    first = rows.withColumn(n, F.row_number().over(W.partitionBy(key, root).orderBy("text"))).filter(F.col(n) == 1)
     return first.select(docs.columns).union(docs.filter("doc_id is null"))

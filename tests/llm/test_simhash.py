@@ -178,3 +178,14 @@ def test_similar_links_are_those_of_the_exact_similarity(spark, part, monkeypatc
     rows = list(enumerate(" ".join(t) for t in texts))
     got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == jaccard_groups(rows)
+
+
+def test_unlike_rows_of_one_id_stay_each(spark):
+    r = random.Random(13)
+    text = lambda: " ".join(f"w{r.randrange(4000)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(5, a), (5, b), (5, b), (5, a + " end"), (7, b), (4, c), (8, c), (8, text()), (9, None), (9, c + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 7):
+        kept = simhash.keep_one(df, simhash.similar_groups(df.repartition(parts)))
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, a), (5, b), (4, c), rows[7], (9, None)], key=str)
