@@ -11,6 +11,7 @@ matching stretch of the text around the window.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,17 +35,18 @@ ITEM_CHARS, SLAB, SCAN = 1 << 24, 1 << 23, 1 << 20
 LANES = 1 << 12
 
 _GAP = np.zeros(1, np.uint8)
+_SPACE = re.compile(r"[^\S ]")
 
 _FOLD = np.array([min(ord(chr(c).lower()[0]), 255) if not chr(c).isspace() else 32 for c in range(256)], np.uint8)
 _FOLD[0] = 1  # 0 parts texts
 
 
 def codes(text: str) -> np.ndarray:
-    """One byte for each character: lower case, white space as blanks, letters beyond Latin-1 folded."""
+    """One byte for each character of the folded text, letters beyond Latin-1 by a hash."""
     try:
         return _FOLD[np.frombuffer(text.encode("latin-1"), np.uint8)]
     except UnicodeEncodeError:
-        wide = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        wide = np.frombuffer(folded(text).encode("utf-32-le", "surrogatepass"), "<u4")
         return np.where(wide < 256, _FOLD[wide & 0xFF], 1 + (wide * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(255)).astype(np.uint8)
 
 
@@ -118,7 +120,7 @@ def folded(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return "".join(" " if c.isspace() else c for c in low)
+    return _SPACE.sub(" ", low)
 
 
 class Detector:

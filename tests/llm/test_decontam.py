@@ -110,3 +110,17 @@ def test_rows_nulls_blocks_and_other_columns(spark, items, monkeypatch):
         monkeypatch.undo()
     assert decontam.matches(df, bench.limit(0)).collect() == [] and decontam.matches(df.limit(0), bench).collect() == []
     assert decontam.drop_contaminated(df, bench.limit(0)).count() == len(rows)
+
+
+def test_verbatim_items_in_any_script_and_case():
+    plain = "съешь же ещё этих мягких французских булок да выпей чаю"
+    greek = "η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί"
+    detector = decontam.Detector([(1, plain), (2, greek.upper()), (3, "the quick brown fox jumps over the lazy dog")])
+    texts = [plain.upper(), f"до того {plain.title()} и после", greek, f"x {greek.title()} y", "the quick brown fox jumps　over the lazy dog", plain.replace(" ", " ")]
+    found = [[(m[0], m[3]) for m in x] for x in detector.find(texts)]
+    assert found == [[(1, 0)], [(1, 0)], [(2, 0)], [(2, 0)], [(3, 0)], [(1, 0)]]
+
+
+def test_folded_is_lower_case_with_blanks():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    assert decontam.folded(every) == "".join(" " if c.isspace() else c.lower() if len(c.lower()) == 1 else c for c in every)
