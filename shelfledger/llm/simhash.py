@@ -451,11 +451,12 @@ def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
 
     ``grouped`` is what :func:`near_groups` or :func:`similar_groups` gives for them. Rows
     without a doc_id stay, as no group is named after them. Rows that share a doc_id but
-    not a group stay each; of those of one group the least text stays. All columns stay as
-    they are.
+    not a group stay each; of those of one group the text of the least hash stays. All
+    columns stay as they are.
     """
-    key, tag, root, n = (free_name(docs, c) for c in ("kept", "kept_tag", "kept_root", "n"))
-    kept = grouped.filter("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("root").alias(root)).distinct()
-    rows = docs.filter("doc_id is not null").join(kept, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(tag)))
-    first = rows.withColumn(n, F.row_number().over(W.partitionBy(key, root).orderBy("text"))).filter(F.col(n) == 1)
+    key, tag, n = (free_name(docs, c) for c in ("kept", "kept_tag", "n"))
+    kept = grouped.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(key), "root").agg(F.min("tag").alias(tag)).drop("root")
+    rows = docs.filter("doc_id is not null").withColumn(n, F.xxhash64("text")).join(kept, (F.col("doc_id") == F.col(key)) & (F.col(n) == F.col(tag)))
+    # the join has dealt the rows by these two columns already
+    first = rows.withColumn(n, F.row_number().over(W.partitionBy(key, tag).orderBy(tag))).filter(F.col(n) == 1)
     return first.select(docs.columns).union(docs.filter("doc_id is null"))

@@ -186,6 +186,11 @@ def test_unlike_rows_of_one_id_stay_each(spark):
     a, b, c = text(), text(), text()
     rows = [(5, a), (5, b), (5, b), (5, a + " end"), (7, b), (4, c), (8, c), (8, text()), (9, None), (9, c + " end")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    stays = set()
     for parts in (1, 7):
         kept = simhash.keep_one(df, simhash.similar_groups(df.repartition(parts)))
-        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, a), (5, b), (4, c), rows[7], (9, None)], key=str)
+        got = sorted(map(tuple, kept.collect()), key=str)
+        one = next(x for x in got if x in ((5, a), (5, a + " end")))  # by a hash of the text
+        assert got == sorted([one, (5, b), (4, c), rows[7], (9, None)], key=str)
+        stays.add(one)
+    assert len(stays) == 1
