@@ -78,6 +78,10 @@ class Tables(Mapping):
                  flags: Sequence[str] = ()) -> DataFrame:
         return register_slice(self[name], ts, start, finish, flags, self.shift)
 
+    def lines_of(self, name: str, heads: DataFrame, key: str) -> DataFrame:
+        """The rows of ``name`` that belong to ``heads``, joined to them by ``key``."""
+        return self[name].join(heads, key)
+
     def unshift(self, df: DataFrame, *columns: str) -> DataFrame:
         """Remove the stored year shift from timestamps read without a slice."""
         for c in columns if self.shift else ():
@@ -124,15 +128,20 @@ class MappedTables(Tables):
 
 
 def jdbc_reader(spark: SparkSession, options: Mapping[str, str],
-                split: Mapping[str, dict] | None = None) -> Callable[[str], DataFrame]:
+                split: Mapping[str, Mapping | Sequence[str]] | None = None) -> Callable[[str], DataFrame]:
     """Reader over a JDBC source.
 
-    ``split`` holds per table ``partitionColumn``, ``lowerBound``, ``upperBound``
-    and ``numPartitions``, so large tables are read by many tasks.
+    ``split`` says how a large table is read by many tasks: ``partitionColumn``,
+    ``lowerBound``, ``upperBound`` and ``numPartitions`` of a number or time column, or a
+    list of disjoint predicates, one for each task, as ``splits`` makes them.
     """
+    rest = {k: v for k, v in options.items() if k != "url"}
+
     def read(table: str) -> DataFrame:
-        r = spark.read.format("jdbc").options(**options).option("dbtable", table)
-        return r.options(**(split or {}).get(table, {})).load()
+        how = (split or {}).get(table, {})
+        if isinstance(how, Mapping):
+            return spark.read.format("jdbc").options(**options).option("dbtable", table).options(**how).load()
+        return spark.read.jdbc(options["url"], table, predicates=list(how), properties=rest)
     return read
 
 

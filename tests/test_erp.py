@@ -29,7 +29,7 @@ def test_mapping_has_every_column_the_operators_read(spark):
     assert {n for n in POS_TABLES if f"_{n}" not in dir(DriverTables)} == set()
 
 
-def test_columns_by_rule():
+def test_columns_of_each_kind():
     m = mapping()
     assert m["sale_register"]["columns"]["sale_doc_ref"] == "_Fld17440_RRRef" and m["sale_register"]["columns"]["item_qty"] == "_Fld17445"
     assert m["trip"]["columns"]["store_ref"] == "_Fld12841RRef" and m["trip"]["flags"] == ["posted"]
