@@ -626,6 +626,8 @@ STEP = {
     "quarter_growth": "growth", "topk_category": "generator", "expense_rows": "exp_rows", "utilities_mean": "utilities", "rent_max": "rent",
     "salary_union": "salary_all", "vat_allocate": "vat_store", "truck_cost_km": "truck_cost", "transport_store": "transport", "schedule_latest": "schedule",
     "inv_rollback": "rollback", "inv_batch_rollback": "batch_rollback", "inv_lifo_value": "lifo", "inv_snapshots": "inv_category_t",
+    "sale_report_laid_out": "sale_report", "sale_structure_laid_out": "sale_structure", "new_cards_kept": "new_cards",
+    "inv_rollback_kept": "rollback", "inv_batch_rollback_kept": "batch_rollback",
     "store_kpis": "kpi", "eav_lookup": "subdiv_cat", "filter_not_in_sql": "open_stores",
 }
 # the SELECT list of a query, where it is not every column of the step

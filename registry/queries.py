@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,9 @@ from shelfledger.operators import (expenses, inventory, logistics, loyalty, payr
                                    vat)
 from shelfledger.operators import relational as rel
 from shelfledger.plans import views
+from shelfledger.kept.clients import FirstReceipts
+from shelfledger.kept.lines import LaidOut, LineLayout
+from shelfledger.kept.stock import StockMonths
 from shelfledger.plans.run import Run
 from shelfledger.sources.readers import register_slice, scan_rename
 
@@ -299,7 +303,7 @@ def first_non_null(t):
 @query
 def mode_generator(t):
     label = F.concat("p_type", F.lit(" - "), F.col("p_size"), F.lit("%"))
-    return t.raw("part").groupBy("p_brand").agg(F.mode(views.generator_name(label), True).alias("generator"))
+    return t.raw("part").groupBy("p_brand").agg(semantics.most_common(views.generator_name(label)).alias("generator"))
 
 
 @query
@@ -627,6 +631,62 @@ def card_visits(t):
     return loyalty.card_visits(loyalty.discount_days(loyalty.discount_lines(t, START, FINISH)))
 
 
+# ---- kept data -----------------------------------------------------------------------------------
+
+def fresh_folder(t: DriverTables) -> str:
+    """A new folder below the session's shared one."""
+    return f"{t.spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+
+
+def laid_out(t: DriverTables) -> LaidOut:
+    """Check lines filed by the month of their report, the late ones as a batch of their own."""
+    layout = LineLayout(t.spark, fresh_folder(t))
+    heads = t["check_report"].select(F.col("ref").alias("report_ref"), "date")
+    late = F.col("check_nmbr") % 9 == 0
+    layout.add(t["check_line"].filter(~late), heads, "on-time", F.col("check_time"))
+    layout.add(t["check_line"].filter(late), heads, "late", F.col("check_time"))
+    return LaidOut(t, {"check_line": layout})
+
+
+@query
+def sale_report_laid_out(t):
+    return sales.sale_report(laid_out(t), START_LONG, FINISH, CFG)
+
+
+@query
+def sale_structure_laid_out(t):
+    return sales.sale_structure(sales.sale_check_category(laid_out(t), START, FINISH, CFG), CFG)
+
+
+@query
+def new_cards_kept(t):
+    """First receipts taken in by batches, the newest first; some footers come a batch later or earlier."""
+    kept = FirstReceipts(t.spark, fresh_folder(t))
+    k = F.col("id")
+    for batch in (2, 0, 1):
+        kept.merge(t["receipt_header"].filter(k % 3 == batch), t["receipt_footer"].filter((k + F.when(k % 5 == 0, 1).otherwise(0)) % 3 == batch), t)
+    return kept.new_cards(START, FINISH)
+
+
+def closed_months(t: DriverTables) -> StockMonths:
+    """The months of the window closed, one of them twice."""
+    kept = StockMonths(t.spark, fresh_folder(t))
+    kept.close(t, [*SNAPSHOTS[:-1], SNAPSHOTS[0]])
+    return kept
+
+
+@query
+def inv_rollback_kept(t):
+    moved = closed_months(t).moved(t, "stock", START)
+    return inventory.inv_rollback(inventory.inv_history(t, START, FINISH, CFG, moved), SNAPSHOTS)
+
+
+@query
+def inv_batch_rollback_kept(t):
+    moved = closed_months(t).moved(t, "batches", START)
+    return inventory.inv_batch_rollback(inventory.inv_batch_history(t, START, FINISH, CFG, moved), SNAPSHOTS)
+
+
 # ---- KPI table, views, rules ---------------------------------------------------------------------
 
 step("store_kpis", lambda r: r.store_kpis)

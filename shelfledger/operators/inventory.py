@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -62,9 +63,9 @@ def _stock_rows(t: Tables, as_of: date) -> DataFrame:
         "month", F.lit(None).cast("date"))
 
 
-def _moved_rows(t: Tables, start: date) -> DataFrame:
+def moved_rows(t: Tables, start: date, finish: date | None = None) -> DataFrame:
     """Signed movement per month on references."""
-    mv = t.register("stock_movement", "date_movement", start, None, ["active"])
+    mv = t.register("stock_movement", "date_movement", start, finish, ["active"])
     signed = sign_by_kind(F.col("type_motion"), F.col("item_motion_qty"))
     return mv.groupBy("store_ref", "item_ref", month_floor(F.col("date_movement")).alias("month")).agg(
         F.sum(signed).alias("q")).select("store_ref", "item_ref", "q", "month")
@@ -83,8 +84,9 @@ def _stock_batches(t: Tables, as_of: date) -> DataFrame:
             .withColumn("month", F.lit(None).cast("date")))
 
 
-def _moved_batches(t: Tables, start: date) -> DataFrame:
-    mv = t.register("batch_movement", "date_movement", start, None, ["active"])
+def moved_batches(t: Tables, start: date, finish: date | None = None) -> DataFrame:
+    """Signed batch movement per month on references."""
+    mv = t.register("batch_movement", "date_movement", start, finish, ["active"])
     sign = lambda c: sign_by_kind(F.col("type_motion"), c)
     return (mv.withColumn("cost", _cost_with_vat())
             .groupBy("store_ref", "item_ref", "receipt_doc_ref",
@@ -113,7 +115,7 @@ def inv_current(t: Tables, as_of: date, cfg: Settings) -> DataFrame:
 
 def inv_movement(t: Tables, start: date, cfg: Settings) -> DataFrame:
     """Signed movement per month, warehouse and item."""
-    return _history(_moved_rows(t, start), t, cfg).select(
+    return _history(moved_rows(t, start), t, cfg).select(
         F.col("month").alias("date_movement"), "store_id", "item_id",
         F.col("q").alias("store_item_moving_qty"))
 
@@ -126,19 +128,21 @@ def inv_current_batch(t: Tables, as_of: date, cfg: Settings) -> DataFrame:
 
 def inv_movement_batch(t: Tables, start: date, cfg: Settings) -> DataFrame:
     """Signed batch movement, quantity and cost, per month and receipt day."""
-    return _batch_history(_moved_batches(t, start), t, cfg).select(
+    return _batch_history(moved_batches(t, start), t, cfg).select(
         F.col("month").alias("date_movement"), "date_receipt", "store_id", "item_id",
         F.col("q").alias("item_motion_qty"), F.col("v").alias("item_motion_cost"))
 
 
-def inv_history(t: Tables, start: date, as_of: date, cfg: Settings) -> DataFrame:
-    """Current stock (no month) and monthly movement together, decoded once."""
-    return _history(_stock_rows(t, as_of).unionByName(_moved_rows(t, start)), t, cfg)
+def inv_history(t: Tables, start: date, as_of: date, cfg: Settings, moved: DataFrame | None = None) -> DataFrame:
+    """Current stock (no month) and monthly movement together, decoded once; ``moved`` may give the movement on references."""
+    moved = moved_rows(t, start) if moved is None else moved
+    return _history(_stock_rows(t, as_of).unionByName(moved), t, cfg)
 
 
-def inv_batch_history(t: Tables, start: date, as_of: date, cfg: Settings) -> DataFrame:
-    """Current batches (no month) and monthly batch movement together, decoded once."""
-    return _batch_history(_stock_batches(t, as_of).unionByName(_moved_batches(t, start)), t, cfg)
+def inv_batch_history(t: Tables, start: date, as_of: date, cfg: Settings, moved: DataFrame | None = None) -> DataFrame:
+    """Current batches (no month) and monthly batch movement together, decoded once; ``moved`` as for :func:`inv_history`."""
+    moved = moved_batches(t, start) if moved is None else moved
+    return _batch_history(_stock_batches(t, as_of).unionByName(moved), t, cfg)
 
 
 def _since(c: str, snapshots: list[date], name: str) -> list[Column]:
@@ -286,12 +290,18 @@ def inv_category(values: DataFrame, t: Tables) -> DataFrame:
                  conditional_count(F.col("balance_sum") > 0).alias("category_sku")))
 
 
-def inv_snapshots(t: Tables, finish: date, as_of: date, non_trade: DataFrame, cfg: Settings) -> DataFrame:
-    """Monthly stock value by warehouse and category over the inventory window, in one job."""
+def inv_snapshots(t: Tables, finish: date, as_of: date, non_trade: DataFrame, cfg: Settings,
+                  moved: Callable[[str, date], DataFrame] | None = None) -> DataFrame:
+    """Monthly stock value by warehouse and category over the inventory window, in one job.
+
+    ``moved`` may give the movement of ``stock`` and ``batches`` from a day on, as kept
+    months do; by default it is summed from the registers.
+    """
     start = add_months(finish, -cfg.inventory_months)
     snaps = months_between(start, finish)
-    stock = drop_non_trade(inv_history(t, start, as_of, cfg), non_trade)
-    batches = drop_non_trade(inv_batch_history(t, start, as_of, cfg), non_trade)
+    of = lambda kind: moved(kind, start) if moved else None
+    stock = drop_non_trade(inv_history(t, start, as_of, cfg, of("stock")), non_trade)
+    batches = drop_non_trade(inv_batch_history(t, start, as_of, cfg, of("batches")), non_trade)
     prices = prices_at(price_history(t, start, cfg), snaps)
     return inv_category(inv_lifo_value(stock, batches, prices, snaps), t)
 

@@ -27,7 +27,7 @@ def _valid_receipts(t: Tables) -> DataFrame:
     return _live(t, "receipt_header").join(done, ["cash_id", "id"])
 
 
-def _cash_store(t: Tables) -> DataFrame:
+def cash_store(t: Tables) -> DataFrame:
     return t["pos"].join(t["pos_store"], "store_id", "left").select("cash_id", "code_subdivision")
 
 
@@ -45,7 +45,7 @@ def discount_lines(t: Tables, start: date, finish: date) -> DataFrame:
     names = _live(t, "receipt_discounts").withColumnRenamed("id", "receipt_discount")
     df = (items.join(head, ["cash_id", "receipt_header"]).join(disc, ["cash_id", "receipt_item"])
           .join(names, ["cash_id", "receipt_header", "receipt_discount"])
-          .join(_cash_store(t), "cash_id", "left"))
+          .join(cash_store(t), "cash_id", "left"))
     neg = lambda c: negate_when(F.col("type"), REFUND_TYPE, F.col(c)).alias(c)
     return df.select("date", "client", "type", "global_number", "code_subdivision", "name", "item",
                      neg("total_quantity"), "position", neg("base_total"), neg("increment"),
@@ -55,7 +55,7 @@ def discount_lines(t: Tables, start: date, finish: date) -> DataFrame:
 def new_cards(t: Tables, start: date, finish: date) -> DataFrame:
     """Clients by the store of their first receipt, if that falls into the window."""
     last = finish - timedelta(days=1)
-    df = (_valid_receipts(t).filter(F.col("client").isNotNull()).join(_cash_store(t), "cash_id", "left")
+    df = (_valid_receipts(t).filter(F.col("client").isNotNull()).join(cash_store(t), "cash_id", "left")
           .groupBy("client").agg(
               F.min("date").alias("fdate"),
               F.min_by("code_subdivision", F.struct("date", "code_subdivision")).alias("store")))

@@ -13,29 +13,31 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.periods import add_months, period_finish_of
+from ..kept.steps import Checkpointed
 from ..operators import expenses, inventory, logistics, loyalty, payroll, refs, sales, vat
-from ..sources.readers import Tables, cut_lineage
+from ..sources.readers import Tables
 from . import kpi, rules, views
 
 
 class Run:
     """Steps of one reporting period; each is planned once, on first use.
 
-    The aggregates of facts that several results read (report months, expense months,
-    pay, units moved, crews, stock values, discount days, stops), and the few rows per store
-    that the KPI table puts side by side, go through ``materialize``: the facts are then
-    scanned and shuffled once, and a lost executor does not bring the scan back. All other
-    steps are lazy plans over these.
+    The eight aggregates of facts that several results read (report months, expense months,
+    pay, units moved, crews, stops, stock values, discount days) go through ``keep``: the
+    facts are then scanned and shuffled once, and a lost executor does not bring the scan
+    back. With a :class:`StepStore` they also outlive the run, so one that died goes on
+    where it stopped. All other steps are lazy plans over these; a few rows per store need
+    no files.
     ``legs`` maps the stop lists to the tours of an outside route service
     (``trip_key, leg_no, end, distance``).
     """
 
     def __init__(self, tables: Tables, finish: date, cfg: Settings | None = None,
                  legs: Callable[[DataFrame], DataFrame] | None = None, as_of: date | None = None,
-                 materialize: Callable[[DataFrame], DataFrame] = cut_lineage) -> None:
+                 keep: Callable[..., DataFrame] | None = None) -> None:
         self.t, self.finish, self.cfg = tables, finish, cfg or Settings()
         self.as_of = as_of or finish
-        self.legs, self.materialize = legs, materialize
+        self.legs, self.keep = legs, keep or Checkpointed()
         self.start = add_months(finish, -self.cfg.months_back)
         self.start_long = add_months(finish, -self.cfg.months_back_long)
         self.motion_start = add_months(finish, -self.cfg.motion_months)
@@ -45,6 +47,9 @@ class Run:
     def for_day(cls, tables: Tables, as_of: date, **kw) -> Run:
         return cls(tables, period_finish_of(as_of), as_of=as_of, **kw)
 
+    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return self.keep(name, build, self.finish, self.as_of)
+
     # dimensions
     @cached_property
     def categories(self) -> DataFrame:
@@ -68,13 +73,14 @@ class Run:
 
     @cached_property
     def non_trade(self) -> DataFrame:
-        return inventory.non_trade_items(refs.item_root(self.t, self.materialize), self.cfg)
+        # the rounds of a dimension stay in memory; a lost part comes back from the items
+        return inventory.non_trade_items(refs.item_root(self.t, DataFrame.persist), self.cfg)
 
     # sales
     @cached_property
     def sale_month(self) -> DataFrame:
-        report = sales.sale_report(self.t, self.start_long, self.finish, self.cfg)
-        return self.materialize(sales.sale_month(report, self.categories, self.cfg))
+        return self._kept("sale_month", lambda: sales.sale_month(
+            sales.sale_report(self.t, self.start_long, self.finish, self.cfg), self.categories, self.cfg))
 
     @cached_property
     def sale_store_month(self) -> DataFrame:
@@ -82,8 +88,7 @@ class Run:
 
     @cached_property
     def classes(self) -> DataFrame:
-        return self.materialize(refs.store_class(
-            self.sale_store_month, self.areas, self.categories, self.cfg))
+        return refs.store_class(self.sale_store_month, self.areas, self.categories, self.cfg)
 
     @cached_property
     def service(self) -> DataFrame:
@@ -92,9 +97,9 @@ class Run:
     @cached_property
     def structure(self) -> DataFrame:
         checks = sales.sale_check_category(self.t, self.start, self.finish, self.cfg)
-        return self.materialize(sales.category_structure(
+        return sales.category_structure(
             inventory.inv_category_mean(self.snapshots, self.trade_stores, self.t),
-            sales.sale_structure(checks, self.cfg), self.t, self.cfg))
+            sales.sale_structure(checks, self.cfg), self.t, self.cfg)
 
     @cached_property
     def growth(self) -> DataFrame:
@@ -103,25 +108,26 @@ class Run:
     # cost
     @cached_property
     def expenses(self) -> DataFrame:
-        return self.materialize(expenses.expense_months(self.t, self.start_long, self.finish, self.cfg))
+        return self._kept("expenses", lambda: expenses.expense_months(
+            self.t, self.start_long, self.finish, self.cfg))
 
     @cached_property
     def salary(self) -> DataFrame:
-        return self.materialize(payroll.salary_union(
+        return self._kept("salary", lambda: payroll.salary_union(
             payroll.salary_month(self.t, self.months, self.cfg),
             payroll.compensation(self.t, self.start, self.finish, self.cfg), self.cfg))
 
     @cached_property
     def direct_costs(self) -> DataFrame:
-        return self.materialize(expenses.direct_costs(
+        return expenses.direct_costs(
             self.expenses, payroll.payroll_support(self.salary, self.categories, self.cfg),
-            payroll.payroll_store(self.salary, self.categories, self.cfg), self.finish, self.cfg))
+            payroll.payroll_store(self.salary, self.categories, self.cfg), self.finish, self.cfg)
 
     @cached_property
     def vat(self) -> DataFrame:
-        return self.materialize(vat.vat_allocate(
+        return vat.vat_allocate(
             self.sale_month, self.service, vat.account_balance(self.t, self.months, self.cfg),
-            self.finish, self.cfg))
+            self.finish, self.cfg)
 
     # logistics
     @cached_property
@@ -129,7 +135,7 @@ class Run:
         two = self.t["store_dim"].filter(
             F.col("store_id").isin(self.cfg.main_store, self.cfg.satellite_store)).select("store_id")
         stores = self.trade_stores.select("store_id").unionByName(two)
-        return self.materialize(logistics.motion_units(
+        return self._kept("motion_units", lambda: logistics.motion_units(
             self.t, stores, self.motion_start, self.finish, self.non_trade))
 
     @cached_property
@@ -156,7 +162,7 @@ class Run:
 
     @cached_property
     def crews(self) -> DataFrame:
-        return self.materialize(logistics.delivery_crews(self.t, self.start, self.finish, self.cfg))
+        return self._kept("crews", lambda: logistics.delivery_crews(self.t, self.start, self.finish, self.cfg))
 
     @cached_property
     def crew_cost(self) -> DataFrame:
@@ -169,11 +175,14 @@ class Run:
 
     @cached_property
     def stop_list(self) -> DataFrame:
-        orders = logistics.delivery_orders(self.t, self.start - timedelta(weeks=2), self.finish)
-        moved = logistics.trade_deliveries(
-            logistics.delivery_stops(self.t, self.start, self.finish, self.cfg), orders, self.t, self.crew_cost,
-            self.trade_stores, self.cfg)
-        return self.materialize(logistics.stop_list(moved, self.satellites, self.cfg))
+        def build() -> DataFrame:
+            orders = logistics.delivery_orders(self.t, self.start - timedelta(weeks=2), self.finish)
+            moved = logistics.trade_deliveries(
+                logistics.delivery_stops(self.t, self.start, self.finish, self.cfg), orders, self.t, self.crew_cost,
+                self.trade_stores, self.cfg)
+            return logistics.stop_list(moved, self.satellites, self.cfg)
+
+        return self._kept("stop_list", build)
 
     @cached_property
     def tours(self) -> DataFrame:
@@ -183,19 +192,20 @@ class Run:
     def transport(self) -> DataFrame:
         if self.legs is None:
             raise ValueError("transport cost needs the tours of a route service (legs)")
-        return self.materialize(logistics.transport_store(
+        return logistics.transport_store(
             self.stop_list, self.legs(self.tours), self.truck_cost, self.satellite_share, self.t,
-            self.cfg))
+            self.cfg)
 
     # stock and loyalty
     @cached_property
     def snapshots(self) -> DataFrame:
-        return self.materialize(inventory.inv_snapshots(
+        return self._kept("snapshots", lambda: inventory.inv_snapshots(
             self.t, self.finish, self.as_of, self.non_trade, self.cfg))
 
     @cached_property
     def discount_days(self) -> DataFrame:
-        return self.materialize(loyalty.discount_days(loyalty.discount_lines(self.t, self.start, self.finish)))
+        return self._kept("discount_days", lambda: loyalty.discount_days(
+            loyalty.discount_lines(self.t, self.start, self.finish)))
 
     @cached_property
     def discount_class(self) -> DataFrame:
@@ -215,8 +225,7 @@ class Run:
         """Compute the facts that several results read; no step of a group reads another of the same group."""
         _ = self.categories, self.trade_stores, self.satellites
         self._together("non_trade", "sale_month", "expenses", "salary", "crews", "discount_days")
-        self._together("motion_units", "snapshots", "stop_list", "direct_costs", "vat", "classes")
-        self._together("structure", "transport")
+        self._together("motion_units", "snapshots", "stop_list")
 
     @cached_property
     def store_kpis(self) -> DataFrame:
@@ -227,7 +236,7 @@ class Run:
             self.shipment_share, self.warehouse_cost, self.transport, self.vat,
             self.discount_class, sales.revenue_generator(self.structure),
             self.categories)
-        return self.materialize(kpi.store_kpis(inputs, self.classes, self.subdivs, self.cfg))
+        return kpi.store_kpis(inputs, self.classes, self.subdivs, self.cfg)
 
     @cached_property
     def cards(self) -> DataFrame:
