@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.periods import minutes_between, month_floor
 from ..functions.semantics import (bankers_round, in_local, not_in_local, r_sum,
-                                   safe_div)
+                                   safe_div, sorted_texts)
 from ..sources.readers import Tables
 from .expenses import fuel_months, maintenance_mean
 from .refs import decode, ref_route, ref_subdiv, ref_vehicle
-from .relational import join_null_safe, latest_per_key, pick_other_row, share_of, union_by_name
+from .relational import join_hot, join_null_safe, latest_per_key, pick_other_row, share_of, union_by_name
 
 # ---- stock motion ---------------------------------------------------------------------------
 
@@ -34,30 +34,30 @@ def _trade_movement(t: Tables, stores: DataFrame, start: date, finish: date, non
             .join(_wanted_stores(t, stores), "store_ref").join(left_out, "item_ref", "left_anti"))
 
 
-def _documents(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What a recorder reference may point to: sale, transfer, check report."""
-    sale = t.unshift(t["sale_doc"], "sale_doc_date").select(
-        "ref", F.col("sale_doc_nmbr").alias("nmbr_sale_doc"),
-        F.col("sale_doc_date").alias("date_sale_doc"), "subdiv_ref")
-    moved = t.unshift(t["transfer_out"], "date").select(
-        "ref", F.col("nmbr").alias("nmbr_moving_out"), F.col("date").alias("date_moving_out"),
-        "receiver_store_ref")
+def documents(t: Tables) -> DataFrame:
+    """What a recorder reference may point to, one row per reference: sale, transfer or check report.
+
+    Buyers and receivers are decoded here, on the documents, so movements need only this
+    one table. Should one reference stand in two tables of documents, its row holds both.
+    """
+    sale = decode(t.unshift(t["sale_doc"], "sale_doc_date").select(
+        "ref", F.col("sale_doc_nmbr").alias("nmbr_sale_doc"), F.col("sale_doc_date").alias("date_sale_doc"), "subdiv_ref"),
+        "subdiv_ref", t["subdiv_dim"], "subdiv_id")
+    moved = decode(t.unshift(t["transfer_out"], "date").select(
+        "ref", F.col("nmbr").alias("nmbr_moving_out"), F.col("date").alias("date_moving_out"), "receiver_store_ref"),
+        "receiver_store_ref", t["store_dim"], store_receiver="store_id")
     checks = t.unshift(t["check_report"], "date").select(
-        "ref", F.col("date").alias("date_checks_report"), "nmbr_checks_report")
-    return sale, moved, checks
+        "ref", "nmbr_checks_report", F.col("date").alias("date_checks_report"))
+    df = union_by_name(sale, moved, checks)
+    return df.groupBy("ref").agg(*[F.first(c, ignorenulls=True).alias(c) for c in df.columns if c != "ref"])
 
 
 def stock_motion(t: Tables, stores: DataFrame, start: date, finish: date,
                  non_trade: DataFrame) -> DataFrame:
     """Listing of the movements of the given warehouses with the document each one came from."""
-    sale, moved, checks = _documents(t)
     df = decode(_trade_movement(t, stores, start, finish, non_trade), "item_ref", t["item_dim"], "item_id")
-    df = decode(df, "recorder_ref", sale, "nmbr_sale_doc", "date_sale_doc", "subdiv_ref", drop=False)
-    df = decode(df, "recorder_ref", moved, "nmbr_moving_out", "date_moving_out",
-                "receiver_store_ref", drop=False)
-    df = decode(df, "recorder_ref", checks, "nmbr_checks_report", "date_checks_report")
-    df = decode(df, "subdiv_ref", t["subdiv_dim"], "subdiv_id")
-    df = decode(df, "receiver_store_ref", t["store_dim"], store_receiver="store_id")
+    df = df.select("date_movement", "store_id", "type_motion", "recorder_ref", "item_id", "item_motion_qty")
+    df = join_hot(df, documents(t).withColumnRenamed("ref", "recorder_ref"), "recorder_ref")
     return df.select("date_movement", "store_id", "type_motion", "nmbr_sale_doc", "date_sale_doc",
                      "subdiv_id", "nmbr_moving_out", "date_moving_out", "store_receiver",
                      "nmbr_checks_report", "date_checks_report", "item_id", "item_motion_qty")
@@ -67,27 +67,17 @@ def motion_units(t: Tables, stores: DataFrame, start: date, finish: date,
                  non_trade: DataFrame) -> DataFrame:
     """Units per warehouse, direction, kind of document, buyer and receiver.
 
-    Movements shrink to one row per warehouse, direction and recorder before the
-    documents are joined, and those to one per pair of references before any code is;
-    a document's NULL references so never meet a join of raw rows. A group with an
-    unknown quantity has unknown units.
+    Movements shrink to one row per warehouse, direction and recorder before they meet
+    the documents. A group with an unknown quantity has unknown units.
     """
-    sale, moved, checks = _documents(t)
     raw = (_trade_movement(t, stores, start, finish, non_trade)
            .groupBy("store_id", "type_motion", "recorder_ref")
            .agg(F.sum("item_motion_qty").alias("u"), F.count("item_motion_qty").alias("known"),
                 F.count(F.lit(1)).alias("n")))
-    df = decode(raw, "recorder_ref", sale.withColumn("by_sale", F.col("nmbr_sale_doc").isNotNull()),
-                "subdiv_ref", "by_sale", drop=False)
-    df = decode(df, "recorder_ref", moved.withColumn("by_transfer", F.col("nmbr_moving_out").isNotNull()),
-                "receiver_store_ref", "by_transfer", drop=False)
-    df = decode(df, "recorder_ref", checks.withColumn("by_check", F.col("nmbr_checks_report").isNotNull()),
-                "by_check")
-    kinds = [F.coalesce(c, F.lit(False)).alias(c) for c in ("by_sale", "by_transfer", "by_check")]
+    kinds = [F.col(c).isNotNull().alias(k) for k, c in (("by_sale", "nmbr_sale_doc"), ("by_transfer", "nmbr_moving_out"), ("by_check", "nmbr_checks_report"))]
+    docs = documents(t).select(F.col("ref").alias("recorder_ref"), "subdiv_id", "store_receiver", *kinds)
+    df = raw.join(docs, "recorder_ref", "left").fillna(False, ["by_sale", "by_transfer", "by_check"])
     sums = [F.sum(c).alias(c) for c in ("u", "known", "n")]
-    df = df.groupBy("store_id", "type_motion", "subdiv_ref", "receiver_store_ref", *kinds).agg(*sums)
-    df = decode(df, "subdiv_ref", t["subdiv_dim"], "subdiv_id")
-    df = decode(df, "receiver_store_ref", t["store_dim"], store_receiver="store_id")
     return (df.groupBy("store_id", "type_motion", "subdiv_id", "store_receiver", "by_sale", "by_transfer", "by_check")
             .agg(*sums).withColumn("units", F.when(F.col("known") == F.col("n"), F.col("u"))).drop("u", "known", "n"))
 
@@ -361,7 +351,7 @@ def stop_list(deliveries: DataFrame, satellites: DataFrame, cfg: Settings) -> Da
     for store, recipient in cfg.excluded_delivery:
         df = df.filter(~((F.col("delivery_store") == store) & (F.col("recipient_store") == recipient)))
     trip = ["nmbr_delivery", "date_delivery", "route_parent", "delivery_store", "vehicle_id"]
-    return (df.groupBy(*trip).agg(F.array_sort(F.collect_set("recipient_store")).alias("_stops"))
+    return (df.groupBy(*trip).agg(sorted_texts(F.col("recipient_store")).alias("_stops"))
             .withColumn("store_list", F.array_join("_stops", ", "))
             .select(*trip, F.explode("_stops").alias("recipient_store"), "store_list"))
 

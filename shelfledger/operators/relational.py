@@ -38,6 +38,32 @@ def join_any(left: DataFrame, right: DataFrame, keys: Sequence[str],
         *left.columns, *[F.col(f"_one.{c}").alias(c) for c in rest])
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, least: int = 1000) -> DataFrame:
+    """Left join on one key, whose hot values are dealt to several tasks and whose NULLs meet no join.
+
+    A key is hot that has more than one in ``least`` of the left rows; there are fewer than
+    ``least`` of these whatever the data, so their list is broadcast. A hot key's rows
+    are dealt by their content to as many parts as ``least`` times its share, and the right
+    row, of which there is one for a key, is repeated for each part.
+    """
+    known = left.filter(F.col(key).isNotNull())
+    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    hot = (counts.crossJoin(F.broadcast(total)).filter(F.col("_n") * least > F.col("_all"))  # one row
+           .select(F.col(key).alias("_hot"), F.ceil(F.col("_n") * least / F.col("_all")).cast("int").alias("_parts")))
+    dealt = known.join(F.broadcast(hot), known[key] == hot["_hot"], "left")
+    part = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(*left.columns), F.col("_parts"))).otherwise(0).cast("int")
+    dealt = dealt.withColumn("_part", part).drop("_hot", "_parts")
+    rest = [c for c in right.columns if c != key]
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    repeated = (right.join(F.broadcast(hot), right[key] == hot["_hot"], "left")
+                .select(F.col(key).alias("_key"), copies.alias("_copy"), *rest))
+    met = dealt.join(repeated, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_copy")), "left")
+    kinds = {f.name: f.dataType for f in right.schema}
+    without = left.filter(F.col(key).isNull()).select(*left.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in rest])
+    return met.select(*left.columns, *rest).unionByName(without)
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Rows carrying the latest ``ts`` of their key, ties kept.
 

@@ -75,3 +75,25 @@ def test_transpose_and_union(spark):
     assert rows(R.transpose_long(df, ["k"], [("a", "A"), ("b", "B")])) == [("s", 1, "A", 1.0), ("s", 2, "B", 2.0)]
     u = R.union_by_name(df.select("k", "a"), df.select("k", "b"))
     assert rows(u) == [("s", None, 2), ("s", 1.0, None)]
+
+
+def test_hot_keys_are_dealt_and_unknown_ones_meet_no_join(spark):
+    """The result is that of a left join; the rows of one key lie in many partitions, those without a key in no join."""
+    n = 20_000
+    left = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id % 500 END AS k", "id AS v", "id % 2 AS w")
+    right = spark.range(0, 600, 2).selectExpr("id AS k", "concat('d', id) AS name", "CASE WHEN id > 9 THEN id END AS size").union(spark.createDataFrame([(7, "hot", 1)], "k long, name string, size long"))
+    want = rows(left.join(right, "k", "left").select("k", "v", "w", "name", "size"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(keep, ("-1", "-1", "16", "false")):
+            spark.conf.set(k, v)
+        got = R.join_hot(left, right, "k", least=50)
+        assert got.columns == ["k", "v", "w", "name", "size"] and rows(got) == want
+        hot = got.filter("k = 7").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(hot) >= 10 and max(r["count"] for r in hot) < n / 3 / 4
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert "isnotnull" in plan and rows(R.join_hot(left.limit(0), right, "k")) == []
+    assert rows(R.join_hot(left.filter("k is null"), right, "k").select("name").distinct()) == [(None,)]
