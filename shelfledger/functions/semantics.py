@@ -107,6 +107,21 @@ def number_text(c: Column, digits: int = 6) -> Column:
     return F.when(c.isNotNull(), text)
 
 
+def by_letters(c: Column) -> Column:
+    """A text that sorts as people write it: Г, Ґ, Д and И, І, Ї, Й, whatever their code points, small letters before capitals."""
+    return F.collate(c, "uk")
+
+
+def sorted_texts(c: Column) -> Column:
+    """Distinct known texts of a group in order of their letters, as plain texts."""
+    return F.transform(F.array_sort(F.transform(F.collect_set(c), by_letters)), lambda x: F.collate(x, "UTF8_BINARY"))
+
+
+def most_common(c: Column) -> Column:
+    """The most common text of a group; of several the first in order of letters."""
+    return F.collate(F.mode(by_letters(c), True), "UTF8_BINARY")
+
+
 def thousands_text(c: Column, mark: str = "`") -> Column:
     """Whole number with a mark between thousands."""
     return F.regexp_replace(F.format_number(c, 0), ",", mark)

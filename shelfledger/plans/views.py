@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NAME_CLEANING, TRADE_CATEGORIES
-from ..functions.semantics import (bankers_round, clean_name, number_text, percent_text, safe_div,
-                                   thousands_text)
+from ..functions.semantics import (bankers_round, clean_name, most_common, number_text, percent_text,
+                                   safe_div, thousands_text)
 from ..operators.relational import transpose_long
 
 # Shown labels and their order.
@@ -155,7 +155,7 @@ def quartiles(kpis: DataFrame, p: float) -> DataFrame:
     """Class benchmark: the given quantile of each column and the most common generator."""
     return kpis.groupBy("trade_category").agg(
         *[F.percentile(c, F.lit(p)).alias(c) for c in BENCHMARK_COLUMNS],
-        F.mode(generator_name(F.col("revenue_generator")), True).alias("revenue_generator")
+        most_common(generator_name(F.col("revenue_generator"))).alias("revenue_generator")
     ).withColumn("subdiv_name", F.lit(f"quantile_{round(p * 100)}"))
 
 

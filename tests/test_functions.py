@@ -86,3 +86,21 @@ def test_calendars(spark):
     df = spark.createDataFrame([(datetime(2023, 11, 5),), (datetime(2024, 2, 1),)], "d timestamp_ntz")
     assert [r.date for r in P.month_span(df, "d").collect()] == P.months_between(date(2023, 11, 1), date(2024, 2, 1))
     assert P.add_months(date(2024, 1, 1), -3) == date(2023, 10, 1)
+
+
+def test_texts_sort_by_letters(spark):
+    """Ukrainian letters stand where the alphabet has them, not where their code points are."""
+    words = ["Яр", "Їжак", "Іній", "Ґанок", "Євро", "Гора", "Дім", "Еко", "Жук", "Йод", "Инше", "а", "А", "10", "9", "Їжак", None]
+    df = spark.createDataFrame([(1, w) for w in words] + [(2, None)], "k int, x string")
+    got = {r.k: r.s for r in df.groupBy("k").agg(S.sorted_texts(F.col("x")).alias("s")).collect()}
+    assert got[1] == ["10", "9", "а", "А", "Гора", "Ґанок", "Дім", "Еко", "Євро", "Жук", "Инше", "Іній", "Їжак", "Йод", "Яр"] and got[2] == []
+    assert dict(df.groupBy("k").agg(F.array_join(S.sorted_texts(F.col("x")), ", ").alias("s")).dtypes)["s"] == "string"
+    ordered = df.filter("x is not null").distinct().orderBy(S.by_letters(F.col("x"))).select("x").collect()
+    assert [r.x for r in ordered] == got[1]
+
+
+def test_most_common_text_and_ties(spark):
+    rows = [("a", "Яр"), ("a", "Їжак"), ("a", "Ґанок"), ("b", "Іній"), ("b", "Яр"), ("b", "Яр"), ("c", None), ("d", "Жук"), ("d", "Євро")]
+    df = spark.createDataFrame(rows, "k string, x string")
+    got = {r.k: r.m for r in df.groupBy("k").agg(S.most_common(F.col("x")).alias("m")).collect()}
+    assert got == {"a": "Ґанок", "b": "Яр", "c": None, "d": "Євро"}
