@@ -10,47 +10,58 @@ region's border is also put there:
   rarest first, is among that many and one more. The point is replicated into these
   regions and no other; two linked points share a region. Unlike texts part here.
 * Within a region points are pivots. Every point's distance to the region's pivots is
-  known exactly, or bounded from below by the sizes and by a 256-bit parity sketch, whose
-  Hamming distance never exceeds the symmetric difference. Points within the radius of a
-  pivot are its cell, and linked through it. By the triangle inequality a partner of a
-  point x of the cell of p lies at most the radius further from p than x does; if all that
-  lie so near are in the cell, x is done. Pivots are done too. What is left is a region
-  again, with four times as many pivots, until no region has two points.
-
-So each region is joined exactly, and a group of thousands of near copies costs a distance
-for each of them, not for each pair. Regions with the same points, as near copies make
+  bounded from below by the sizes and by parity sketches of about a bit for each shingle,
+  whose Hamming distance never exceeds the symmetric difference; where the bound is within
+  the radius the distance is measured on the texts. Points within the radius of a pivot
+  are its cell, and linked through it. By the triangle inequality a partner of a point x
+  lies at most the radius further from a pivot p than x does; if all that may lie so near
+  belong to x's component by then, x is done. Pivots are done too, and regions of one
+  component. What is left is a region again, with more pivots; regions of few points are
+  leaves, whose points of different components meet by the same bounds and distances.
+
+So each region is joined exactly, and a group of thousands of near copies costs a few
+distances for each of them, not one for each pair. Regions with the same points, as near copies make
 many, are one region. Any order of shingles is right; rarity, taken from counts of 65,536
-hash classes over all documents, only keeps regions small.
+hash classes over all documents, only keeps regions small. Sets are never written; the
+texts that are measured move, one for each different set.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, cut, shared_folder
+from .common import components, shared_folder
 
 #: Words in a shingle, and the least percentage of the union that linked sets share.
 WORDS, LEAST = 3, 90
 #: Hash classes that shingles are counted by.
 CLASSES = 1 << 16
-#: Longs of a sketch.
-SKETCH = 4
-#: Buckets by which the sets that are needed again are told from others before they move.
+#: Bits of the shortest and the longest sketch.
+SKETCH = 1 << 6, 1 << 15
+#: Buckets by which the texts that are needed again are told from others before they move.
 BUCKETS = 1 << 20
 #: Words whose hashes a worker keeps.
 KNOWN = 1 << 18
+#: Points of a leaf whose pairs are listed, and of one whose sketches are compared in a task.
+FEW, LEAF = 24, 1 << 12
+#: By how much the pivots of a region grow from round to round.
+MORE = 16
 
-POINT = ["k1", "k2"]
-SKETCHES = [f"s{k}" for k in range(SKETCH)]
+KEY = ["k1", "k2"]
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 class Shingles:
@@ -79,151 +90,209 @@ class Shingles:
         return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parity of the number of hashes in each of 256 classes, as longs."""
-    odd = np.bincount((hashes >> np.uint64(48)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parity of the number of hashes in each of as many classes as there are hashes, to the next power of two."""
+    low, high = SKETCH
+    bits = min(max(low, 1 << max(len(hashes) - 1, 1).bit_length()), high)
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, k1, k2, n, s0.., shingles)``: each row's set, its key of 128 bits, size and sketch."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
-        for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            raw = [s.tobytes() for s in sets]
-            keys = np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=16).digest() for r in raw), np.int64).reshape(-1, 2)
-            bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c) for c in keys.T), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c) for c in bits.T), pa.array(raw, pa.binary())],
-                ["doc_id", *POINT, "n", *SKETCHES, "shingles"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    longs = ", ".join(f"{c} long" for c in [*POINT, "n", *SKETCHES])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {longs}, shingles binary")
+def differing(a: bytes, b: bytes) -> int:
+    """Bits that differ, the longer sketch folded to the length of the other."""
+    x, y = int.from_bytes(a, "big"), int.from_bytes(b, "big")
+    m, n = len(a), len(b)
+    while m > n:
+        m //= 2
+        x = (x >> 8 * m) ^ (x & (1 << 8 * m) - 1)
+    while n > m:
+        n //= 2
+        y = (y >> 8 * n) ^ (y & (1 << 8 * n) - 1)
+    return (x ^ y).bit_count()
 
 
-def class_counts(sets: DataFrame) -> np.ndarray:
+def class_counts(docs: DataFrame, words: int) -> np.ndarray:
     """Documents with a shingle of each hash class; as many numbers at any size of the input."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(CLASSES, np.int64)
+        shingles, count = Shingles(words), np.zeros(CLASSES, np.int64)
         for b in batches:
-            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
-            count += np.bincount((flat % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
+            for t in b.column(0).to_pylist():
+                count += np.bincount((shingles(t) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count)), pa.array(count[count > 0])], ["class", "n"])
 
     out = np.zeros(CLASSES, np.int64)
-    for r in sets.select("shingles").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
         out[r["class"]] = r["n"]
     return out
 
 
-def with_regions(sets: DataFrame, least: int) -> DataFrame:
-    """The sets' rows with ``regions`` in place of ``shingles``: those that a linked set may share first.
+def placed_rows(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """``(doc_id, tag, k1, k2, n, sketch, regions)`` of each row.
 
-    Sets so small that only an equal one links have none.
+    ``tag`` is a hash of the text, ``k1`` and ``k2`` the key of the set in 128 bits, ``n`` its
+    size. ``regions`` are the shingles that a linked set may have first in common with
+    it, by rarity; sets so small that only an equal one links have none.
     """
-    counts = class_counts(sets)
+    counts = class_counts(docs, words)
+
+    def regions(h: np.ndarray) -> np.ndarray:
+        n = len(h)
+        if 100 * n < least * (n + 1):
+            return h[:0].view(np.int64)
+        lacks = n - -(-n * least // 100)
+        rare = counts[(h % np.uint64(CLASSES)).astype(np.int64)]
+        near = np.flatnonzero(rare <= np.partition(rare, lacks)[lacks])
+        return h[near[np.lexsort((h[near], rare[near]))[:lacks + 1]]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
         for b in batches:
-            out = []
-            for raw in b.column(b.num_columns - 1).to_pylist():
-                h = np.frombuffer(raw, np.uint64)
-                n = len(h)
-                if 100 * n < least * (n + 1):
-                    out.append(h[:0].view(np.int64))
-                    continue
-                lacks = n - -(-n * least // 100)
-                rare = counts[(h % np.uint64(CLASSES)).astype(np.int64)]
-                near = np.flatnonzero(rare <= np.partition(rare, lacks)[lacks])
-                out.append(h[near[np.lexsort((h[near], rare[near]))[:lacks + 1]]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.int64()))], [*b.schema.names[:-1], "regions"])
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            keys = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([sketch(s) for s in sets], pa.binary()), pa.array([regions(s) for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "tag", *KEY, "n", "sketch", "regions"])
 
-    fields = ", ".join(f"{c} {t}" for c, t in sets.dtypes[:-1])
-    return sets.mapInArrow(run, f"{fields}, regions array<long>")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(
+        run, f"doc_id {kind}, tag long, k1 long, k2 long, n long, sketch binary, regions array<long>")
 
 
-def differ(a: str = "", b: str = "p_") -> Column:
-    """A lower bound of the symmetric difference of two points: bits that differ in their sketches, or sizes."""
-    bits = sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SKETCHES), F.lit(0))
-    return F.greatest(bits, F.abs(F.col(a + "n") - F.col(b + "n")))
+def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """``(id, pivot, n, p_n, bound)``: a lower bound of the distance of each pair ``(id, pivot)`` of points.
 
+    The symmetric difference is at least that of the sizes and the bits in which the
+    sketches differ; greater differences make greater distances.
+    """
+    names = ["id", "pivot", "n", "p_n"]
 
-def distance(symmetric: Column, a: str = "n", b: str = "p_n") -> Column:
-    """Jaccard distance of sets with that symmetric difference; greater differences give greater distances."""
-    return 2 * symmetric / (F.col(a) + F.col(b) + symmetric)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {c: b.column(c) for c in (*names, "sketch", "p_sketch")}
+            bits = np.array([differing(x, y) for x, y in zip(at["sketch"].to_pylist(), at["p_sketch"].to_pylist())], np.int64)
+            n, p = (at[c].to_numpy() for c in ("n", "p_n"))
+            least = np.maximum(bits, np.abs(n - p))
+            yield pa.RecordBatch.from_arrays([*(at[c] for c in names), pa.array(2 * least / (n + p + least))], [*names, "bound"])
+
+    own = points.select("id", "n", "sketch")
+    other = points.select(F.col("id").alias("pivot"), F.col("n").alias("p_n"), F.col("sketch").alias("p_sketch"))
+    return pairs.join(own, "id").join(other, "pivot").mapInArrow(run, "id long, pivot long, n long, p_n long, bound double")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` of points ``(k1, k2, p_k1, p_k2)`` with ``both``, the number of shingles that both have."""
+def measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``(id, pivot, both)``: the number of shingles that the points of each pair both have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
         for b in batches:
-            at = b.schema.get_field_index("shingles"), b.schema.get_field_index("p_shingles")
-            both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                    for x, y in zip(*(b.column(k).to_pylist() for k in at))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(both, pa.int64())], [*names, "both"])
+            # the pairs of a pivot follow each other
+            last, known, both = None, None, []
+            for t, p in zip(b.column("text").to_pylist(), b.column("p_text").to_pylist()):
+                if p != last:
+                    last, known = p, shingles(p)
+                both.append(len(np.intersect1d(shingles(t), known, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("pivot"), pa.array(both, pa.int64())], ["id", "pivot", "both"])
 
-    names = [*POINT, *(f"p_{c}" for c in POINT)]
-    other = sets.select(*(F.col(c).alias(f"p_{c}") for c in [*POINT, "shingles"]))
-    return (pairs.select(names).join(sets, POINT).join(other, [f"p_{c}" for c in POINT])
-            .mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "both"])))
+    other = texts.select(F.col("id").alias("pivot"), F.col("text").alias("p_text"))
+    return pairs.select("id", "pivot").join(texts, "id").join(other, "pivot").mapInArrow(run, "id long, pivot long, both long")
 
 
-def several(members: DataFrame) -> DataFrame:
-    """Members ``(region.., point..)`` of the regions that hold two points or more."""
-    more = members.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1").select("region")
-    return members.join(more, "region")
+def leaf_pairs(members: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """``(id, pivot)`` of the points of one region, in different components, whose bound is within the radius.
+
+    For regions of ``LEAF`` points at most: their sketches meet in one task.
+    """
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["n"].to_numpy(), kind="stable")
+        ids, roots, sizes = (rows[c].to_numpy()[order] for c in ("id", "root", "n"))
+        raw = rows["sketch"].to_pylist()
+        bits = np.array([8 * len(raw[k]) for k in order])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for wide in np.unique(bits):
+            # sketches of this length, and those of like sizes that are longer, folded to it
+            near = np.flatnonzero((bits >= wide) & (sizes * (1 - radius) <= sizes[bits == wide].max() + 1))
+            folded = np.array([np.bitwise_xor.reduce(np.frombuffer(raw[order[k]], np.uint64).reshape(-1, wide // 64), axis=0) for k in near])
+            for x, k in enumerate(near):
+                if bits[k] != wide:
+                    continue
+                stop = np.searchsorted(sizes[near], (sizes[k] + 1) / (1 - radius) + 1)
+                least = np.maximum(np.bitwise_count(folded[x] ^ folded[x + 1:stop]).sum(axis=1, dtype=np.int64), sizes[near[x + 1:stop]] - sizes[k])
+                bound = 2 * least / (sizes[k] + sizes[near[x + 1:stop]] + least)
+                hit = near[x + 1:stop][(bound <= radius + 1e-9) & (roots[near[x + 1:stop]] != roots[k])]
+                a.append(np.full(len(hit), ids[k]))
+                b.append(ids[hit])
+        return pa.table({"id": np.concatenate(a), "pivot": np.concatenate(b)})
+
+    return (members.join(points.select("id", "n", "sketch"), "id").groupBy("region")
+            .applyInArrow(run, "id long, pivot long").distinct())
 
 
 def region_members(points: DataFrame) -> DataFrame:
-    """``(region, k1, k2)`` of the regions with two points or more; regions of the same points are one."""
-    placed = points.select(*POINT, F.explode("regions").alias("shingle"))
-    named = (placed.groupBy("shingle").agg(F.count("*").alias("m"), F.bit_xor("k1").alias("x1"), F.bit_xor("k2").alias("x2")).filter("m > 1")
-             .select("shingle", F.concat_ws("-", *(F.hex(c) for c in ("m", "x1", "x2"))).alias("region")))
-    return placed.join(named, "shingle").select("region", *POINT).distinct()
+    """``(region, id)`` of the regions with two points or more.
+
+    Regions of the same points are one. A region is named by the number of its points and
+    the sum of their hashes; should two names ever fall together, the two regions are joined as
+    one, which is right as well.
+    """
+    placed = points.select("id", F.explode("regions").alias("shingle"))
+    named = (placed.groupBy("shingle").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x")).filter("m > 1")
+             .select("shingle", F.xxhash64("m", "x").alias("region")))
+    return placed.join(named, "shingle").select("region", "id").distinct()
 
 
-def point_links(points: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """``(k1, k2, p_k1, p_k2)``: links that connect all linked points ``(k1, k2, n, s0.., regions)``.
+def point_links(points: DataFrame, texts_of: Callable[[DataFrame, str], DataFrame], words: int, least: int, folder: str) -> DataFrame:
+    """``(id, pivot)``: links that connect all linked points ``(id, n, sketch, regions)``.
 
-    ``sets`` gives the shingles of points by key.
+    ``texts_of`` gives a text ``(id, text)`` for each of some points ``(id)``. Each round is
+    written below ``folder``.
     """
-    radius = 1 - least / 100
-    slack = 1e-9
-    attributes = points.select(*POINT, "n", *SKETCHES)
-    members = cut(region_members(points).join(attributes, POINT))
-    needed = members.select(*POINT).distinct()
-    sets = cut(sets(needed))
-    links, pivots = None, 1
-    fields = [*POINT, "n", *SKETCHES]
+    radius, slack = 1 - least / 100, 1e-9
+    members = saved(region_members(points.filter(F.size("regions") > 0)).withColumn("root", F.col("id")), f"{folder}/members-0")
+    links, k = points.select("id", F.col("id").alias("pivot")).limit(0), 0
     while members.take(1):
-        by = W.partitionBy("region").orderBy(*POINT)
-        chosen = members.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= pivots)
-        chosen = cut(chosen.select("region", *(F.col(c).alias(f"p_{c}") for c in fields)))
-        apart = ~(F.col("k1").eqNullSafe(F.col("p_k1")) & F.col("k2").eqNullSafe(F.col("p_k2")))
-        # each pivot meets the points that are no pivots, and the pivots after it
-        pairs = members.join(chosen, "region").filter(apart).withColumn("bound", distance(differ()))
-        near = pairs.filter(F.col("bound") <= 2 * radius + slack)
-        known = cut(measured(near.select(*POINT, "p_k1", "p_k2").distinct(), sets))
+        here = f"{folder}/round-{k}"
+        # no leaves in the first round: one pivot for a region takes most of its near copies together
+        size = members.groupBy("region").agg(F.count("*").alias("m"))
+        sized = members.join(size, "region")
+        leaf = F.col("m") <= (0 if not k else FEW if k == 1 else LEAF)
+        by = W.partitionBy("region").orderBy("id")
+        chosen = sized.filter(~leaf).withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= MORE ** k)
+        chosen = saved(chosen.select("region", F.col("id").alias("pivot"), F.col("root").alias("p_root")), f"{here}/pivots")
+        pairs = saved(members.join(chosen, "region").filter("id <> pivot").select("region", "id", "pivot"), f"{here}/pairs")
+        asked = pairs.select("id", "pivot")
+        if k:
+            few = sized.filter(leaf & (F.col("m") <= FEW)).select("region", "id", "root")
+            other = few.select("region", F.col("id").alias("pivot"), F.col("root").alias("p_root"))
+            asked = asked.union(few.join(other, "region").filter("id < pivot and root <> p_root").select("id", "pivot"))
+        if k > 1:
+            asked = asked.union(leaf_pairs(sized.filter(leaf & (F.col("m") > FEW)).select("region", "id", "root"), points, radius))
+        bounds = saved(bounded(asked.distinct(), points), f"{here}/bounds")
+        close = bounds.filter(F.col("bound") <= radius + slack)
+        needed = close.select(F.explode(F.array("id", "pivot")).alias("id")).distinct()
+        known = measured(close, texts_of(needed, here), words)
         union = F.col("n") + F.col("p_n") - F.col("both")
-        judged = (near.join(known, [*POINT, "p_k1", "p_k2"])
-                  .withColumn("distance", 1 - F.col("both") / union).withColumn("linked", 100 * F.col("both") >= least * union))
-        judged = cut(judged.select("region", *POINT, "p_k1", "p_k2", "distance", "linked"))
-        found = judged.filter("linked").select(*POINT, "p_k1", "p_k2").distinct()
-        links = found if links is None else links.union(found)
-
-        is_pivot = chosen.select("region", F.col("p_k1").alias("k1"), F.col("p_k2").alias("k2"))
-        rest = members.join(is_pivot, ["region", *POINT], "left_anti")
-        # the nearest to a pivot of the points beyond its cell; those too far to be measured are no partners of the cell
-        cell = ["region", "p_k1", "p_k2"]
-        open_points = judged.join(is_pivot, ["region", *POINT], "left_anti")
-        beyond = open_points.filter("not linked").groupBy(cell).agg(F.min("distance").alias("beyond"))
-        inside = open_points.filter("linked").join(beyond, cell, "left")
-        done = inside.filter(F.col("beyond").isNull() | (F.col("distance") + radius + slack < F.col("beyond"))).select("region", *POINT).distinct()
-        members = cut(several(rest.join(done, ["region", *POINT], "left_anti")))
-        pivots *= 4
-    return links if links is not None else needed.select(*POINT, *(F.col(c).alias(f"p_{c}") for c in POINT)).limit(0)
+        judged = saved(bounds.join(known, ["id", "pivot"], "left").select(
+            "id", "pivot", F.coalesce(1 - F.col("both") / union, "bound").alias("distance"), F.col("both").isNotNull().alias("exact"),
+            F.coalesce(100 * F.col("both") >= least * union, F.lit(False)).alias("linked")), f"{here}/judged")
+        links = links.union(judged.filter("linked").select("id", "pivot"))
+        roots = saved(components(links, "id", "pivot"), f"{here}/roots")
+
+        def rooted(df: DataFrame, c: str, root: str, roots: DataFrame = roots) -> DataFrame:
+            met = df.drop(root).join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(c) == F.col("_node"), "left")
+            return met.withColumn(root, F.coalesce("_root", c)).drop("_node", "_root")
+
+        is_pivot = chosen.select("region", F.col("pivot").alias("id"))
+        rest = rooted(sized.filter(~leaf).select("region", "id").join(is_pivot, ["region", "id"], "left_anti"), "id", "root")
+        left = rooted(rest.join(pairs, ["region", "id"]).join(judged, ["id", "pivot"]), "pivot", "p_root")
+        # what lies nearest to a pivot, for all that is known, of the points of other components
+        beyond = left.filter("root <> p_root").groupBy("region", "pivot").agg(F.min("distance").alias("beyond"))
+        inside = left.filter("exact and root = p_root").join(beyond, ["region", "pivot"], "left")
+        done = inside.filter(F.col("beyond").isNull() | (F.col("distance") + radius + slack < F.col("beyond"))).select("region", "id").distinct()
+        rest = rest.join(done, ["region", "id"], "left_anti")
+        several = rest.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("region")
+        k += 1
+        members = saved(rest.join(several, "region").select("region", "id", "root"), f"{folder}/members-{k}")
+    return links
 
 
 def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -242,32 +311,28 @@ def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/ngrams-{uuid.uuid4().hex}"
-    set_table(docs, words).write.parquet(f"{folder}/sets")
-    sets = spark.read.parquet(f"{folder}/sets")
-    known = sets.filter("n > 0")
-    keyed = with_regions(known.select("doc_id", *POINT, "n", *SKETCHES, "shingles"), least)
-    # of equal sets one row goes on; all others only have their key
-    one = F.struct("n", *SKETCHES, "regions")
-    keyed.groupBy(POINT).agg(F.min("doc_id").alias("first"), F.any_value(one).alias("one")).select(*POINT, "first", "one.*").write.parquet(f"{folder}/points")
-    points = spark.read.parquet(f"{folder}/points")
-
-    def shingles_of(needed: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(*POINT, "doc_id"), F.lit(BUCKETS)).cast("int")
-        wanted = needed.join(points.select(*POINT, F.col("first").alias("doc_id")), POINT)
-        # at most BUCKETS rows: tells most sets that are not needed before any set moves
-        buckets = wanted.select(bucket.alias("bucket")).distinct()
-        rows = known.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").select(*POINT, "doc_id", "shingles")
-        same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in (*POINT, "doc_id")]
-        held = rows.join(wanted.select(*(F.col(c).alias(f"w_{c}") for c in (*POINT, "doc_id"))), same, "left_semi")
-        return held.select(*POINT, "shingles").dropDuplicates(POINT)
-
-    name = lambda a, b: F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (a, b)))
-    links = point_links(points.filter(F.size("regions") > 0), shingles_of, least)
-    root = components(links.select(name("k1", "k2").alias("a"), name("p_k1", "p_k2").alias("b")))
-    placed = points.select(*POINT, "first", name(*POINT).alias("node")).join(root, "node")
-    lowest = placed.groupBy("root").agg(F.min("first").alias("least"))
-    moved = placed.join(lowest, "root").select(*POINT, "least")
-    classes = points.select(*POINT, "first").join(moved, POINT, "left").select(*POINT, F.coalesce("least", "first").alias("component_id"))
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), *POINT)
-    blank = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.filter("n_shingles > 0").join(classes, POINT).select("doc_id", "n_shingles", "component_id").union(blank)
+    rows = saved(placed_rows(docs, words, least), f"{folder}/rows")
+    # of equal sets one goes on, under a number of its own
+    one = F.any_value(F.struct("n", "sketch", "regions")).alias("one")
+    points = rows.filter("n > 0").groupBy(KEY).agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "tag")).alias("row"), one)
+    points = saved(points.select(F.monotonically_increasing_id().alias("id"), *KEY, "first", "row", "one.*"), f"{folder}/points")
+
+    def texts_of(needed: DataFrame, here: str) -> DataFrame:
+        bucket = lambda d, t: F.pmod(F.xxhash64(d, t), F.lit(BUCKETS)).cast("int").alias("bucket")
+        wanted = saved(points.select("id", "row").join(needed, "id"), f"{here}/wanted")
+        # at most BUCKETS rows: tells most texts that are not needed before any moves
+        buckets = wanted.select(bucket("row.doc_id", "row.tag")).distinct()
+        read = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), "text")
+        read = read.withColumn("bucket", bucket("doc_id", "tag")).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
+        same = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("tag") == F.col("row.tag"))
+        return saved(read.join(wanted, same).select("id", "text").dropDuplicates(["id"]), f"{here}/texts")
+
+    links = point_links(points, texts_of, words, least, folder)
+    root = components(links, "id", "pivot")
+    joint = points.select("id", *KEY, "first").join(root, F.col("id") == F.col("node"))
+    lowest = joint.groupBy("root").agg(F.min("first").alias("least"))
+    moved = joint.join(lowest, "root").select("id", "least")
+    classes = points.select("id", *KEY, "first").join(moved, "id", "left").select(*KEY, F.coalesce("least", "first").alias("component_id"))
+    sized = rows.select("doc_id", F.col("n").alias("n_shingles"), *KEY)
+    blank = sized.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return sized.filter("n_shingles > 0").join(classes, KEY).select("doc_id", "n_shingles", "component_id").union(blank)
