@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -207,34 +208,28 @@ def merge_pieces(v: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np.nd
     return sym[alive], total[stops] - total[stops - size]
 
 
-#: Random weight of each byte, and the factor from one place to the next, of the keys of pieces.
-_WEIGHT = np.random.default_rng(50257).integers(0, 1 << 64, 256, dtype=np.uint64)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the factor and of its inverse."""
-    both = []
-    for x in (int(_FACTOR), pow(int(_FACTOR), -1, 1 << 64)):
-        p = np.full(n, np.uint64(x))
-        p[0] = 1
-        both.append(np.multiply.accumulate(p))
-    return both[0], both[1]
-
-
 def piece_keys(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that tell pieces apart: a hash of the characters, and the first eight with the length."""
-    power, inverse = _powers(1 << max(16, int(len(code) + 1).bit_length()))
-    total = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(_WEIGHT[code] * power[:len(code)], out=total[1:])
-    h = (total[start + size] - total[start]) * inverse[start]
-    h ^= h >> np.uint64(32)
+    """128 bits that tell pieces apart.
+
+    Of pieces of eight characters or fewer they hold the characters and the length, so no two
+    such pieces share a key; longer ones have a 128-bit hash of their characters.
+    """
     padded = np.concatenate([code, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(padded.view(), (len(code), 8), (1, 1))[start].copy().view("<u8").ravel()
+    rest = np.lib.stride_tricks.as_strided(padded.view(), (len(code), 8), (1, 1))[start].copy().view("<u8").ravel()
     few = np.minimum(size, 8).astype(np.uint64)
-    eight &= np.where(few == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.uint64(8) * (few % np.uint64(8)))) - np.uint64(1))
-    return h, eight ^ (size.astype(np.uint64) * _FACTOR)
+    rest &= np.where(few == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.uint64(8) * (few % np.uint64(8)))) - np.uint64(1))
+    # for one length a bijection of the characters, for the same characters one of the length
+    h = (rest ^ (rest >> np.uint64(32))) * _FACTOR + size.astype(np.uint64)
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        raw = code.tobytes()
+        hashes = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start[long].tolist(), (start + size)[long].tolist())])
+        h[long], rest[long] = np.frombuffer(hashes, "<u8").reshape(-1, 2).T
+    return h, rest
 
 
 class Coder:

@@ -55,8 +55,13 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def hashed(keys: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of both halves of 128-bit keys, two columns of 64 bits."""
+    return mix(keys[:, 0] ^ mix(keys[:, 1], seed + 128), seed)
+
+
 class PerfectHash:
-    """Maps n distinct 64-bit keys to 0..n-1 in about three bits a key.
+    """Maps n distinct 128-bit keys to 0..n-1 in about three bits a key.
 
     Each level has a bit for every second position; a key alone at its position owns the
     bit and goes no further. A key's slot is the number of set bits before its own.
@@ -74,7 +79,7 @@ class PerfectHash:
             if len(levels) == 64:
                 raise ValueError("keys are not distinct")
             words = max(1, int(np.ceil(spread * len(left) / 64)))
-            at = mix(left, len(levels)) % np.uint64(64 * words)
+            at = hashed(left, len(levels)) % np.uint64(64 * words)
             alone = np.bincount(at.astype(np.int64), minlength=64 * words) == 1
             levels.append(np.packbits(alone, bitorder="little").view("<u8"))
             left = left[~alone[at.astype(np.int64)]]
@@ -84,7 +89,7 @@ class PerfectHash:
         """Slot of each key, -1 for a key that no level holds; a foreign key may get a slot."""
         out, open_ = np.full(len(keys), -1), np.arange(len(keys))
         for k, bits in enumerate(self.levels):
-            at = mix(keys[open_], k) % np.uint64(64 * len(bits))
+            at = hashed(keys[open_], k) % np.uint64(64 * len(bits))
             word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
             own = (bits[word] >> bit & np.uint64(1)).astype(bool)
             below = np.bitwise_count(bits[word] & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
@@ -109,7 +114,7 @@ def build_index(keys: np.ndarray, shard: np.ndarray, at: np.ndarray, n: np.ndarr
     h = PerfectHash.build(keys)
     entries = np.zeros(len(keys), ENTRY)
     slot = h.slots(keys)
-    for name, x in (("print", mix(keys, 99) >> np.uint64(32)), ("shard", shard), ("at", at), ("n", n)):
+    for name, x in (("print", hashed(keys, 99) >> np.uint64(32)), ("shard", shard), ("at", at), ("n", n)):
         entries[name][slot] = x
     return h.to_bytes() + entries.tobytes()
 
@@ -120,14 +125,19 @@ def probe(index: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     entries = np.frombuffer(index, ENTRY, offset=end)
     slot = h.slots(keys)
     held = slot >= 0
-    held[held] = entries["print"][slot[held]] == mix(keys[held], 99) >> np.uint64(32)
+    held[held] = entries["print"][slot[held]] == hashed(keys[held], 99) >> np.uint64(32)
     return held, entries[slot[held]]
 
 
 def with_keys(rows: DataFrame, buckets: int) -> DataFrame:
     """Key and bucket of ``(doc_id, copy)``; copy counts the rows of one doc_id from 0."""
-    null = F.col("doc_id").isNull().cast("int")
-    return rows.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy", null)).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy"), F.col("doc_id").isNull().cast("int")]
+    keyed = rows.withColumn("key", F.xxhash64(*parts)).withColumn("key2", F.xxhash64(F.lit("2"), *parts))
+    return keyed.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+
+
+def pairs(keys: pd.DataFrame) -> np.ndarray:
+    return keys[["key", "key2"]].to_numpy(np.int64).view(np.uint64)
 
 
 @dataclass
@@ -144,7 +154,7 @@ class TokenStore:
         def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"doc_id": [], "copy": [], "shard": [], "at": [], "n": []})
-            held, e = probe(right["index"].iloc[0], left["key"].to_numpy().view(np.uint64))
+            held, e = probe(right["index"].iloc[0], pairs(left))
             out = left.loc[held, ["doc_id", "copy"]]
             return out.assign(shard=e["shard"].astype(np.int64), at=e["at"].astype(np.int64), n=e["n"].astype(np.int64))
 
@@ -307,11 +317,11 @@ def write(docs: DataFrame, path: str = bpe.DEFAULT, end_id: int = 2, folder: str
     buckets = max(1, -(-rows.count() // BUCKET_KEYS))
 
     def build(keys: pd.DataFrame) -> pd.DataFrame:
-        raw = build_index(keys["key"].to_numpy().view(np.uint64), keys["shard"].to_numpy(), keys["at"].to_numpy(), keys["n"].to_numpy())
+        raw = build_index(pairs(keys), keys["shard"].to_numpy(), keys["at"].to_numpy(), keys["n"].to_numpy())
         return pd.DataFrame({"bucket": [keys["bucket"].iloc[0]], "index": [raw]})
 
     placed = with_keys(rows.join(shards.select("task", "part", "shard"), ["task", "part"]), buckets)
-    index = placed.select("bucket", "key", "shard", "at", "n").groupBy("bucket").applyInPandas(build, "bucket long, index binary")
+    index = placed.select("bucket", "key", "key2", "shard", "at", "n").groupBy("bucket").applyInPandas(build, "bucket long, index binary")
     index.write.parquet(f"{folder}/index")
     shards.select("shard", "file", "base", "n_ids").write.parquet(f"{folder}/shards")
     return open_store(spark, folder, buckets, doc_id)

@@ -15,7 +15,7 @@ LIBRARY = Tokenizer.from_file(bpe.DEFAULT)
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
 def test_perfect_hash_is_minimal_and_knows_foreign_keys(n):
-    keys = np.random.default_rng(n).integers(0, 2**63, 2 * n, dtype=np.uint64)
+    keys = np.random.default_rng(n).integers(0, 2**63, (2 * n, 2), dtype=np.uint64)
     own, foreign = keys[:n], keys[n:]
     raw = token_store.build_index(own, np.arange(n), np.arange(n) * 7, np.arange(n) + 1)
     held, entries = token_store.probe(raw, own)
@@ -26,7 +26,15 @@ def test_perfect_hash_is_minimal_and_knows_foreign_keys(n):
 
 def test_equal_keys_are_refused():
     with pytest.raises(ValueError):
-        token_store.PerfectHash.build(np.array([5, 5], np.uint64))
+        token_store.PerfectHash.build(np.array([[5, 6], [5, 6]], np.uint64))
+
+
+def test_keys_that_share_a_half_are_told_apart():
+    half = np.arange(300, dtype=np.uint64)
+    keys = np.stack([np.concatenate([half // 100, half]), np.concatenate([half, half // 100 + 1000])], axis=1)
+    raw = token_store.build_index(keys, np.arange(600), np.arange(600), np.arange(600))
+    held, entries = token_store.probe(raw, keys)
+    assert held.all() and entries["at"].tolist() == list(range(600))
 
 
 @pytest.mark.parametrize("kept", [0, 50, 10**6])
