@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import re
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -28,8 +29,20 @@ from pyspark.sql import types as T
 from .common import cut
 
 
+#: Levels of nesting that a JSON text may have; a deeper one is taken as plain text.
+DEPTH = 200
+#: What :func:`parsed` gives for a JSON text of more levels.
+DEEP = object()
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """The text with lone surrogates, which no table can hold, as JSON escapes them."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no blanks, letters as they are; whole floats as integers, no NaN."""
+    """JSON with sorted keys, no blanks, letters as they are, lone surrogates escaped; whole floats as integers, no NaN."""
     def plain(v):
         if isinstance(v, dict):
             return {k: plain(x) for k, x in v.items()}
@@ -37,7 +50,7 @@ def canonical(value: object) -> str:
             return [plain(x) for x in v]
         return int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 2**53 else v
 
-    return json.dumps(plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    return escaped(json.dumps(plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False))
 
 
 def finite(text: str) -> float:
@@ -48,11 +61,19 @@ def finite(text: str) -> float:
 
 
 def parsed(text: str | None) -> object:
-    """The JSON value of a text, None where it is none; numbers that JSON does not know are refused."""
+    """The JSON value of a text, None where it is none, ``DEEP`` where it has more than ``DEPTH`` levels; numbers that JSON does not know are refused."""
     try:
-        return json.loads(text or "", parse_constant=finite, parse_float=finite)
-    except (ValueError, RecursionError):
+        value = json.loads(text or "", parse_constant=finite, parse_float=finite)
+    except RecursionError:
+        return DEEP
+    except ValueError:
         return None
+    level = [value]
+    for _ in range(DEPTH + 1):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return value
+    return DEEP
 
 
 TYPES = {
@@ -114,15 +135,17 @@ EVENT = "turn long, tag long, seq int, kind string, call_id string, role string,
 def message_events(turn: int, role: str | None, text: str | None, schemas: Mapping[str, Mapping]) -> list[tuple]:
     """Events of one message, in the columns of ``EVENT``."""
     tag = xxhash.xxh64_intdigest(f"{role}\n{text}") - (1 << 63)
-    value = parsed(text)
+    value = parsed(text) if role in ("tool", "assistant") else None
+    if value is DEEP:
+        return [(turn, tag, 0, "message", None, role, None, canonical(text), ["nested too deep"], [])]
     if role == "tool" and isinstance(value, dict) and isinstance(value.get("tool_call_id"), str):
-        return [(turn, tag, 0, "result", value["tool_call_id"], role, None, canonical(value.get("content")), [], [])]
+        return [(turn, tag, 0, "result", escaped(value["tool_call_id"]), role, None, canonical(value.get("content")), [], [])]
     if role != "assistant" or not isinstance(value, dict) or not isinstance(value.get("tool_calls"), list):
         return [(turn, tag, 0, "message", None, role, None, canonical(text), [], [])]
     out = [(turn, tag, 0, "message", None, role, None, canonical(value["content"]), [], [])] if value.get("content") is not None else []
     calls = [c if isinstance(c, dict) else {} for c in value["tool_calls"]]
-    ids = [c.get("id") if isinstance(c.get("id"), str) else None for c in calls]
-    refs = [[x for x in c["after"] if isinstance(x, str)] if isinstance(c.get("after"), list) else [] for c in calls]
+    ids = [escaped(c["id"]) if isinstance(c.get("id"), str) else None for c in calls]
+    refs = [[escaped(x) for x in c["after"] if isinstance(x, str)] if isinstance(c.get("after"), list) else [] for c in calls]
     place = {}
     for k, x in enumerate(ids):
         place.setdefault(x, k)
@@ -131,15 +154,18 @@ def message_events(turn: int, role: str | None, text: str | None, schemas: Mappi
         name, arguments, problems = calls[k].get("name"), calls[k].get("arguments"), []
         if isinstance(arguments, str):  # arguments are often sent as JSON in a string
             arguments = parsed(arguments)
+            if arguments is DEEP:
+                arguments = None
+                problems.append("arguments nested too deep")
         if ids[k] is None:
             problems.append("no id")
         if not isinstance(name, str) or name not in schemas:
             problems.append("unknown tool")
         else:
-            problems += [f"arguments {x}" for x in violations(arguments, schemas[name])]
+            problems += [escaped(f"arguments {x}") for x in violations(arguments, schemas[name])]
         if k in cyclic:
             problems.append("cycle")
-        out.append((turn, tag, seq, "call", ids[k], role, name if isinstance(name, str) else None, canonical(arguments), problems, [x for x in refs[k] if x not in place]))
+        out.append((turn, tag, seq, "call", ids[k], role, escaped(name) if isinstance(name, str) else None, canonical(arguments), problems, [x for x in refs[k] if x not in place]))
     return out
 
 
@@ -251,6 +277,9 @@ def format_chats(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFra
     ``schemas`` gives each tool's JSON schema of arguments. Null and empty texts are plain
     messages; rows without a conversation belong to one of their own, rows without a turn
     are linked to nothing; equal rows stay, each with its line. Extra columns are not read.
+    No text ends a job: JSON nested more than ``DEPTH`` levels deep is a plain message with a
+    problem, or arguments of null with one; lone surrogates, which only JSON escapes can
+    bring, stay escapes in ids, names and lines.
     """
     return lines(link(cut(events(messages, schemas))))
 

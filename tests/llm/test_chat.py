@@ -139,3 +139,36 @@ def test_query_is_the_loop_over_its_messages(spark):
     assert key((*r[:6], list(r.problems), r.line) for r in got) == key(brute(rows, chat.TOOLS))
     kinds = {p.split(" ")[0] for r in got for p in r.problems}
     assert {"unanswered", "no", "arguments"} <= kinds and sum(r.answer_turn is not None for r in got) > 20
+
+
+def odd_json(r, depth=0):
+    """A value that JSON can hold, with everything that is hard to write again."""
+    kind = r.randrange(9 if depth < 4 else 6)
+    if kind < 6:
+        return [None, True, 10 ** r.randrange(300), -1.5e300, r.choice(["\ud83d", "\udc00x", "\U0001f642", "\x00", "é ", "", '"\\']), 2.0][kind]
+    if kind < 8:
+        return {r.choice(["a", "\ud800", "query", "id", "", "content", "words"]): odd_json(r, depth + 1) for _ in range(r.randrange(4))}
+    return [odd_json(r, depth + 1) for _ in range(r.randrange(4))]
+
+
+def test_no_text_ends_the_job(spark):
+    """Lone surrogates, deep nesting, huge numbers, broken JSON: every message comes out, as JSON that can be read."""
+    r = random.Random(11)
+    nested = lambda n: "[" * n + "]" * n
+    texts = [("tool", '{"tool_call_id":"a","content":"\\ud83d"}'), ("tool", '{"tool_call_id":"\\ud83d","content":1}'), ("tool", '{"tool_call_id":"a","content":1e999}'),
+             ("assistant", '{"tool_calls":[{"id":"\\ud83d","name":"\\udfff","after":["\\udc01"],"arguments":{"\\ud800":1}}]}'),
+             ("assistant", '{"tool_calls":[{"id":"q","name":"search","arguments":{"query":"\\ud800x","words":1,"\\udfff":2}}]}'),
+             ("assistant", "{\"content\":" + "9" * 5000 + "}"), ("tool", "{\"a\":NaN}"), ("user", nested(5000))]
+    for n in (100, 199, 200, 201, 900, 1200, 20_000, 200_000):
+        texts += [("tool", f'{{"tool_call_id":"d{n}","content":{nested(n)}}}'), ("assistant", nested(n)),
+                  ("assistant", json.dumps({"tool_calls": [{"id": f"d{n}", "name": "search", "arguments": nested(n)}]}))]
+    for _ in range(400):
+        value = odd_json(r)
+        texts.append((r.choice(["assistant", "tool"]), json.dumps(r.choice([value, {"tool_call_id": "x", "content": value}, {"content": value, "tool_calls": [{"id": "x", "name": "search", "arguments": value, "after": value}, value]}]))))
+    got = chat.format_chats(spark.createDataFrame([(1, k, a, t) for k, (a, t) in enumerate(texts)], "conv_id long, turn long, role string, text string"), chat.TOOLS).collect()
+    assert {x.turn for x in got} == set(range(len(texts)))
+    for x in got:
+        json.loads(x.line)
+    deep = {x.turn for x in got if "nested too deep" in x.problems}
+    assert deep == {k for k, (a, t) in enumerate(texts) if a != "user" and chat.parsed(t) is chat.DEEP} and len(deep) >= 8
+    assert sum("arguments nested too deep" in x.problems for x in got) == 5  # 201 and more
