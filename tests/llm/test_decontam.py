@@ -73,16 +73,43 @@ def test_every_verbatim_item_is_found_anywhere(items):
         assert hit[3] == 0 and decontam.folded(text)[hit[1]:hit[2]] == decontam.folded(dict(items)[i])
 
 
-@pytest.mark.parametrize("share, least", [(0.03, 0.99), (0.06, 0.97), (0.09, 0.9)])
-def test_recall_on_edited_items(items, share, least):
-    r = random.Random(4)
-    texts, want = [], []
-    for _ in range(250):
-        i, t = r.choice(items)
-        texts.append(f"{prose(r, r.randint(0, 200))} {edited(r, t, int(share * len(t)))} {prose(r, 50)}")
-        want.append(i)
-    found = decontam.Detector(items).find(texts)
-    assert np.mean([i in {m[0] for m in f} for i, f in zip(want, found)]) >= least
+def spread(r, text, k):
+    """The text with k edits at even distances."""
+    chars = list(text)
+    for at in [int((j + 0.5) * len(chars) / k) for j in range(k)][::-1]:
+        chars[at:at + 1] = r.choice([["q"], [chars[at], "q"], []])
+    return "".join(chars)
+
+
+@pytest.mark.parametrize("size", [14, 20, 40, 80, 200, 500])
+def test_recall_on_edited_items(size):
+    """Edits up to the operator's own bound, at random places and at even distances."""
+    r = random.Random(size)
+    items = [(k, prose(r, size)[:size]) for k in range(25)]
+    detector = decontam.Detector(items)
+    for share in (0.03, 0.06, 0.09, 0.1):
+        k = int(share * size)
+        for way in (edited, spread) if k else ():
+            texts = [f"{prose(r, r.randint(0, 40))} {way(r, t, k)} {prose(r, 20)}" for _, t in items]
+            found = detector.find(texts)
+            assert np.mean([i in {m[0] for m in f} for (i, _), f in zip(items, found)]) >= 0.95, (share, way)
+
+
+def test_equal_to_all_distances():
+    """On a small table all pairs of items and texts, verbatim, edited and clean."""
+    r = random.Random(12)
+    items = [(k, prose(r, 60)[:r.choice([8, 11, 14, 25, 45, 70])]) for k in range(14)]
+    texts = [prose(r, 30) for _ in range(6)] + [f"{prose(r, 8)} {edited(r, t, int(len(t) * r.random() * 0.25))} {prose(r, 8)}" for _, t in items] + [t for _, t in items] + ["", "the"]
+    for text, found in zip(texts, decontam.Detector(items).find(texts)):
+        held = {i: d for i, t in items if (d := brute_distance(decontam.folded(t), decontam.folded(text))[0]) <= int(decontam.EDITS * len(t))}
+        assert {i: d for i, _, _, d in found} == held
+
+
+@pytest.mark.parametrize("size", range(8, 400, 7))
+def test_edits_leave_enough_tiles(size):
+    tile, n, least = decontam.tiling(size)
+    k = int(decontam.EDITS * size)
+    assert 1 <= tile <= decontam.TILE and n * tile <= size and least == n - k >= 1
 
 
 def test_what_is_found_is_within_the_distance_and_clean_texts_stay_clean(items):
