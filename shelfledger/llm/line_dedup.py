@@ -53,7 +53,7 @@ def long_lines(docs: DataFrame, words: int) -> DataFrame:
     """Like :func:`windows`, one row for each line of ``words`` or more words."""
     def row(x: Column, i: Column) -> Column:
         # so many words take at least twice as many characters less one
-        long = F.when(F.length(x) >= 2 * words - 1, F.regexp_count(x, F.lit(r"\S+")) >= words).otherwise(False)
+        long = F.when(F.length(x) >= 2 * words - 1, F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= words).otherwise(False)
         return F.struct(i.alias("start"), F.xxhash64(x).alias("picked"), F.lit(True).alias("new"), F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"), long.alias("long"))
 
     lines = F.filter(F.transform(F.split("text", "\n"), row), lambda x: x["long"])

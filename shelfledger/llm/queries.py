@@ -33,26 +33,35 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the runs of two or more lines that stand earlier in the table."""
+    """Every document without the runs of two or more lines, and the lines of 50 or more words, that stand earlier in the table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_repeated_runs(docs, counts=("n_lines", "n_deleted"))
+    return line_dedup.drop_repeated_runs(docs, counts=("n_lines", "n_deleted"), words=50)
 
 
-SQL["op2_line_dedup"] = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p
-  FROM documents),
+#: Equal rows are one document ``d``; rows without text have no lines and stay as they are.
+SQL["op2_line_dedup"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS d, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+lines AS (
+  SELECT d, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM docs WHERE text IS NOT NULL),
 pairs AS (
-  SELECT doc_id, p, line, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS line2 FROM lines),
+  SELECT d, p, line, lead(line) OVER (PARTITION BY d ORDER BY p) AS line2 FROM lines),
 ranked AS (
-  SELECT doc_id, p, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, p) AS nth FROM pairs WHERE line2 IS NOT NULL),
+  SELECT d, p, 2 AS size, row_number() OVER (PARTITION BY line, line2 ORDER BY d, p) AS nth FROM pairs WHERE line2 IS NOT NULL
+  UNION ALL
+  SELECT d, p, 1, row_number() OVER (PARTITION BY line ORDER BY d, p)
+  FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
 dead AS (
-  SELECT DISTINCT doc_id, p + k AS p FROM ranked, (VALUES (0), (1)) AS v(k) WHERE nth > 1),
+  SELECT DISTINCT d, p + k AS p FROM ranked, (VALUES (0), (1)) AS v(k) WHERE nth > 1 AND k < size),
 marked AS (
-  SELECT lines.*, dead.p IS NOT NULL AS gone FROM lines LEFT JOIN dead ON lines.doc_id = dead.doc_id AND lines.p = dead.p)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS text,
-       count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted
-FROM marked GROUP BY doc_id"""
+  SELECT lines.*, dead.p IS NOT NULL AS gone FROM lines LEFT JOIN dead ON lines.d = dead.d AND lines.p = dead.p),
+cleaned AS (
+  SELECT d, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted
+  FROM marked GROUP BY d)
+SELECT documents.doc_id, cleaned.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted
+FROM documents
+JOIN docs ON documents.doc_id IS NOT DISTINCT FROM docs.doc_id AND documents.text IS NOT DISTINCT FROM docs.text
+LEFT JOIN cleaned USING (d)"""
 
 
 @query
