@@ -17,14 +17,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of two or more lines that stand earlier in the table go; every document stays."""
-    return line_dedup.drop_repeated_runs(docs)
+    """Runs of two or more lines and lines of 50 or more words that stand earlier in the table go; every document stays."""
+    return line_dedup.drop_repeated_runs(docs, words=50)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with similar 5-word shingles the one of the least id stays."""
+    """Of each group of documents whose fingerprints of 3-word shingles are 3 bits or fewer apart the one of the least id stays."""
     ready(spark)
-    return simhash.keep_one(docs, simhash.similar_groups(docs))
+    return simhash.keep_one(docs, simhash.near_groups(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
