@@ -52,7 +52,7 @@ BUCKETS = 1 << 20
 #: Words whose hashes a worker keeps.
 KNOWN = 1 << 18
 #: Points of a leaf whose pairs are listed, and of one whose sketches are compared in a task.
-FEW, LEAF = 24, 1 << 12
+FEW, LEAF = 24, 1 << 14
 #: By how much the pivots of a region grow from round to round.
 MORE = 16
 
@@ -159,8 +159,8 @@ def placed_rows(docs: DataFrame, words: int, least: int) -> DataFrame:
         run, f"doc_id {kind}, tag long, k1 long, k2 long, n long, sketch binary, regions array<long>")
 
 
-def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """``(id, pivot, n, p_n, bound)``: a lower bound of the distance of each pair ``(id, pivot)`` of points.
+def bounded(pairs: DataFrame, points: DataFrame, most: float) -> DataFrame:
+    """``(id, pivot, n, p_n, bound)``: a lower bound of the distance of each pair ``(id, pivot)`` of points, where it is ``most`` at most.
 
     The symmetric difference is at least that of the sizes and the bits in which the
     sketches differ; greater differences make greater distances.
@@ -173,7 +173,8 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             bits = np.array([differing(x, y) for x, y in zip(at["sketch"].to_pylist(), at["p_sketch"].to_pylist())], np.int64)
             n, p = (at[c].to_numpy() for c in ("n", "p_n"))
             least = np.maximum(bits, np.abs(n - p))
-            yield pa.RecordBatch.from_arrays([*(at[c] for c in names), pa.array(2 * least / (n + p + least))], [*names, "bound"])
+            bound = 2 * least / (n + p + least)
+            yield pa.RecordBatch.from_arrays([*(at[c] for c in names), pa.array(bound)], [*names, "bound"]).filter(pa.array(bound <= most))
 
     own = points.select("id", "n", "sketch")
     other = points.select(F.col("id").alias("pivot"), F.col("n").alias("p_n"), F.col("sketch").alias("p_sketch"))
@@ -266,7 +267,8 @@ def point_links(points: DataFrame, texts_of: Callable[[DataFrame, str], DataFram
             asked = asked.union(few.join(other, "region").filter("id < pivot and root <> p_root").select("id", "pivot"))
         if k > 1:
             asked = asked.union(leaf_pairs(sized.filter(leaf & (F.col("m") > FEW)).select("region", "id", "root"), points, radius))
-        bounds = saved(bounded(asked.distinct(), points), f"{here}/bounds")
+        # a point of a cell has no partner further from the pivot than twice the radius
+        bounds = saved(bounded(asked.distinct(), points, 2 * radius + slack), f"{here}/bounds")
         close = bounds.filter(F.col("bound") <= radius + slack)
         needed = close.select(F.explode(F.array("id", "pivot")).alias("id")).distinct()
         known = measured(close, texts_of(needed, here), words)
