@@ -69,7 +69,7 @@ def parsed(text: str | None) -> object:
     except ValueError:
         return None
     level = [value]
-    for _ in range(DEPTH + 1):
+    for _ in range(DEPTH):
         level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
         if not level:
             return value
