@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -10,7 +11,6 @@ import corpus_pipeline
 from shelfledger.llm import bpe, decontam, quality
 
 from .test_decontam import brute_distance
-from .test_line_dedup import brute as brute_lines
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,9 +31,11 @@ def steps(spark, tmp_path_factory):
     return out
 
 
-def shingles(text):
+def fingerprint(text):
     w = text.encode().lower().split()
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    grams = [b" ".join(w[k:k + 3]) for k in range(max(len(w) - 2, 1))] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def test_classifier_keeps_what_it_scores(spark, steps):
@@ -45,26 +47,34 @@ def test_classifier_keeps_what_it_scores(spark, steps):
 
 
 def test_lines(steps):
-    rows = sorted((r.doc_id, r.text) for r in steps[1])
-    assert sorted((r.doc_id, r.text) for r in steps[2]) == brute_lines(rows, 2)
+    """Runs of two lines, and lines of 50 words, that stand earlier go."""
+    runs, long, want = set(), set(), []
+    for d, text in sorted((r.doc_id, r.text) for r in steps[1]):
+        lines, dead = text.split("\n"), set()
+        for i, x in enumerate(lines):
+            pair = tuple(lines[i:i + 2])
+            if len(pair) == 2:
+                dead |= {i, i + 1} if pair in runs else set()
+                runs.add(pair)
+            if len(x.encode().split()) >= 50:
+                dead |= {i} if x in long else set()
+                long.add(x)
+        want.append((d, "\n".join(x for i, x in enumerate(lines) if i not in dead)))
+    assert sorted((r.doc_id, r.text) for r in steps[2]) == want
     assert all(r.n_chars == len(r.text) for r in steps[2])
 
 
 def test_near_duplicates(steps):
-    before, kept = {r.doc_id: r.text for r in steps[2]}, {r.doc_id for r in steps[3]}
-    sets = {d: shingles(t) for d, t in before.items()}
-    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0
-    pairs = [(like(a, b), a, b) for a in before for b in before if a < b]
-    assert not any(a in kept and b in kept for j, a, b in pairs if j >= 0.8)
-    assert {b for j, a, b in pairs if j > 0.5} >= set(before) - kept  # whoever goes has a like of smaller id
-    assert sorted(steps[3]) == sorted(r for r in steps[2] if r.doc_id in kept)
-
-
-def test_near_duplicates_go_for_a_like_of_0_8(steps):
-    sets, kept = {r.doc_id: shingles(r.text) for r in steps[2]}, {r.doc_id for r in steps[3]}
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    for d in set(sets) - kept:
-        assert any(e != d and like(sets[d], sets[e]) >= 0.8 for e in sets), d
+    """Of the documents that links of 3 bits or fewer connect the one of the least id stays."""
+    fp = {r.doc_id: fingerprint(r.text) for r in steps[2]}
+    root = {d: d for d in fp}
+    for a in sorted(fp):
+        for b in fp:
+            if (fp[a] ^ fp[b]).bit_count() <= 3 and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {d: x if r == y else r for d, r in root.items()}
+    assert {r.doc_id for r in steps[3]} == set(root.values())
+    assert sorted(steps[3]) == sorted(r for r in steps[2] if r.doc_id == root[r.doc_id])
 
 
 def test_benchmark_passages(spark, steps):
