@@ -538,8 +538,12 @@ class DriverTables(Tables):
 
     def _price_history(self):
         """Two settings a day: the dearest price in the morning, the cheapest in the evening."""
-        price = F.col("l_extendedprice") / F.col("l_quantity")
-        day = self.raw("lineitem").groupBy(F.col("l_partkey").alias("item_ref"), F.date_trunc("day", "l_shipdate").alias("day")).agg(
+        price = F.col("p")
+        # an item has few lines a day, so lines are dealt by item: its days need not move again
+        lines = self.raw("lineitem").select(
+            F.col("l_partkey").alias("item_ref"), F.date_trunc("day", "l_shipdate").alias("day"),
+            (F.col("l_extendedprice") / F.col("l_quantity")).alias("p")).repartition("item_ref")
+        day = lines.groupBy("item_ref", "day").agg(
             F.array(F.struct(F.lit(8).alias("h"), F.max(price).alias("p")), F.struct(F.lit(18).alias("h"), F.min(price).alias("p"))).alias("s"))
         return day.select("item_ref", "day", F.explode("s").alias("s")).select(
             "item_ref", (F.col("day") + F.make_dt_interval(F.lit(0), F.col("s.h"))).alias("date_setting"),

@@ -35,9 +35,13 @@ def open_stores(t: Tables, cfg: Settings) -> DataFrame:
 
 
 def _decoded(df: DataFrame, t: Tables, cfg: Settings) -> DataFrame:
-    """Codes for aggregated rows: open warehouses only, item codes."""
+    """Codes for rows on references: open warehouses only, item codes.
+
+    The rows come out dealt by item, which every later step of the stock keeps to: sums per
+    warehouse and item, batches by receipt, prices and categories move them no more.
+    """
     return decode(df.join(open_stores(t, cfg), "store_ref").drop("store_ref"),
-                  "item_ref", t["item_dim"], "item_id")
+                  "item_ref", t["item_dim"], "item_id").repartition("item_id")
 
 
 def _cost_with_vat() -> Column:
@@ -56,11 +60,13 @@ def _with_receipt(rows: DataFrame, t: Tables) -> DataFrame:
 
 
 def _stock_rows(t: Tables, as_of: date) -> DataFrame:
-    """Current stock on references; no movement month."""
+    """Current stock on references; no movement month.
+
+    A balance has few rows of one warehouse and item, so they are summed with the movement only.
+    """
     bal = t["stock_balance"]
     bal = bal.filter(F.col("date_balance") > time_bound(bal, "date_balance", as_of, t.shift))
-    return bal.groupBy("store_ref", "item_ref").agg(F.sum("item_store_qty").alias("q")).withColumn(
-        "month", F.lit(None).cast("date"))
+    return bal.select("store_ref", "item_ref", F.col("item_store_qty").alias("q"), F.lit(None).cast("date").alias("month"))
 
 
 def moved_rows(t: Tables, start: date, finish: date | None = None) -> DataFrame:
@@ -79,9 +85,8 @@ def _history(rows: DataFrame, t: Tables, cfg: Settings) -> DataFrame:
 def _stock_batches(t: Tables, as_of: date) -> DataFrame:
     bal = t["batch_balance"]
     bal = bal.filter(F.col("date_balance") > time_bound(bal, "date_balance", as_of, t.shift))
-    return (bal.withColumn("cost", _cost_with_vat()).groupBy("store_ref", "item_ref", "receipt_doc_ref")
-            .agg(F.sum("item_store_qty").alias("q"), F.sum("cost").alias("v"))
-            .withColumn("month", F.lit(None).cast("date")))
+    return bal.select("store_ref", "item_ref", "receipt_doc_ref", F.col("item_store_qty").alias("q"),
+                      _cost_with_vat().alias("v"), F.lit(None).cast("date").alias("month"))
 
 
 def moved_batches(t: Tables, start: date, finish: date | None = None) -> DataFrame:
@@ -200,22 +205,20 @@ def inv_batch_rollback(history: DataFrame, snapshots: list[date]) -> DataFrame:
 def price_history(t: Tables, start: date, cfg: Settings) -> DataFrame:
     """Prices per item and day from the last one before ``start`` on.
 
-    An item first priced after ``start`` has no lower bound and is left out. Prices
-    shrink to one row per item and day before the window that finds the bound.
+    An item first priced after ``start`` has no lower bound and is left out. Of the settings
+    before it only the last one counts, so an item's older days are one row before the window.
     """
     kinds = t["price_type_dim"].filter(F.col("price_type_id") == cfg.price_type).select(
         F.col("ref").alias("price_type_ref"))
     df = t.unshift(t["price_history"].filter("active"), "date_setting")
-    df = df.join(kinds, "price_type_ref", "left_semi").withColumn("day", F.to_date("date_setting"))
-    before = F.when(F.col("date_setting") < time_bound(df, "date_setting", start), F.col("date_setting"))
-    # One price per item and day: the latest setting of the day.
-    df = df.groupBy("item_ref", "day").agg(
-        F.max("date_setting").alias("at"), F.max_by("item_price", "date_setting").alias("item_price"),
-        F.max(before).alias("before"))
-    df = df.withColumn("floor", F.max("before").over(W.partitionBy("item_ref"))).filter(
-        F.col("at") >= F.col("floor"))
+    df = df.join(kinds, "price_type_ref", "left_semi").filter(F.col("date_setting").isNotNull())
+    before = F.col("date_setting") < time_bound(df, "date_setting", start)
+    # One price per item and day: the latest setting of the day; before ``start``, that of the last day.
+    df = df.groupBy("item_ref", F.when(~before, F.to_date("date_setting")).alias("day")).agg(
+        F.max("date_setting").alias("at"), F.max_by("item_price", "date_setting").alias("item_price"))
+    df = df.withColumn("bounded", F.max(F.col("day").isNull()).over(W.partitionBy("item_ref"))).filter("bounded")
     return decode(df, "item_ref", t["item_dim"], "item_id").select(
-        "item_id", F.col("day").alias("date_setting"), "item_price")
+        "item_id", F.to_date("at").alias("date_setting"), "item_price")
 
 
 def prices_at(prices: DataFrame, snapshots: list[date]) -> DataFrame:
@@ -255,28 +258,36 @@ def inv_lifo_value(history: DataFrame, batch_history: DataFrame, prices: DataFra
     """
     n = range(len(snapshots))
     key = ["store_id", "item_id"]
-    newest = W.partitionBy(*key).orderBy(F.col("date_receipt").desc_nulls_last())
+    # A balance is one more row behind its batches: a join on both keys would deal out again
+    # what lies by item already. An unknown warehouse or item has no batches.
+    stock = _balances_wide(history, snapshots).withColumn("stock", F.lit(True))
+    batches = _batches_wide(batch_history.dropna(subset=key), snapshots).withColumn("stock", F.lit(False))
+    df = batches.unionByName(stock, allowMissingColumns=True)
+    newest = W.partitionBy(*key).orderBy("stock", F.col("date_receipt").desc_nulls_last())
     run, whole = newest.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*key)
-    df = _balances_wide(history, snapshots).join(_batches_wide(batch_history, snapshots), key, "left")
     sums = {"rn": F.row_number().over(newest)}
     for i in n:
         sums[f"cq{i}"] = F.sum(f"balance_batch_qty{i}").over(run)
         sums[f"cv{i}"] = F.sum(f"balance_batch_sum{i}").over(run)
-    tops, picks = {}, []
+    tops, picks = {}, [F.max("stock").alias("stock")]
     for i in n:
+        tops[f"balance_qty{i}"] = F.max(f"balance_qty{i}").over(whole)
         batch = F.col(f"balance_batch_qty{i}").isNotNull()
         tops[f"mx{i}"] = F.max(F.when(batch, F.col(f"cq{i}"))).over(whole)
         tops[f"last{i}"] = F.max(F.when(batch, F.col("rn"))).over(whole)
         row, amount = _lifo_row(i)
         picks += [F.max(f"balance_qty{i}").alias(f"b{i}"), F.max(f"mx{i}").alias(f"mx{i}"),
                   F.min_by(amount, row).alias(f"amount{i}")]
-    one = df.withColumns(sums).withColumns(tops).groupBy(*key).agg(*picks)
-    rows = one.select(*key, _per_snapshot(snapshots, "b", "mx", "amount")).select("_s.*", *key).filter(
-        F.col("b") != 0)
+    one = df.withColumns(sums).withColumns(tops).groupBy(*key).agg(*picks).filter("stock")
+    # an item's prices meet its balances as columns, before there is a row for each snapshot
+    wide = prices.groupBy("item_id").agg(
+        *[F.max(F.when(F.col("date") == F.lit(d), F.col("item_price"))).alias(f"item_price{i}") for i, d in enumerate(snapshots)])
+    rows = one.join(wide, "item_id", "left").select(
+        *key, _per_snapshot(snapshots, "b", "mx", "amount", "item_price")).select("_s.*", *key).filter(F.col("b") != 0)
     amount, mx = F.col("amount"), F.col("mx")
     value = (F.when(mx.isNull(), amount * F.col("item_price")).when(near_zero(mx - F.col("b")), amount)
              .otherwise(bankers_round(amount, 2)))
-    return rows.join(prices, ["date", "item_id"], "left").select("date", *key, value.alias("balance_sum"))
+    return rows.select("date", *key, value.alias("balance_sum"))
 
 
 def inv_category(values: DataFrame, t: Tables) -> DataFrame:

@@ -151,3 +151,37 @@ def test_category_count_unknown_when_a_value_is(spark):
     got = {r.date: (r.category_inventory_sum, r.category_sku) for r in I.inv_category(v, t).collect()}
     assert got == {SNAP[0]: (5.0, None), SNAP[1]: (5.0, 1)}
     assert I.inv_category(v, t).filter(F.col("category_id") != "K").count() == 0
+
+
+def test_stock_moves_once_by_reference_and_once_by_item(spark):
+    """From the decoded rows to the sums by category nothing is dealt out again, however little is broadcast."""
+    items = "SELECT 1 AS ref, 'a' AS item_id, 1 AS group_ref UNION ALL SELECT 2, 'b', 1"
+    t = FrameTables({
+        "stock_balance": spark.sql("SELECT timestamp'3999-11-01' AS date_balance, 1 AS store_ref, * FROM VALUES (1, 5.0D), (1, 1.0D), (2, 3.0D) AS v(item_ref, item_store_qty)"),
+        "stock_movement": spark.sql("SELECT timestamp'2024-01-05' AS date_movement, true AS active, 1 AS store_ref, 1 AS item_ref, 0 AS type_motion, 2.0D AS item_motion_qty"),
+        "batch_balance": spark.sql("SELECT timestamp'3999-11-01' AS date_balance, 1 AS store_ref, 1 AS item_ref, 6.0D AS item_store_qty, 30.0D AS item_store_sum, 0.0D AS item_store_vat, 1 AS receipt_doc_ref"),
+        "batch_movement": spark.sql("SELECT timestamp'2024-01-05' AS date_movement, true AS active, 1 AS store_ref, 1 AS item_ref, 0 AS type_motion, 2.0D AS item_motion_qty, 10.0D AS item_store_sum, 0.0D AS item_store_vat, 1 AS receipt_doc_ref"),
+        "receipt_doc": spark.sql("SELECT 1 AS ref, timestamp'2023-12-01 08:00:00' AS date"),
+        "assembly_doc": spark.sql("SELECT 9 AS ref, timestamp'2023-12-02' AS date"),
+        "store_dim": spark.sql("SELECT * FROM VALUES (1, 's', 2), (2, 'p', 2) AS v(ref, store_id, parent_ref)"),
+        "item_dim": spark.sql(items),
+        "group_dim": spark.sql("SELECT 1 AS ref, 7 AS category_ref"),
+        "category_dim": spark.sql("SELECT 7 AS ref, 'K' AS category_id"),
+        "price_type_dim": spark.sql("SELECT 1 AS ref, '000000005' AS price_type_id"),
+        "price_history": spark.sql("SELECT timestamp'2023-06-01' AS date_setting, 1 AS price_type_ref, 2 AS item_ref, true AS active, 2.0D AS item_price")})
+    start, cfg = SNAP[0], Settings()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        prices = I.prices_at(I.price_history(t, start, cfg), SNAP)
+        v = I.inv_lifo_value(I.inv_history(t, start, SNAP[1], cfg), I.inv_batch_history(t, start, SNAP[1], cfg), prices, SNAP)
+        df = I.inv_category(v, t)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {r.date: (r.category_inventory_sum, r.category_sku) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {SNAP[0]: (4 * 5.0 + 6.0, 2), SNAP[1]: (6 * 5.0 + 6.0, 2)}
+    dealt = [line.split("Exchange hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len([d for d in dealt if d.startswith("item_id#") and "REPARTITION_BY_COL" in d]) == 2
+    assert not [d for d in dealt if "item_id#" in d and "store_id#" in d]
+    assert len([d for d in dealt if "store_id#" in d]) == 1  # the sums by category
