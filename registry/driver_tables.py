@@ -7,7 +7,7 @@ space: sale 4k, refund 4k+1, transfer 4k+2 of order k, check reports negative.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,9 +17,9 @@ from shelfledger.config import (DISCOUNT_EARNED_NAME, DISCOUNT_ROUNDING, DISCOUN
                                 DROPPED_EXPENSES, FUEL_EXPENSE, MAINTENANCE_EXPENSES,
                                 NON_DIRECT_EXPENSES, RENT_EXPENSE, SUPERMARKET_B2B, SUPERMARKET_B2C,
                                 UTILITY_EXPENSES, Settings)
-from shelfledger.functions.periods import month_span
+from shelfledger.functions.periods import add_months, month_span
 from shelfledger.operators.logistics import tour_key
-from shelfledger.sources.readers import Tables
+from shelfledger.sources.readers import Tables, register_slice
 
 FINISH = date(2001, 4, 1)
 CFG = Settings(
@@ -270,16 +270,25 @@ class DriverTables(Tables):
                          code(n * 100000 + m).alias("nmbr_checks_report"),
                          (n % 3).alias("organization_ref"), n.alias("subdiv_ref"))
 
-    def _lines(self, *extra: str):
-        line = self.raw("lineitem").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    def lines_of(self, name, heads, key, window=None):
+        """Lines stand under the report of their order's month, so a window of reports is one of orders."""
+        if window is None or name not in ("check_line", "check_regular"):
+            return super().lines_of(name, heads, key)
+        first, last = window[0].replace(day=1), add_months((window[1] - timedelta(days=1)).replace(day=1), 1)
+        orders = register_slice(self.raw("orders"), "o_orderdate", first, last)
+        return getattr(self, f"_{name}")(orders).join(heads, key)
+
+    def _lines(self, orders: DataFrame | None = None):
+        orders = self.raw("orders") if orders is None else orders
+        line = self.raw("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         return line.join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
 
     @staticmethod
     def _report_ref(nation: Column, ts: Column) -> Column:
         return -(nation.cast("bigint") * 100000 + ym(ts))
 
-    def _check_line(self):
-        return self._lines().select(
+    def _check_line(self, orders: DataFrame | None = None):
+        return self._lines(orders).select(
             self._report_ref(F.col("s_nationkey"), F.col("o_orderdate")).alias("report_ref"),
             # some checks were rung outside the month of their report
             F.col("l_orderkey").alias("check_nmbr"),
@@ -288,9 +297,10 @@ class DriverTables(Tables):
             F.col("l_partkey").alias("item_ref"), F.col("l_quantity").alias("item_qty"),
             (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("item_sum"))
 
-    def _check_regular(self):
+    def _check_regular(self, orders: DataFrame | None = None):
+        orders = self.raw("orders") if orders is None else orders
         c = self.raw("customer").filter(F.col("c_mktsegment") == "BUILDING")
-        return self.raw("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        return orders.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
             self._report_ref(F.col("c_nationkey"), F.col("o_orderdate")).alias("report_ref"),
             F.col("o_totalprice").alias("reg_cust_sum"))
 

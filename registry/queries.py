@@ -23,6 +23,7 @@ from shelfledger.kept.clients import FirstReceipts
 from shelfledger.kept.lines import LaidOut, LineLayout
 from shelfledger.kept.stock import StockMonths
 from shelfledger.plans.run import Run
+from shelfledger.session import filter_early
 from shelfledger.sources.readers import register_slice, scan_rename
 
 from .driver_tables import CFG, FINISH, SUBDIV_NAMES, DriverTables, code, tour_legs
@@ -54,7 +55,7 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return spark
+    return filter_early(spark)
 
 
 def query(fn):

@@ -92,7 +92,7 @@ class LaidOut(Tables):
     def _load(self, name: str) -> DataFrame:
         return self.layouts[name].lines.drop("month", "batch") if name in self.layouts else self.base[name]
 
-    def lines_of(self, name: str, heads: DataFrame, key: str) -> DataFrame:
+    def lines_of(self, name: str, heads: DataFrame, key: str, window: tuple[date, date] | None = None) -> DataFrame:
         if name not in self.layouts:
-            return self.base.lines_of(name, heads, key)
+            return self.base.lines_of(name, heads, key, window)
         return self.layouts[name].of(heads)

@@ -31,7 +31,7 @@ def sale_report(t: Tables, start: date, finish: date, cfg: Settings) -> DataFram
     key = ["date", "nmbr_checks_report"]
     head = reports.select(F.col("ref").alias("report_ref"), *key, "subdiv_ref", "organization_ref")
     kept = t["item_dim"].filter(not_in_sql(F.col("item_id"), cfg.excluded_check_items))
-    lines = (t.lines_of("check_line", head, "report_ref")
+    lines = (t.lines_of("check_line", head, "report_ref", (start, finish))
              .join(kept.select(F.col("ref").alias("item_ref")), "item_ref", "left_semi"))
     checks = lines.groupBy(*key, "subdiv_ref", "organization_ref", "check_nmbr").agg(
         F.sum("item_sum").alias("s"), F.sum("item_qty").alias("q"), F.count(F.lit(1)).alias("n"))
@@ -40,7 +40,7 @@ def sale_report(t: Tables, start: date, finish: date, cfg: Settings) -> DataFram
                  F.count("check_nmbr").alias("total_checks_qty"), F.sum("n").alias("checks_report_sku"))
             .filter(F.col("checks_report_qty") != 0))
 
-    regular = (t.lines_of("check_regular", head.select("report_ref"), "report_ref")
+    regular = (t.lines_of("check_regular", head.select("report_ref"), "report_ref", (start, finish))
                .groupBy("report_ref").agg(F.sum("reg_cust_sum").alias("s"), F.count(F.lit(1)).alias("n")))
     regular = (head.select("report_ref", *key).join(regular, "report_ref").groupBy(*key)
                .agg(F.sum("s").alias("doc_reg_cust_sum"), F.sum("n").alias("doc_reg_cust_nmbr"))
@@ -125,7 +125,7 @@ def sale_check_category(t: Tables, start: date, finish: date, cfg: Settings) ->
     """Sum and quantity per check and category, of the reports in the window."""
     head = _reports(t, start, finish).select(
         F.col("ref").alias("report_ref"), "nmbr_checks_report", "subdiv_ref")
-    df = (t.lines_of("check_line", head, "report_ref").join(_item_categories(t), "item_ref")
+    df = (t.lines_of("check_line", head, "report_ref", (start, finish)).join(_item_categories(t), "item_ref")
           .groupBy("subdiv_ref", "nmbr_checks_report", "check_nmbr", "category_id")
           .agg(F.sum("item_sum").alias("s"), F.sum("item_qty").alias("q")))
     return (decode(df, "subdiv_ref", t["subdiv_dim"], "subdiv_id")

@@ -5,6 +5,26 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+# A shuffled join whose one side is cut by a filter cuts the other one before it is shuffled: a
+# window of documents is met by a few of the lines. The filter is of a fixed size, 8 MB.
+RUNTIME_FILTERS = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "16MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864",
+}
+
+
+def filter_early(spark: SparkSession) -> SparkSession:
+    """Set ``RUNTIME_FILTERS`` in a session that does not say otherwise."""
+    said = spark.conf.getAll
+    for k, v in RUNTIME_FILTERS.items():
+        if k not in said:
+            spark.conf.set(k, v)
+    return spark
+
+
 def settings(cores: int, broadcast_mb: int = 64) -> dict[str, str]:
     """Options for a session with ``cores`` executor cores in all.
 
@@ -21,7 +41,7 @@ def settings(cores: int, broadcast_mb: int = 64) -> dict[str, str]:
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": mb,
         "spark.sql.autoBroadcastJoinThreshold": mb,
-        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        **RUNTIME_FILTERS,
         "spark.sql.shuffle.partitions": str(max(cores * 3, 8)),
         "spark.sql.files.maxPartitionBytes": "256MB",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",

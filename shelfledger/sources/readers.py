@@ -78,8 +78,11 @@ class Tables(Mapping):
                  flags: Sequence[str] = ()) -> DataFrame:
         return register_slice(self[name], ts, start, finish, flags, self.shift)
 
-    def lines_of(self, name: str, heads: DataFrame, key: str) -> DataFrame:
-        """The rows of ``name`` that belong to ``heads``, joined to them by ``key``."""
+    def lines_of(self, name: str, heads: DataFrame, key: str, window: tuple[date, date] | None = None) -> DataFrame:
+        """The rows of ``name`` that belong to ``heads``, joined to them by ``key``.
+
+        ``window`` is the period all heads lie in, for tables that can read less by it.
+        """
         return self[name].join(heads, key)
 
     def unshift(self, df: DataFrame, *columns: str) -> DataFrame:
