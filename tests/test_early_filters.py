@@ -1,12 +1,13 @@
 """Windows of documents cut the lines before these are shuffled."""
 
+import re
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from registry.driver_tables import SCHEMAS, DriverTables
-from shelfledger.operators import sales
+from shelfledger.operators import loyalty, sales
 from shelfledger.session import RUNTIME_FILTERS, filter_early
 from tests.conftest import rows
 
@@ -74,3 +75,14 @@ def test_a_session_keeps_what_it_says():
 
     filter_early(Session)
     assert Session.conf.getAll == {**RUNTIME_FILTERS, SIDE: "1GB"}
+
+
+def test_a_window_of_receipts_reaches_items_and_discounts(tables):
+    """Both tables of lines are cut by the receipts, not by the few cash desks alone."""
+    start, finish = date(2001, 1, 1), date(2001, 4, 1)
+    got = loyalty.discount_lines(tables, start, finish)
+    text = plan(got)
+    # the filter on lines is asked by the receipt's own key
+    assert re.search(r"might_contain\([^\n]*xxhash64\(l_orderkey#\d+L, 42\)", text) and "bloom_filter_agg(xxhash64(receipt_item#" in text
+    assert rows(got.select("global_number").distinct()) == sorted(
+        ((k,) for k in range(240) if k // 12 % 5 == 4 and k % 12 < 3 and k % 17), key=str)
