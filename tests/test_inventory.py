@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shelfledger.config import Settings
 from shelfledger.operators import inventory as I
 from shelfledger.sources.readers import FrameTables
+from tests.conftest import rows
 
 SNAP = [date(2024, 1, 1), date(2024, 2, 1)]
 H = "month date, store_id string, item_id string, q double"
@@ -185,3 +186,22 @@ def test_stock_moves_once_by_reference_and_once_by_item(spark):
     assert len([d for d in dealt if d.startswith("item_id#") and "REPARTITION_BY_COL" in d]) == 2
     assert not [d for d in dealt if "item_id#" in d and "store_id#" in d]
     assert len([d for d in dealt if "store_id#" in d]) == 1  # the sums by category
+
+
+def test_categories_of_all_snapshots_as_columns(spark):
+    """The columns give what rows per snapshot give: no stock at a date, an unknown value, a negative one."""
+    wide = spark.createDataFrame(
+        [("s", "a", 1.0, 5.0, 0.0, None), ("s", "b", 2.0, None, 1.0, 3.0), ("s", "c", 1.0, -1.0, None, 7.0),
+         (None, "a", 0.0, 1.0, 4.0, 8.0), ("s", "z", 1.0, 1.0, 1.0, 1.0), ("u", "b", 0.0, 0.0, None, None)],
+        "store_id string, item_id string, b0 double, balance_sum0 double, b1 double, balance_sum1 double")
+    t = FrameTables({"item_dim": spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("z", 3)], "item_id string, group_ref int"),
+                     "group_dim": spark.createDataFrame([(1, 1), (2, 2), (3, 9)], "ref int, category_ref int"),
+                     "category_dim": spark.createDataFrame([(1, "K"), (2, "L")], "ref int, category_id string")})
+    long = wide.select("store_id", "item_id", I._per_snapshot(SNAP, "b", "balance_sum")).filter("_s.b != 0").select(
+        "_s.date", "store_id", "item_id", "_s.balance_sum")
+    got = I._category_sums(wide, SNAP, t)
+    assert rows(got) == rows(I.inv_category(long, t)) and got.count() == 4
+    assert got.columns == I.inv_category(long, t).columns
+    # one row of an item is dealt out, whatever the number of snapshots
+    tree = got._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("Generate") < tree.index("Aggregate")
