@@ -6,8 +6,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from registry.driver_tables import SCHEMAS, DriverTables
-from shelfledger.operators import loyalty, sales
+from registry.driver_tables import CFG, SCHEMAS, DriverTables
+from shelfledger.operators import inventory, logistics, loyalty, sales
 from shelfledger.session import RUNTIME_FILTERS, filter_early
 from tests.conftest import rows
 
@@ -86,3 +86,35 @@ def test_a_window_of_receipts_reaches_items_and_discounts(tables):
     assert re.search(r"might_contain\([^\n]*xxhash64\(l_orderkey#\d+L, 42\)", text) and "bloom_filter_agg(xxhash64(receipt_item#" in text
     assert rows(got.select("global_number").distinct()) == sorted(
         ((k,) for k in range(240) if k // 12 % 5 == 4 and k % 12 < 3 and k % 17), key=str)
+
+
+def test_a_plan_of_many_windows_filters_each(tables):
+    """Spark by itself stops at ten filters, and later tables of lines would be shuffled whole."""
+    slices = [tables.register("cost_register", "date", date(2001, 1, 1 + i), date(2001, 4, 1), ["active"]) for i in range(14)]
+    df = slices[0]
+    for other in slices[1:]:
+        df = df.unionByName(other)
+    assert plan(df).count("might_contain") >= 14
+
+
+def test_a_window_of_trips_reaches_the_lines_of_their_stops(spark, tables):
+    """All lines were grouped to stops and dealt by order before the trips were met."""
+    start, finish = date(2001, 1, 1), date(2001, 4, 1)
+    people = [(i, datetime(2024, 1, 1), i, "view", 1.0, "") for i in range(40)]
+    spark.createDataFrame(people, SCHEMAS["events"]).write.parquet(f"{tables.dir}/events.parquet")
+    for df in (logistics.delivery_stops(tables, start, finish, CFG).filter("nmbr_deliv_order is not null"), logistics.delivery_rows(tables, start, finish),
+               logistics.delivery_crews(tables, start, finish, CFG)):
+        # the filter of the trips is built of their own key
+        assert re.search(r"bloom_filter_agg\(xxhash64\(trip_ref#\d+L", plan(df)) and df.count() > 0
+
+
+def test_open_warehouses_are_no_larger_than_the_warehouses(spark):
+    """The join of stores to stores was taken for the product of its sides: registers were shuffled to meet it."""
+    from shelfledger.config import Settings
+    from shelfledger.sources.readers import FrameTables
+    data = [(1, "a", None), (2, "b", 1), (3, "c", 2), (4, "d", 9), (5, "e", 1), (5, "f", 2), (6, "g", 7), (7, "x", None), (7, "y", 1), (None, "n", 1), (8, None, 1)]
+    stores = spark.createDataFrame(data, "ref bigint, store_id string, parent_ref bigint")
+    cfg = Settings(closed_parent_stores=("b",))
+    got = inventory.open_stores(FrameTables({"store_dim": stores}), cfg)
+    assert "Join" not in plan(got)
+    assert rows(got) == sorted([(None, "n"), (2, "b"), (5, "e"), (6, "g"), (6, "g"), (7, "y"), (8, None)], key=lambda r: tuple((x is not None, str(x)) for x in r))
