@@ -240,61 +240,73 @@ def prices_at(prices: DataFrame, snapshots: list[date]) -> DataFrame:
         "item_id", _per_snapshot(snapshots, "item_price")).select("_s.date", "item_id", "_s.item_price")
 
 
-def _lifo_row(i: int) -> tuple[Column, Column]:
-    """Which row of a group gives snapshot ``i`` its amount, and that amount unrounded.
-
-    The cases exclude each other: stock met by some batch, more in the batches than in
-    stock, less in the batches, no batch at all. Quantities closer than ``NEAR`` are
-    equal, so the order in which a cluster adds them up decides no case.
+def _lifo_batches(i: int) -> Column:
+    """``(mx, amount)`` of snapshot ``i`` from the array ``lots``, newest batch first; the amount is unrounded.
+
+    ``mx`` is the most that the batches hold, newest first, up to any of them. The cases
+    exclude each other: stock met by some batch, more in the batches than in stock, less
+    in the batches, no batch at all. Quantities closer than ``NEAR`` are equal, so the
+    order in which a cluster adds them up decides no case. Most groups have one batch or none; only
+    the others are gone through batch by batch.
     """
-    b, q, v, cq, cv, mx, last = (F.col(f"{c}{i}") for c in (
-        "balance_qty", "balance_batch_qty", "balance_batch_sum", "cq", "cv", "mx", "last"))
-    rn, unit, only = F.col("rn"), safe_div(v, q), near_zero(q - cq)
-    more = F.when(only, unit * b).otherwise(cv - v + unit * (q - (cq - b)))
-    less = F.when(only, unit * b).otherwise(cv + unit * (b - cq))
-    hit = (F.when(mx.isNull(), rn == 1).when(q.isNull(), F.lit(False)).when(near_zero(mx - b), near_zero(cq - b))
-           .when(mx > b, (cq > b) & ~near_zero(cq - b)).otherwise(rn == last))
-    amount = F.when(mx.isNull(), b).when(near_zero(mx - b), cv).when(mx > b, more).otherwise(less)
-    return F.when(hit, rn), amount
+    b, none = F.col(f"b{i}"), F.lit(None).cast("double")
+    found = lambda mx, amount: F.struct(mx.alias("mx"), amount.alias("amount"))
+
+    def add(s: Column, lot: Column) -> Column:
+        q, v = lot[f"q{i}"], lot[f"v{i}"]
+        cq = F.coalesce(s["cq"], F.lit(0.0)) + q
+        cv = F.when(v.isNull(), s["cv"]).otherwise(F.coalesce(s["cv"], F.lit(0.0)) + v)
+        unit, only = safe_div(v, q), near_zero(q - cq)
+        met = F.coalesce(near_zero(cq - b), F.lit(False))
+        over = ~met & F.coalesce(cq > b, F.lit(False))
+        more = F.when(only, unit * b).otherwise(cv - v + unit * (q - (cq - b)))
+        less = F.when(only, unit * b).otherwise(cv + unit * (b - cq))
+        return F.when(q.isNull(), s).otherwise(F.struct(
+            cq.alias("cq"), cv.alias("cv"), F.greatest(s["mx"], cq).alias("mx"),
+            (s["met"] | met).alias("met"), F.when(~s["met"] & met, cv).otherwise(s["equal"]).alias("equal"),
+            (s["over"] | over).alias("over"), F.when(~s["over"] & over, more).otherwise(s["more"]).alias("more"),
+            less.alias("less")))
+
+    def end(s: Column) -> Column:
+        mx = s["mx"]
+        return found(mx, F.when(mx.isNull(), b).when(near_zero(mx - b), s["equal"]).when(mx > b, s["more"]).otherwise(s["less"]))
+
+    off = F.lit(False)
+    zero = F.struct(none.alias("cq"), none.alias("cv"), none.alias("mx"), off.alias("met"), none.alias("equal"),
+                    off.alias("over"), none.alias("more"), none.alias("less"))
+    q, v = F.col("lots")[0][f"q{i}"], F.col("lots")[0][f"v{i}"]
+    one = found(q, F.when(q.isNull(), b).when(near_zero(q - b), v).otherwise(safe_div(v, q) * b))
+    n = F.size("lots")
+    return F.when(n == 0, found(none, b)).when(n == 1, one).otherwise(F.aggregate("lots", zero, add, end))
 
 
 def _lifo_wide(history: DataFrame, batch_history: DataFrame, prices: DataFrame, snapshots: list[date]) -> DataFrame:
     """One row per warehouse and item; per snapshot its balance ``b`` and its value ``balance_sum``.
 
-    All snapshots are columns of one windowed pass over the batches, newest receipt
-    first; rows per snapshot appear only when each group is down to one row. A
-    group holds one row per receipt day, so a busy item is bounded by the
-    calendar, not by its sales. ``prices`` holds one price per snapshot and item.
+    All snapshots are columns of one aggregate: the batches of a warehouse and item
+    become an array, newest receipt first, beside its balances. A group holds one
+    batch per receipt day, so a busy item is bounded by the calendar, not by its
+    sales. ``prices`` holds one price per snapshot and item.
     """
     n = range(len(snapshots))
     key = ["store_id", "item_id"]
-    # A balance is one more row behind its batches: a join on both keys would deal out again
+    # A balance is one more row beside its batches: a join on both keys would deal out again
     # what lies by item already. An unknown warehouse or item has no batches.
     stock = _balances_wide(history, snapshots).withColumn("stock", F.lit(True))
-    batches = _batches_wide(batch_history.dropna(subset=key), snapshots).withColumn("stock", F.lit(False))
-    df = batches.unionByName(stock, allowMissingColumns=True)
-    newest = W.partitionBy(*key).orderBy("stock", F.col("date_receipt").desc_nulls_last())
-    run, whole = newest.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*key)
-    sums = {"rn": F.row_number().over(newest)}
-    for i in n:
-        sums[f"cq{i}"] = F.sum(f"balance_batch_qty{i}").over(run)
-        sums[f"cv{i}"] = F.sum(f"balance_batch_sum{i}").over(run)
-    tops, picks = {}, [F.max("stock").alias("stock")]
-    for i in n:
-        tops[f"balance_qty{i}"] = F.max(f"balance_qty{i}").over(whole)
-        batch = F.col(f"balance_batch_qty{i}").isNotNull()
-        tops[f"mx{i}"] = F.max(F.when(batch, F.col(f"cq{i}"))).over(whole)
-        tops[f"last{i}"] = F.max(F.when(batch, F.col("rn"))).over(whole)
-        row, amount = _lifo_row(i)
-        picks += [F.max(f"balance_qty{i}").alias(f"b{i}"), F.max(f"mx{i}").alias(f"mx{i}"),
-                  F.min_by(amount, row).alias(f"amount{i}")]
-    one = df.withColumns(sums).withColumns(tops).groupBy(*key).agg(*picks).filter("stock")
+    qty = [f"balance_batch_qty{i}" for i in n]
+    lot = F.struct("date_receipt", *[c for i in n for c in (F.col(qty[i]).alias(f"q{i}"), F.col(f"balance_batch_sum{i}").alias(f"v{i}"))])
+    batches = (_batches_wide(batch_history.dropna(subset=key), snapshots).filter(F.coalesce(*qty).isNotNull())
+               .select(*key, lot.alias("lot"), F.lit(False).alias("stock")))
+    one = (batches.unionByName(stock, allowMissingColumns=True).groupBy(*key)
+           .agg(F.max("stock").alias("stock"), *[F.max(f"balance_qty{i}").alias(f"b{i}") for i in n],
+                F.sort_array(F.collect_list("lot"), asc=False).alias("lots"))
+           .filter("stock").withColumns({f"s{i}": _lifo_batches(i) for i in n}))
     # an item's prices meet its balances as columns, before there is a row for each snapshot
     wide = prices.groupBy("item_id").agg(
         *[F.max(F.when(F.col("date") == F.lit(d), F.col("item_price"))).alias(f"item_price{i}") for i, d in enumerate(snapshots)])
     df, out = one.join(wide, "item_id", "left"), []
     for i in n:
-        b, mx, amount = F.col(f"b{i}"), F.col(f"mx{i}"), F.col(f"amount{i}")
+        b, mx, amount = F.col(f"b{i}"), F.col(f"s{i}.mx"), F.col(f"s{i}.amount")
         value = (F.when(mx.isNull(), amount * F.col(f"item_price{i}")).when(near_zero(mx - b), amount)
                  .otherwise(bankers_round(amount, 2)))
         out += [b, value.alias(f"balance_sum{i}")]

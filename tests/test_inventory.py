@@ -125,6 +125,24 @@ def test_lifo_takes_sums_in_any_order_for_equal(spark):
     assert got[SNAP[0], "i"] == 9.0
 
 
+def test_lifo_values_a_group_without_windows(spark):
+    """A warehouse and item is one row of an aggregate; windows cost most of the time of the stock values."""
+    d = lambda m: date(2023, m, 1)
+    history = [(None, "s", i, q) for i, q in (("late", 5.0), ("nocost", 4.0), ("moved", 2.0), ("unknown", None), ("alone", 6.0))]
+    batches = [(None, d(5), "s", "late", 3.0, 30.0), (None, None, "s", "late", 4.0, 80.0),  # an unknown day is the oldest
+               (None, d(6), "s", "nocost", 2.0, None), (None, d(5), "s", "nocost", 2.0, 8.0),
+               (None, d(6), "s", "moved", 1.0, 5.0), (date(2024, 1, 1), d(6), "s", "moved", 1.0, 5.0), (None, d(5), "s", "moved", 3.0, 9.0),
+               (None, d(5), "s", "unknown", 3.0, 30.0), (None, d(5), "s", "alone", 3.0, 30.0), (None, d(5), "s", "nostock", 3.0, 30.0)]
+    jan, feb = SNAP
+    got = value(spark, history, batches, [])
+    # in January nothing of the newest batch of "moved" was there yet; "alone" has less in its one batch than in stock
+    assert got == {(jan, "late"): 70.0, (feb, "late"): 70.0, (jan, "nocost"): 8.0, (feb, "nocost"): 8.0,
+                   (jan, "moved"): 6.0, (feb, "moved"): 8.0, (jan, "alone"): 60.0, (feb, "alone"): 60.0}
+    prices = spark.createDataFrame([], "date date, item_id string, item_price double")
+    plan = I.inv_lifo_value(spark.createDataFrame(history, H), spark.createDataFrame(batches, B), prices, SNAP)
+    assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_low_vat_counts_as_none(spark):
     df = spark.createDataFrame([(100.0, 20.0), (100.0, 19.9), (100.0, 5.0)], "item_store_sum double, item_store_vat double")
     assert [r[0] for r in df.select(I._cost_with_vat()).collect()] == [120.0, 100.0, 100.0]
