@@ -90,6 +90,39 @@ def test_other_threshold_and_one_large_family(spark):
         assert rows(ngram_join.joined(df, least=least)) == brute(docs, least)
 
 
+@pytest.mark.parametrize("largest", [4, 40])
+def test_regions_beyond_a_leaf_have_pivots(spark, monkeypatch, largest):
+    ready(spark)
+    monkeypatch.setattr(ngram_join, "LEAF", largest)
+    r = random.Random(6)
+    base = [f"w{r.randrange(200)}" for _ in range(120)]
+    docs = families(4, 30, 4) + [(1000 + k, " ".join(edited(r, base, r.choice([1, 3, 5])))) for k in range(90)]
+    assert rows(ngram_join.joined(spark.createDataFrame(docs, SCHEMA))) == brute(docs)
+
+
+def test_near_copies_of_a_region_are_not_listed_as_pairs(spark):
+    """What meets grows with the points of a group, not with its pairs; far points of a region are settled at once."""
+    ready(spark)
+    r = random.Random(8)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    far = [(1000 + k, " ".join(base[:6] + [f"z{r.randrange(10 ** 6)}" for _ in range(200)])) for k in range(60)]
+    for n in (100, 300):
+        docs = [(k, " ".join(edited(r, base, 1))) for k in range(n)] + far
+        points = ngram_join.placed_rows(spark.createDataFrame(docs, SCHEMA), 3, 90).withColumn("id", F.col("doc_id"))
+        members = ngram_join.region_members(points).withColumns({"root": F.col("id"), "seen": F.lit(False)}).cache()
+        listed = ngram_join.leaf_pairs(members, points, 0.1)
+        assert listed.count() < 2 * members.count()
+        one = members.withColumn("region", F.lit(1).cast("long")).distinct()
+        assert {(p.id, p.pivot) for p in ngram_join.leaf_pairs(one, points, 0.1).collect()} <= {(a, b) for b in range(n) for a in range(b)}
+        assert n - 1 <= ngram_join.leaf_pairs(one, points, 0.1).count() < 2 * n
+        # a region seen before gives every pair of different components
+        seen = one.withColumns({"seen": F.lit(True), "root": F.when(F.col("id") < 10, F.col("id")).otherwise(10)})
+        assert ngram_join.leaf_pairs(seen, points, 0.1).count() == 45 + 10 * (n - 10)
+        # and it gives them once, however many regions they share
+        twice = seen.union(seen.withColumn("region", F.lit(2).cast("long"))).union(seen.filter("id < 20").withColumn("region", F.lit(-3).cast("long")))
+        assert ngram_join.leaf_pairs(twice, points, 0.1).count() == 45 + 10 * (n - 10)
+
+
 def test_nulls_empty_ties_repeats_and_extra_columns(spark):
     ready(spark)
     docs = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "A"), (6, "a b"), (7, "a b c"), (8, "A  b\nC"), (9, "a b c d"),
