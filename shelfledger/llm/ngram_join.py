@@ -325,7 +325,8 @@ def region_members(points: DataFrame) -> DataFrame:
     the sum of their hashes; should two names ever fall together, the two regions are joined as
     one, which is right as well.
     """
-    placed = points.select("id", F.explode("regions").alias("shingle"))
+    # dealt by shingle once, for the count and for the join
+    placed = points.select("id", F.explode("regions").alias("shingle")).filter("shingle is not null").repartition("shingle")
     named = (placed.groupBy("shingle").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x")).filter("m > 1")
              .select("shingle", F.xxhash64("m", "x").alias("region")))
     return placed.join(named, "shingle").select("region", "id").distinct()
