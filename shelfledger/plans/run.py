@@ -15,7 +15,7 @@ from ..config import Settings
 from ..functions.periods import add_months, period_finish_of
 from ..kept.steps import Checkpointed
 from ..operators import expenses, inventory, logistics, loyalty, payroll, refs, sales, vat
-from ..sources.readers import Tables
+from ..sources.readers import Tables, cut_lineage
 from . import kpi, rules, views
 
 
@@ -50,6 +50,15 @@ class Run:
     def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return self.keep(name, build, self.finish, self.as_of)
 
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """``df`` computed now, so that what reads it is not planned with it again.
+
+        A checkpoint; kept in memory where the session names no folder for these.
+        """
+        spark = df.sparkSession
+        named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+        return cut_lineage(df) if named else df.persist()
+
     # dimensions
     @cached_property
     def categories(self) -> DataFrame:
@@ -73,8 +82,8 @@ class Run:
 
     @cached_property
     def non_trade(self) -> DataFrame:
-        # the rounds of a dimension stay in memory; a lost part comes back from the items
-        return inventory.non_trade_items(refs.item_root(self.t, DataFrame.persist), self.cfg)
+        # a plan over rounds kept in memory names all rounds before them, thrice each: thousands of scans
+        return self._cut(inventory.non_trade_items(refs.item_root(self.t, self._cut), self.cfg))
 
     # sales
     @cached_property
