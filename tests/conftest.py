@@ -12,6 +12,8 @@ from shelfledger.session import session  # noqa: E402
 def spark(tmp_path_factory):
     s = session("tests", 8, **{
         "spark.master": "local[8]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
+        # paths below a long temp folder stand whole in plans
+        "spark.sql.maxMetadataStringLength": "1000",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")), "spark.python.sql.dataFrameDebugging.enabled": "false"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
